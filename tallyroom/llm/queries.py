@@ -4,16 +4,29 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyroom.llm import bpe
+from tallyroom.llm import bpe, preference, secrets, threshold
 from tallyroom.tables import table
 
 BPE_FILE = "word_bpe_49k.json"
 
 
+def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.formatted(preference.paired_by_opening(table(spark, sf_dir, "conversations")))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.found(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
 
-QUERIES = {"op8_bpe": op8_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op9_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold.top_k(threshold.quantised(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {"op5_preference": op5_preference, "op6_secrets": op6_secrets, "op8_bpe": op8_bpe, "op9_threshold": op9_threshold}
+ORACLE_SQL = {"op5_preference": preference.ORACLE, "op6_secrets": secrets.ORACLE, "op9_threshold": threshold.ORACLE}
