@@ -6,12 +6,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyroom.llm import bpe, preference, secrets, threshold
-from tallyroom.tables import table
+from tallyroom.llm import bpe, decontaminate, fingerprint_index, neardup, preference, quality, secrets, suffixes, threshold, toxicity
+from tallyroom.tables import staged, table
 
 BPE_FILE = "word_bpe_49k.json"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.stripped(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = staged(fingerprint_index.FingerprintIndex().add(docs), "intervals")
+    return fingerprint_index.stripped(docs, found).drop("kept")
+
+
 def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.formatted(preference.paired_by_opening(table(spark, sf_dir, "conversations")))
 
@@ -20,6 +39,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.found(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
@@ -28,5 +52,9 @@ def op9_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold.top_k(threshold.quantised(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {"op5_preference": op5_preference, "op6_secrets": op6_secrets, "op8_bpe": op8_bpe, "op9_threshold": op9_threshold}
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.linked(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_suffixes, op4_fingerprints, op5_preference, op6_secrets, op7_quality, op8_bpe, op9_threshold, op10_neardup)}
 ORACLE_SQL = {"op5_preference": preference.ORACLE, "op6_secrets": secrets.ORACLE, "op9_threshold": threshold.ORACLE}
