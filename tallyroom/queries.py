@@ -2,5 +2,614 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tallyroom.functions import text as tx
+from tallyroom.functions import values as vx
+from tallyroom.operators import cases, evaluation, gates, governed, jobs, publication, retrieval
+from tallyroom.operators.governed import Dataset, Field
+from tallyroom.plans import questions
+from tallyroom.streaming import events
+from tallyroom.tables import staged, table
+
+ORDERS = Dataset({
+    "o_orderkey": Field("integer"), "o_custkey": Field("integer", aggregate=True), "o_orderstatus": Field("string"), "o_totalprice": Field("decimal", aggregate=True),
+    "o_orderdate": Field("date"), "o_orderpriority": Field("string"),
+})
+LINES = Dataset({"l_orderkey": Field("integer"), "l_quantity": Field("decimal", aggregate=True), "l_extendedprice": Field("decimal", aggregate=True), "l_discount": Field("decimal", aggregate=True), "l_returnflag": Field("string"), "l_shipdate": Field("date")})
+EVENTS = Dataset({"event_id": Field("integer"), "ts": Field("datetime"), "user_id": Field("integer"), "event_type": Field("string"), "value": Field("decimal", aggregate=True)})
+ASKED = questions.Asked(ORDERS, {
+    "o_orderkey": ("订单号",), "o_custkey": ("客户号",), "o_orderstatus": ("状态",), "o_totalprice": ("总价", "金额"), "o_orderdate": ("订单日期", "日期"), "o_orderpriority": ("优先级",),
+})
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def long(c: str | Column) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("long")
+
+
+# governed aggregates
+
+_ROW = "count(*) AS total_count, count(m) AS valid_count, count(*) - count(m) AS null_count"
+
+
+@query(f"SELECT round(CAST(avg(m) AS DOUBLE), 6) AS aggregate_value, {_ROW} FROM (SELECT CAST(o_totalprice AS DECIMAL(38,9)) m FROM orders WHERE o_orderstatus = 'F')")
+def agg_avg_filtered(spark, sf):
+    return governed.aggregated(ORDERS, table(spark, sf, "orders"), "avg", "o_totalprice", [("o_orderstatus", "eq", "F")])
+
+
+@query(f"SELECT CAST(sum(m) AS DECIMAL(38,9)) AS aggregate_value, {_ROW} FROM (SELECT CAST(l_extendedprice AS DECIMAL(38,9)) m FROM lineitem WHERE l_returnflag = 'R' AND CAST(l_quantity AS DECIMAL(38,9)) >= 10)")
+def agg_sum_filtered(spark, sf):
+    return governed.aggregated(LINES, table(spark, sf, "lineitem"), "sum", "l_extendedprice", [("l_returnflag", "eq", "R"), ("l_quantity", "gte", "10")])
+
+
+@query(f"SELECT min(m) AS aggregate_value, {_ROW} FROM (SELECT CAST(o_totalprice AS DECIMAL(38,9)) m FROM orders WHERE CAST(o_custkey AS BIGINT) > 500)")
+def agg_min_filtered(spark, sf):
+    return governed.aggregated(ORDERS, table(spark, sf, "orders"), "min", "o_totalprice", [("o_custkey", "gt", "500")])
+
+
+@query(f"SELECT max(m) AS aggregate_value, {_ROW} FROM (SELECT CAST(l_quantity AS DECIMAL(38,9)) m FROM lineitem WHERE CAST(l_discount AS DECIMAL(38,9)) < 0.05)")
+def agg_max_filtered(spark, sf):
+    return governed.aggregated(LINES, table(spark, sf, "lineitem"), "max", "l_quantity", [("l_discount", "lt", "0.05")])
+
+
+@query("SELECT count(*) AS aggregate_value, count(*) AS total_count, count(*) AS valid_count, CAST(0 AS BIGINT) AS null_count FROM orders")
+def agg_count_rows(spark, sf):
+    return governed.aggregated(ORDERS, table(spark, sf, "orders"), "count")
+
+
+@query(f"SELECT count(m) AS aggregate_value, {_ROW} FROM (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END m FROM orders)")
+def agg_count_column(spark, sf):
+    orders = table(spark, sf, "orders").withColumn("o_orderpriority", F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")))
+    return governed.aggregated(ORDERS, orders, "count", "o_orderpriority")
+
+
+@query(f"SELECT CAST(sum(m) AS DECIMAL(38,0)) AS aggregate_value, {_ROW} FROM (SELECT o_custkey m FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1996-06-30')")
+def filter_between_date(spark, sf):
+    return governed.aggregated(ORDERS, table(spark, sf, "orders"), "sum", "o_custkey", [("o_orderdate", "between", "1995-01-01", "1996-06-30")])
+
+
+@query(f"SELECT CAST(sum(m) AS DECIMAL(38,9)) AS aggregate_value, {_ROW} FROM (SELECT CAST(value AS DECIMAL(38,9)) m FROM events WHERE ts >= TIMESTAMP '2024-01-05 06:00:00' AND ts < TIMESTAMP '2024-01-21 00:00:00')")
+def filter_between_datetime_dayend(spark, sf):
+    return governed.aggregated(EVENTS, table(spark, sf, "events"), "sum", "value", [("ts", "between", "2024-01-05 06:00:00", "2024-01-20")])
+
+
+@query(f"SELECT CAST(sum(m) AS DECIMAL(38,9)) AS aggregate_value, {_ROW} FROM (SELECT CAST(l_extendedprice AS DECIMAL(38,9)) m FROM lineitem WHERE l_returnflag = 'N' AND CAST(l_shipdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' AND CAST(l_quantity AS DECIMAL(38,9)) > 20 AND CAST(l_discount AS DECIMAL(38,9)) <= 0.07)")
+def filter_conjunction_typed(spark, sf):
+    filters = [("l_returnflag", "eq", "N"), ("l_shipdate", "between", "1996-01-01", "1996-12-31"), ("l_quantity", "gt", "20"), ("l_discount", "lte", "0.07")]
+    return governed.aggregated(LINES, table(spark, sf, "lineitem"), "sum", "l_extendedprice", filters)
+
+
+# questions
+
+def _questions(spark, sf, ending: str) -> DataFrame:
+    """A question for each status and month of the orders."""
+    months = table(spark, sf, "orders").select("o_orderstatus", F.date_format("o_orderdate", "yyyy-MM").alias("m")).distinct()
+    first, last = F.concat("m", F.lit("-01")), F.date_format(F.last_day(F.to_date(F.concat("m", F.lit("-01")))), "yyyy-MM-dd")
+    text = F.concat(F.lit("订单日期"), first, F.lit("至"), last, F.lit("且状态为"), "o_orderstatus", F.lit(ending))
+    return months.select(F.concat_ws("/", "o_orderstatus", "m").alias("q_id"), text.alias("question"))
+
+
+@query("SELECT o_orderstatus || '/' || strftime(o_orderdate, '%Y-%m') AS q_id, 'avg' AS aggregate, 'o_totalprice' AS metric, round(CAST(sum(CAST(o_totalprice AS DECIMAL(38,9))) AS DOUBLE) / count(o_totalprice), 6) AS aggregate_value, count(*) AS total_count, count(o_totalprice) AS valid_count, count(*) - count(o_totalprice) AS null_count FROM orders GROUP BY 1")
+def nl_question_avg(spark, sf):
+    return questions.answers(ASKED, questions.resolved(ASKED, _questions(spark, sf, "，总价平均是多少")), table(spark, sf, "orders"))
+
+
+@query("SELECT o_orderstatus || '/' || strftime(o_orderdate, '%Y-%m') AS q_id, 'count' AS aggregate, CAST(NULL AS VARCHAR) AS metric, CAST(count(*) AS DOUBLE) AS aggregate_value, count(*) AS total_count, count(*) AS valid_count, CAST(0 AS BIGINT) AS null_count FROM orders GROUP BY 1")
+def nl_question_count(spark, sf):
+    return questions.answers(ASKED, questions.resolved(ASKED, _questions(spark, sf, "，一共多少条")), table(spark, sf, "orders"))
+
+
+@query("""WITH k AS (SELECT DISTINCT o_orderstatus || '/' || strftime(o_orderdate, '%Y-%m') AS q FROM orders)
+SELECT q || e AS q_id, o AS outcome, r AS reason FROM k, (VALUES ('/1', 'clarification', 'several_aggregates'), ('/2', 'unavailable', 'no_aggregate'), ('/3', 'unavailable', 'or_not_supported'), ('/4', 'unavailable', 'filter_not_understood'), ('/5', 'unavailable', 'no_metric')) v(e, o, r)""")
+def nl_question_refused(spark, sf):
+    endings = {"/1": "，总价平均和最大", "/2": "，总价如何", "/3": "或优先级为高，总价平均", "/4": "且重量大于5，总价平均", "/5": "，平均是多少"}
+    asked = None
+    for key, ending in endings.items():
+        one = _questions(spark, sf, ending).withColumn("q_id", F.concat("q_id", F.lit(key)))
+        asked = one if asked is None else asked.union(one)
+    return questions.resolved(ASKED, asked).select("q_id", "outcome", "reason")
+
+
+# publication
+
+@query("""SELECT count(*) AS row_count, count(DISTINCT sha256(o_orderstatus)) AS content_versions, count(*) FILTER (WHERE o_orderkey IS NULL) AS null_o_orderkey, count(o_orderkey) AS count_o_orderkey, min(o_orderkey) AS min_o_orderkey, max(o_orderkey) AS max_o_orderkey,
+count(*) FILTER (WHERE o_custkey IS NULL) AS null_o_custkey, count(o_custkey) AS count_o_custkey, min(o_custkey) AS min_o_custkey, max(o_custkey) AS max_o_custkey, count(*) FILTER (WHERE o_orderstatus IS NULL) AS null_o_orderstatus,
+count(*) FILTER (WHERE o_totalprice IS NULL) AS null_o_totalprice, count(o_totalprice) AS count_o_totalprice, min(CAST(o_totalprice AS DECIMAL(38,9))) AS min_o_totalprice, max(CAST(o_totalprice AS DECIMAL(38,9))) AS max_o_totalprice,
+count(*) FILTER (WHERE o_orderdate IS NULL) AS null_o_orderdate, count(*) FILTER (WHERE o_orderpriority IS NULL) AS null_o_orderpriority FROM orders""")
+def publication_validation(spark, sf):
+    rows = ORDERS.of(table(spark, sf, "orders")).withColumn("_h", F.sha2("o_orderstatus", 256))
+    return publication.validation(rows, ORDERS, "_h").drop("content_hash")
+
+
+@query("SELECT l_returnflag, count(*) - count(l_quantity) AS null_l_quantity, min(CAST(l_quantity AS DECIMAL(38,9))) AS min_l_quantity, max(CAST(l_quantity AS DECIMAL(38,9))) AS max_l_quantity, min(CAST(l_discount AS DECIMAL(38,9))) AS min_l_discount, max(CAST(l_discount AS DECIMAL(38,9))) AS max_l_discount FROM lineitem GROUP BY l_returnflag")
+def publication_numeric_ranges(spark, sf):
+    rows = LINES.of(table(spark, sf, "lineitem"))
+    ranges = [f(c).alias(f"{n}_{c}") for c in ("l_quantity", "l_discount") for n, f in (("min", F.min), ("max", F.max))]
+    return rows.groupBy("l_returnflag").agg(F.count_if(F.col("l_quantity").isNull()).alias("null_l_quantity"), *ranges)
+
+
+_LANE = "CAST(concat('0x', {0}) AS UBIGINT)"
+_SWAP = " || ".join(f"substr(h, {{0}} * 16 + {2 * i + 1}, 2)" for i in range(7, -1, -1))
+_ENCODED = " || ".join(f"CASE WHEN {c} IS NULL THEN 'N;' ELSE 'V' || strlen({c}) || ':' || {c} || ';' END" for c in ("a", "b", "c", "d", "e"))
+_LANES = ", ".join(f"CAST(sum(CAST(l{i} AS HUGEINT)) % 18446744073709551616 AS DECIMAL(20,0)) AS sum_{i}, CAST(bit_xor(l{i}) AS DECIMAL(20,0)) AS xor_{i}" for i in range(4))
+
+
+@query(f"""WITH t AS (SELECT CAST(o_orderkey AS VARCHAR) a, o_orderstatus b, CAST(CAST(o_totalprice AS DECIMAL(38,9)) AS VARCHAR) c, strftime(o_orderdate, '%Y-%m-%d') d, o_orderpriority e FROM orders),
+s AS (SELECT sha256({_ENCODED}) h FROM t),
+l AS (SELECT {', '.join(f"{_LANE.format(_SWAP.format(i))} l{i}" for i in range(4))} FROM s)
+SELECT count(*) AS row_count, {_LANES} FROM l""")
+def content_digest(spark, sf):
+    kinds = {"o_orderkey": "integer", "o_orderstatus": "string", "o_totalprice": "decimal", "o_orderdate": "date", "o_orderpriority": "string"}
+    return publication.content_lanes(ORDERS.of(table(spark, sf, "orders")), kinds)
+
+
+_CELLS = """SELECT CAST(o_orderkey AS VARCHAR) a, CASE WHEN o_orderkey % 7 = 0 THEN '  ' ELSE printf('%.2f', o_totalprice) END b, strftime(o_orderdate, '%Y-%m-%d') c, o_orderstatus d,
+CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'FALSE' END e, CASE WHEN o_orderkey % 5 = 0 THEN '12' ELSE '1.5' END f, CASE WHEN o_orderkey % 1000 = 1 THEN 'none' ELSE '7' END g, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') h FROM orders"""
+
+
+def _cells(spark, sf) -> DataFrame:
+    """Cells as a spreadsheet would hold them."""
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(
+        k.cast("string").alias("a"), F.when(k % 7 == 0, "  ").otherwise(F.format_string("%.2f", "o_totalprice")).alias("b"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("c"), F.col("o_orderstatus").alias("d"),
+        F.when(k % 2 == 0, "true").otherwise("FALSE").alias("e"), F.when(k % 5 == 0, "12").otherwise("1.5").alias("f"), F.when(k % 1000 == 1, "none").otherwise("7").alias("g"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("h"),
+    )
+
+
+@query(f"""WITH t AS ({_CELLS})
+SELECT * FROM (SELECT 'a' AS column_name, 'integer' AS inferred_type, count(*) FILTER (WHERE a IS NULL) AS null_count, false AS mixed FROM t UNION ALL SELECT 'b', 'decimal', count(*) FILTER (WHERE trim(b) = ''), false FROM t UNION ALL SELECT 'c', 'date', count(*) FILTER (WHERE c IS NULL), false FROM t
+UNION ALL SELECT 'd', 'string', count(*) FILTER (WHERE d IS NULL), false FROM t UNION ALL SELECT 'e', 'boolean', count(*) FILTER (WHERE e IS NULL), false FROM t UNION ALL SELECT 'f', 'decimal', count(*) FILTER (WHERE f IS NULL), false FROM t
+UNION ALL SELECT 'g', 'string', count(*) FILTER (WHERE g IS NULL), count(*) FILTER (WHERE g = 'none') > 0 FROM t UNION ALL SELECT 'h', 'datetime', count(*) FILTER (WHERE h IS NULL), false FROM t)""")
+def csv_type_inference(spark, sf):
+    return publication.inferred(_cells(spark, sf), list("abcdefgh"))
+
+
+@query(f"WITH t AS ({_CELLS}) SELECT CAST(a AS BIGINT) AS a, coalesce(TRY_CAST(trim(b) AS DECIMAL(38,9)), 0) AS b, CAST(c AS DATE) AS c, CAST(lower(e) = 'true' AS BOOLEAN) AS e, coalesce(TRY_CAST(g AS BIGINT), 0) AS g FROM t")
+def null_policy_zero(spark, sf):
+    kinds = Dataset({"a": Field("integer"), "b": Field("decimal", null_policy="zero"), "c": Field("date"), "e": Field("boolean"), "g": Field("integer", null_policy="zero")})
+    return publication.typed(kinds, _cells(spark, sf))
+
+
+@query(f"""WITH t AS ({_CELLS}) SELECT CAST(a AS BIGINT) AS row_number, 'b' AS column_name, 'null_value_rejected' AS problem, CAST(NULL AS VARCHAR) AS sample FROM t WHERE trim(b) = ''
+UNION ALL SELECT CAST(a AS BIGINT), 'g', 'type_conversion_failed', '[redacted sha256:' || substr(sha256(g), 1, 12) || ' len=' || strlen(g) || ']' FROM t WHERE g = 'none'""")
+def rejected_cells(spark, sf):
+    kinds = Dataset({"b": Field("decimal", null_policy="reject"), "c": Field("date"), "g": Field("integer")})
+    return publication.bad_cells(kinds, _cells(spark, sf).withColumn("row_number", F.col("a").cast("long")), "row_number")
+
+
+@query("""SELECT p_partkey, CASE WHEN n SIMILAR TO '[0-9].*' THEN 'col_' || n WHEN n <> '' THEN n ELSE 'column_' || p_partkey END AS physical_name
+FROM (SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' ' || p_size), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') n FROM part)""")
+def physical_names(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", vx.physical_name(F.concat_ws(" ", "p_name", "p_size"), F.col("p_partkey")).alias("physical_name"))
+
+
+@query("SELECT count(*) AS row_count, count(DISTINCT n_regionkey) AS regions FROM nation")
+def published_round_trip(spark, sf):
+    """Publishes nation as a version, reads the active one back."""
+    data = Dataset({"n_nationkey": Field("integer"), "n_name": Field("string"), "n_regionkey": Field("integer")})
+    rows = data.of(table(spark, sf, "nation"))
+    meta = {"_source_id": F.lit("nation"), "_dataset_id": F.lit("ds-nation"), "_schema_version": F.lit(1).cast("long"), "_worksheet": F.lit("nation"), "_row_number": F.col("n_nationkey") + 2}
+    from tallyroom.tables import new_path
+
+    there = publication.Publisher(spark, new_path(spark, "published")).publish("ds-nation", data, rows.withColumns(meta))
+    return there.agg(F.count("*").alias("row_count"), F.count_distinct("n_regionkey").alias("regions"))
+
+
+# text and retrieval
+
+_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9))"
+_CHUNKS = f"""n AS (SELECT *, {_NORM} t FROM documents),
+w AS (SELECT doc_id, lang, source, t, unnest(range(0, greatest(1, CAST(ceil((length(t) - 120) / 480.0) AS BIGINT)))) i FROM n),
+x AS (SELECT doc_id, lang, source, i, trim(substr(t, i * 480 + 1, 600), ' ' || chr(10) || chr(9)) chunk FROM w),
+c AS (SELECT doc_id, lang, source, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS chunk_index, chunk FROM x WHERE chunk <> '' OR i = 0)"""
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, chunk_index, length(chunk) AS n_chars, sha256(chunk) AS digest FROM c")
+def chunk_documents(spark, sf):
+    chunks = retrieval.chunked(table(spark, sf, "documents"))
+    return chunks.select("doc_id", "chunk_index", long(F.length("chunk")).alias("n_chars"), F.sha2("chunk", 256).alias("digest"))
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, CAST(sum(greatest(1, len(regexp_extract_all(chunk, '[A-Za-z0-9_]+')) + length(regexp_replace(chunk, '[\\x00-\\x7F]', '', 'g')))) AS BIGINT) AS tokens FROM c GROUP BY doc_id")
+def chunk_token_estimate(spark, sf):
+    return retrieval.chunked(table(spark, sf, "documents")).groupBy("doc_id").agg(F.sum(long("token_count")).alias("tokens"))
+
+
+_TERMS = """q0 AS (SELECT item_id AS q_id, text AS question, lower(trim(text)) low, lower(regexp_replace(text, '\\s+', '', 'g')) compact FROM benchmark),
+q AS (SELECT q_id, question, low, list_distinct(list_concat(regexp_extract_all(low, '[a-z0-9_]{2,}'), list_filter(list_transform(range(1, length(compact)), lambda i: substr(compact, i, 2)), lambda g: strlen(g) > length(g)))) terms FROM q0)"""
+
+
+@query(f"WITH {_TERMS} SELECT q_id, len(terms) AS n_terms, array_to_string(list_sort(terms), ' ') AS terms FROM q")
+def query_terms(spark, sf):
+    terms = tx.search_terms(F.col("text"))
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), long(F.size(terms)).alias("n_terms"), F.array_join(F.array_sort(terms), " ").alias("terms"))
+
+
+def _asked(spark, sf) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
+
+
+def _chunks(spark, sf) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return retrieval.chunked(docs).join(docs.select("doc_id", "source", "lang"), "doc_id").select(F.col("doc_id").alias("source_id"), F.col("source").alias("source_name"), F.col("lang").alias("source_type"), "chunk_index", "chunk")
+
+
+_HITS = f"""{_CHUNKS}, {_TERMS},
+h AS (SELECT q_id, doc_id AS source_id, source AS source_name, chunk_index, chunk, list_filter(terms, lambda t: contains(lower(source || ' ' || lang || ' ' || chunk), t)) m, contains(lower(source || ' ' || lang || ' ' || chunk), low) whole FROM q, c),
+s AS (SELECT *, CAST(list_sum(list_transform(m, lambda t: CASE WHEN length(t) <= 2 THEN 2 ELSE 3 END)) + CASE WHEN whole THEN 8 ELSE 0 END AS INT) AS score FROM h WHERE len(m) > 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, source_name, source_id, chunk_index) AS INT) AS rank FROM s)"""
+
+
+def _hits(spark, sf) -> DataFrame:
+    return retrieval.keyword_hits(_asked(spark, sf), _chunks(spark, sf)).withColumnRenamed("keyword_score", "score")
+
+
+@query(f"WITH {_HITS} SELECT q_id, source_id, chunk_index, score, rank, array_to_string(list_sort(m), ' ') AS matched FROM r WHERE rank <= 5")
+def keyword_score_topk(spark, sf):
+    return retrieval.ranked(_hits(spark, sf)).select("q_id", "source_id", "chunk_index", "score", "rank", F.array_join(F.array_sort("matched_terms"), " ").alias("matched"))
+
+
+@query(f"WITH {_HITS}, t AS (SELECT q_id, source_id, chunk_index, score, CAST(row_number() OVER (PARTITION BY q_id, source_id ORDER BY score DESC, chunk_index) AS INT) AS place FROM r WHERE rank <= 20) SELECT * FROM t WHERE place <= 2")
+def per_source_top2(spark, sf):
+    return retrieval.top_of_source(retrieval.ranked(_hits(spark, sf), 20)).select("q_id", "source_id", "chunk_index", "score", "place")
+
+
+@query(f"WITH {_HITS}, f AS (SELECT q_id, source_id, min(rank) b FROM r WHERE rank <= 5 GROUP BY ALL), p AS (SELECT q_id, source_id, CAST(row_number() OVER (PARTITION BY q_id ORDER BY b) AS INT) AS place FROM f) SELECT * FROM p WHERE place <= 3")
+def first_three_sources(spark, sf):
+    return retrieval.first_sources(retrieval.ranked(_hits(spark, sf)))
+
+
+@query(f"""WITH {_HITS}, a AS (SELECT * FROM r WHERE rank <= 5), b AS (SELECT * FROM r WHERE source_name <> 'src0' AND rank <= 12),
+u AS (SELECT q_id, source_id, chunk_index, source_name, max(score) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL),
+o AS (SELECT q_id, source_id, chunk_index, score, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, source_name, source_id, chunk_index) AS INT) AS rank FROM u)
+SELECT * FROM o WHERE rank <= 5""")
+def merge_ranked_hits(spark, sf):
+    hits = staged(retrieval.ranked(_hits(spark, sf), 12).drop("matched_terms"), "hits")
+    return retrieval.merged(hits.where("rank <= 5"), hits.where("source_name <> 'src0'")).select("q_id", "source_id", "chunk_index", "score", "rank")
+
+
+@query(f"""WITH {_HITS}, t AS (SELECT * FROM r WHERE rank <= 5)
+SELECT q_id, count(*) AS n_hits, count(DISTINCT source_id) AS n_sources, (CAST(max(contains(chunk, 'idiot')) AS INT) + CAST(max(contains(chunk, 'token')) AS INT) + CAST(max(contains(chunk, 'the')) AS INT)) >= 2 AS conflict FROM t GROUP BY q_id""")
+def evidence_conflict_terms(spark, sf):
+    return retrieval.evidence(retrieval.ranked(_hits(spark, sf)), ["idiot", "token", "the"]).select("q_id", "n_hits", "n_sources", "conflict")
+
+
+@query()
+def hybrid_score_threshold(spark, sf):
+    """Keyword and hashed vector scores; BLAKE2b keeps this from SQL."""
+    return retrieval.ranked(retrieval.hybrid_hits(_asked(spark, sf), _chunks(spark, sf))).select("q_id", "source_id", "chunk_index", "rank", "keyword_score", F.round("vector_score", 9).alias("vector_score"))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) e FROM embeddings),
+s AS (SELECT q.vec_id AS q_id, c.vec_id AS source_id, round(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])), 6) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 7),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, source_id) AS INT) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
+def vector_topk(spark, sf):
+    v = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    asked = v.where("vec_id % 100 = 7").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("asked"))
+    scored = retrieval.in_blocks(asked, "q_id", lambda b: v.join(F.broadcast(b), F.col("q_id") != F.col("vec_id")).select("q_id", F.col("vec_id").alias("source_id"), F.round(tx.dot(F.col("asked"), F.col("embedding")), 6).alias("score")))
+    place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "source_id"))
+    return scored.withColumn("rank", place).where("rank <= 5")
+
+
+@query(r"""SELECT page_id, length(t) AS n_chars, sha256(t) AS digest FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) t FROM pages)""")
+def page_text(spark, sf):
+    text = tx.plain_html(F.col("html"))
+    return table(spark, sf, "pages").select("page_id", long(F.length(text)).alias("n_chars"), F.sha2(text, 256).alias("digest"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(t) <= 96 THEN t ELSE rtrim(substr(t, 1, 96)) || '...' END AS excerpt, substr(trim(text, ' ' || chr(10)), 1, 18) || CASE WHEN length(trim(text, ' ' || chr(10))) > 18 THEN '...' ELSE '' END AS title FROM (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) t FROM documents)""")
+def excerpts(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tx.shortened(F.col("text"), 96).alias("excerpt"), tx.title(F.col("text")).alias("title"))
+
+
+@query("SELECT doc_id, source, lang FROM documents WHERE contains(lower(doc_id || ' ' || source || ' ' || lang || ' ' || coalesce(text, '')), 'src1') OR contains(lower(coalesce(text, '')), 'licensed')")
+def search_contains(spark, sf):
+    hay = tx.haystack(F.col("doc_id").cast("string"), F.col("source"), F.col("lang"), F.col("text"))
+    return table(spark, sf, "documents").where(hay.contains("src1") | F.lower(F.coalesce("text", F.lit(""))).contains("licensed")).select("doc_id", "source", "lang")
+
+
+# evaluation
+
+_CASES = """k AS (SELECT item_id AS case_id, item_id % 5 <> 0 AS expect_answer, CASE WHEN item_id % 4 = 0 THEN ' ' ELSE 'c' || item_id % 3 END AS category, ['t' || item_id % 2, ' t' || item_id % 3 || ' ', ''] AS tags, text FROM benchmark)"""
+
+
+def _cases(spark, sf) -> DataFrame:
+    i = F.col("item_id")
+    return table(spark, sf, "benchmark").select(
+        i.alias("case_id"), (i % 5 != 0).alias("expect_answer"), F.when(i % 4 == 0, " ").otherwise(F.concat(F.lit("c"), i % 3)).alias("category"),
+        F.array(F.concat(F.lit("t"), i % 2), F.concat(F.lit(" t"), i % 3, F.lit(" ")), F.lit("")).alias("tags"), "text",
+    )
+
+
+_RUNS = f"""{_HITS}, {_CASES},
+hit AS (SELECT q_id AS case_id, source_id, source_name, chunk, CAST(score AS DOUBLE) score FROM r WHERE rank <= 5 AND score >= 40),
+g AS (SELECT case_id, list_sort(list(DISTINCT source_name)) ms, string_agg(lower(source_name || ' ' || chunk), ' ') ev, max(score) top, count(*) hc FROM hit GROUP BY case_id),
+e AS (SELECT k.case_id, expect_answer, CASE WHEN k.case_id % 2 = 0 THEN ['src' || k.case_id % 20] ELSE CAST([] AS VARCHAR[]) END es, [upper(split_part(k.text, ' ', 1)), 'zzz'][1:1 + k.case_id % 2] et, coalesce(ms, []) ms, coalesce(ev, '') ev, coalesce(top, 0.0) top_score, coalesce(hc, 0) hit_count FROM k LEFT JOIN g ON k.case_id = g.case_id),
+z AS (SELECT *, list_filter(es, lambda x: NOT list_contains(ms, x)) miss, list_filter(et, lambda x: NOT contains(ev, lower(x))) gone FROM e),
+runs AS (SELECT case_id, expect_answer, hit_count > 0 AS answerable, NOT expect_answer AND hit_count > 0 AS false_positive, es, et, miss, gone,
+  CASE WHEN len(es) > 0 THEN (len(es) - len(miss)) / len(es)::DOUBLE ELSE 1.0 END AS source_recall, CASE WHEN len(et) > 0 THEN (len(et) - len(gone)) / len(et)::DOUBLE ELSE 1.0 END AS term_recall, top_score, hit_count,
+  CASE WHEN (CASE WHEN expect_answer THEN hit_count > 0 AND len(miss) = 0 AND len(gone) = 0 ELSE hit_count = 0 END) THEN 'passed' ELSE 'failed' END AS status FROM z)"""
+
+
+def _runs(spark, sf) -> DataFrame:
+    i = F.col("case_id")
+    terms = F.slice(F.array(F.upper(F.split_part("text", F.lit(" "), F.lit(1))), F.lit("zzz")), 1, (1 + i % 2).cast("int"))
+    expected = _cases(spark, sf).select("case_id", "expect_answer", F.when(i % 2 == 0, F.array(F.concat(F.lit("src"), i % 20))).otherwise(F.array().cast("array<string>")).alias("expected_sources"), terms.alias("expected_terms"))
+    hits = retrieval.ranked(_hits(spark, sf)).where("score >= 40").select(F.col("q_id").alias("case_id"), F.col("source_name").alias("source_id"), "source_name", "chunk", F.col("score").cast("double").alias("score"))
+    return evaluation.scored_runs(expected, hits)
+
+
+@query(f"WITH {_RUNS} SELECT case_id, status, answerable, false_positive, round(source_recall, 6) AS source_recall, round(term_recall, 6) AS term_recall, top_score, hit_count FROM runs")
+def eval_runs(spark, sf):
+    return _runs(spark, sf).select("case_id", "status", "answerable", "false_positive", F.round("source_recall", 6).alias("source_recall"), F.round("term_recall", 6).alias("term_recall"), "top_score", "hit_count")
+
+
+def _summary_sql(runs: str) -> str:
+    share = lambda a, b: f"CASE WHEN {b} = 0 THEN CAST(0 AS DECIMAL(12,4)) ELSE CAST(CAST({a} AS DECIMAL(20,10)) / {b} AS DECIMAL(12,4)) END"
+    ok, asks = "count(*) FILTER (WHERE status = 'passed')", "count(*) FILTER (WHERE expect_answer)"
+    return f"""SELECT count(*) AS total, {ok} AS passed, count(*) - {ok} AS failed, {share(ok, 'count(*)')} AS pass_rate,
+{share("count(*) FILTER (WHERE status = 'passed' AND expect_answer)", asks)} AS answer_pass_rate, {share("count(*) FILTER (WHERE status = 'passed' AND NOT expect_answer)", 'count(*) FILTER (WHERE NOT expect_answer)')} AS no_answer_accuracy,
+count(*) FILTER (WHERE false_positive) AS false_positive_count, {share('count(*) FILTER (WHERE false_positive)', 'count(*) FILTER (WHERE NOT expect_answer)')} AS false_positive_rate,
+coalesce(round(avg(source_recall) FILTER (WHERE expect_answer AND len(es) > 0), 4), 0.0) AS average_source_recall, coalesce(round(avg(term_recall) FILTER (WHERE expect_answer AND len(et) > 0), 4), 0.0) AS average_term_recall,
+coalesce(round(avg(top_score), 4), 0.0) AS average_top_score, coalesce(max(top_score), 0.0) AS maximum_top_score FROM {runs}"""
+
+
+@query(f"WITH {_RUNS} {_summary_sql('runs')}")
+def eval_summary(spark, sf):
+    return evaluation.summary(_runs(spark, sf))
+
+
+_GROUP = "count(*) AS total, count(*) FILTER (WHERE status = 'passed') AS passed, CAST(CAST(count(*) FILTER (WHERE status = 'passed') AS DECIMAL(20,10)) / count(*) AS DECIMAL(12,4)) AS pass_rate"
+
+
+@query(f"WITH {_RUNS} SELECT coalesce(nullif(trim(category), ''), '未分类') AS name, {_GROUP} FROM runs JOIN k USING (case_id) GROUP BY 1")
+def eval_category_breakdown(spark, sf):
+    return evaluation.by_category(_runs(spark, sf), _cases(spark, sf))
+
+
+@query(f"WITH {_RUNS}, t AS (SELECT DISTINCT case_id, status, trim(tag) AS name FROM runs JOIN (SELECT case_id, unnest(tags) tag FROM k) USING (case_id) WHERE trim(tag) <> '') SELECT name, {_GROUP} FROM t GROUP BY name")
+def eval_tag_breakdown(spark, sf):
+    return evaluation.by_tag(_runs(spark, sf), _cases(spark, sf))
+
+
+@query(f"""WITH {_RUNS} SELECT case_id, array_to_string(list_filter([CASE WHEN false_positive THEN 'false_positive' END, CASE WHEN expect_answer AND NOT answerable THEN 'no_hit' END, CASE WHEN len(miss) > 0 THEN 'missing_source' END, CASE WHEN len(gone) > 0 THEN 'missing_term' END], lambda x: x IS NOT NULL AND status <> 'passed'), ',') AS reasons FROM runs""")
+def failure_reasons(spark, sf):
+    return _runs(spark, sf).select("case_id", F.array_join(evaluation.failure_reasons(), ",").alias("reasons"))
+
+
+def _batches(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Two batches of runs from the labels: one by quality, one by absence of toxicity, of overlapping documents."""
+    labels = table(spark, sf, "labels")
+    status = lambda c: F.when(c == 1, "passed").otherwise("failed").alias("status")
+    return labels.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("case_id"), status(F.col("quality"))), labels.where("doc_id % 3 <> 1").select(F.col("doc_id").alias("case_id"), status(1 - F.col("toxic")))
+
+
+_BATCHES = "l AS (SELECT doc_id AS case_id, CASE WHEN quality = 1 THEN 'passed' ELSE 'failed' END s FROM labels WHERE doc_id % 3 <> 0), r AS (SELECT doc_id AS case_id, CASE WHEN toxic = 0 THEN 'passed' ELSE 'failed' END s FROM labels WHERE doc_id % 3 <> 1)"
+
+
+@query(f"WITH {_BATCHES} SELECT case_id, CASE WHEN r.s IS NULL THEN 'left_only' WHEN l.s IS NULL THEN 'right_only' WHEN l.s = 'failed' AND r.s = 'passed' THEN 'improved' WHEN l.s = 'passed' AND r.s = 'failed' THEN 'regressed' ELSE 'same' END AS change FROM l FULL JOIN r USING (case_id)")
+def batch_compare_status(spark, sf):
+    return evaluation.compared(*_batches(spark, sf))
+
+
+@query(f"WITH {_BATCHES} SELECT case_id FROM l WHERE case_id NOT IN (SELECT case_id FROM r)")
+def batch_only_left(spark, sf):
+    left, right = _batches(spark, sf)
+    return left.join(right, "case_id", "left_anti").select("case_id")
+
+
+@query(f"WITH {_BATCHES} SELECT case_id FROM r WHERE case_id NOT IN (SELECT case_id FROM l)")
+def batch_only_right(spark, sf):
+    left, right = _batches(spark, sf)
+    return right.join(left, "case_id", "left_anti").select("case_id")
+
+
+@query(f"""WITH {_BATCHES}, a AS (SELECT count(*) total, count(*) FILTER (WHERE s = 'passed') passed FROM l), b AS (SELECT count(*) total, count(*) FILTER (WHERE s = 'passed') passed FROM r)
+SELECT b.total - a.total AS total, b.passed - a.passed AS passed, CAST(CAST(CAST(b.passed AS DECIMAL(20,10)) / b.total AS DECIMAL(12,4)) - CAST(CAST(a.passed AS DECIMAL(20,10)) / a.total AS DECIMAL(12,4)) AS DECIMAL(13,4)) AS pass_rate FROM a, b""")
+def batch_metric_delta(spark, sf):
+    def summed(rows: DataFrame) -> DataFrame:
+        none = F.array().cast("array<string>")
+        runs = rows.select("status", F.lit(True).alias("expect_answer"), F.lit(False).alias("false_positive"), none.alias("expected_sources"), none.alias("expected_terms"), F.lit(1.0).alias("source_recall"), F.lit(1.0).alias("term_recall"), F.lit(0.0).alias("top_score"))
+        return evaluation.summary(runs).select("total", "passed", "pass_rate")
+
+    return evaluation.metric_delta(*map(summed, _batches(spark, sf))).select("total", "passed", F.col("pass_rate").cast("decimal(13,4)").alias("pass_rate"))
+
+
+@query("""WITH k AS (SELECT d.doc_id AS case_id, lang AS category, quality = 1 AS e, source FROM documents d JOIN labels USING (doc_id)), s AS (SELECT user_id AS case_id, max_by(event_type, event_id) AS st FROM events GROUP BY user_id)
+SELECT k.case_id, coalesce(st, 'idle') AS last_status FROM k LEFT JOIN s ON k.case_id = s.case_id WHERE category = 'en' AND e AND source = 'src1'""")
+def case_filter(spark, sf):
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    rows = docs.select(F.col("doc_id").alias("case_id"), F.col("lang").alias("category"), F.array("source").alias("tags"), (F.col("quality") == 1).alias("expect_answer"))
+    last = table(spark, sf, "events").groupBy(F.col("user_id").alias("case_id")).agg(F.max_by("event_type", "event_id").alias("status"))
+    return evaluation.filtered(rows, last, category="en", tag="src1", expect_answer=True).select("case_id", "last_status")
+
+
+@query("SELECT DISTINCT 'category' AS kind, lang AS value FROM documents WHERE lang <> '' UNION ALL SELECT DISTINCT 'tag', source FROM documents WHERE source <> ''")
+def case_facets(spark, sf):
+    return evaluation.facets(table(spark, sf, "documents").select(F.col("lang").alias("category"), F.array("source").alias("tags")))
+
+
+# cases
+
+@query(r"""WITH d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) k FROM documents), b AS (SELECT DISTINCT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) k FROM benchmark) SELECT min(doc_id) AS doc_id FROM d WHERE k NOT IN (SELECT k FROM b) GROUP BY k""")
+def import_dedup(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.col("text").alias("question"), F.lit(None).cast("string").alias("external_key"))
+    have = table(spark, sf, "benchmark").select(F.col("text").alias("question"), F.lit(None).cast("string").alias("external_key"))
+    keyed = rows.withColumn("_q", tx.question_key(F.col("question"))).join(have.select(tx.question_key(F.col("question")).alias("_q")).distinct(), "_q", "left_anti")
+    return keyed.groupBy("_q").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+
+
+@query()
+def import_dedup_both_keys(spark, sf):
+    """Two kinds of keys, a later row against earlier kept ones: sequential, so no SQL; a test recomputes it."""
+    rows = table(spark, sf, "conversations").where("role = 'user'").select(F.col("conv_id").alias("batch"), "turn", F.col("text").alias("question"), F.concat(F.lit("k"), F.length("text") % 3).alias("external_key"))
+    return cases.deduplicated_by_both(rows, "batch", "turn")
+
+
+@query("""WITH s AS (SELECT c_mktsegment AS source_name, count(*) n, min(c_custkey) AS source_id FROM customer GROUP BY 1), a AS (SELECT s_suppkey AS case_id, unnest(['BUILDING', 'SUPPLIER ' || s_suppkey]) AS source_name FROM supplier)
+SELECT case_id, a.source_name, CASE WHEN n IS NULL THEN 'unknown' WHEN n > 1 THEN 'ambiguous' ELSE 'found' END AS state, CASE WHEN n = 1 THEN source_id END AS source_id FROM a LEFT JOIN s ON a.source_name = s.source_name""")
+def import_name_lookup(spark, sf):
+    rows = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("case_id"), F.array(F.lit("BUILDING"), F.concat(F.lit("SUPPLIER "), "s_suppkey")).alias("names"))
+    return cases.with_sources(rows, "case_id", "names", table(spark, sf, "customer").select(F.col("c_mktsegment").alias("source_name"), F.col("c_custkey").alias("source_id")))
+
+
+@query("SELECT orders.o_custkey AS missing_id, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20) GROUP BY 1")
+def missing_ids(spark, sf):
+    return table(spark, sf, "orders").join(table(spark, sf, "customer").where("c_nationkey < 20"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").groupBy(F.col("o_custkey").alias("missing_id")).agg(F.count("*").alias("n"))
+
+
+# jobs and control tables
+
+_JOBS = """j AS (SELECT user_id AS job_id, max_by({'s': CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'failed' ELSE 'done' END, 't': ts}, event_id) x, count(*) AS n_entries FROM events GROUP BY user_id),
+jobs AS (SELECT job_id, x.s AS status, x.t AS at, x.t + INTERVAL 1 HOUR AS retry_at, x.t + INTERVAL 2 HOUR AS lease_until, n_entries FROM j)"""
+
+
+def _log(spark, sf) -> DataFrame:
+    e = F.col("event_id") % 4
+    return table(spark, sf, "events").select(F.col("user_id").alias("job_id"), "event_id", F.when(e == 0, "queued").when(e == 1, "running").when(e == 2, "failed").otherwise("done").alias("status"), F.col("ts").alias("at"))
+
+
+def _jobs(spark, sf) -> DataFrame:
+    rows = jobs.current(_log(spark, sf), "job_id", "event_id")
+    return rows.select("job_id", "status", "at", (F.col("at") + F.expr("INTERVAL 1 HOUR")).alias("retry_at"), (F.col("at") + F.expr("INTERVAL 2 HOUR")).alias("lease_until"), "n_entries")
+
+
+@query(f"WITH {_JOBS} SELECT job_id, status, n_entries FROM jobs")
+def job_state_fold(spark, sf):
+    return _jobs(spark, sf).select("job_id", "status", "n_entries")
+
+
+@query(f"WITH {_JOBS}, n AS (SELECT max(ts) - INTERVAL 1 DAY AS now FROM events) SELECT job_id, status FROM jobs, n WHERE status = 'queued' OR (status = 'failed' AND retry_at <= now) OR (status = 'running' AND lease_until < now) ORDER BY retry_at, job_id LIMIT 25")
+def job_claim_next(spark, sf):
+    now = table(spark, sf, "events").agg(F.max("ts") - F.expr("INTERVAL 1 DAY")).first()[0]
+    return jobs.next_claims(_jobs(spark, sf), F.lit(now), 25).select("job_id", "status")
+
+
+@query(f"WITH {_JOBS} SELECT job_id, status, n_entries FROM jobs")
+def job_state_stream(spark, sf):
+    """The same fold by Structured Streaming, one micro-batch for each input file."""
+    from tallyroom.tables import new_path
+
+    path = new_path(spark, "job-log")
+    _log(spark, sf).repartition(3, "event_id").write.parquet(path)
+    log = spark.read.parquet(path)
+    return events.folded(spark, path, log.schema, "job_id", "event_id").select("job_id", "status", "n_entries")
+
+
+@query("SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) r FROM events) WHERE r = 1")
+def latest_status_per_key(spark, sf):
+    return evaluation.latest(table(spark, sf, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id").select("user_id", "event_type", "value")
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderpriority DESC, o_orderkey DESC) r FROM orders) WHERE r = 1")
+def latest_by_composite(spark, sf):
+    return evaluation.latest(table(spark, sf, "orders"), "o_custkey", "o_orderdate", "o_orderpriority", "o_orderkey").select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, user_id, event_id) AS sequence FROM events")
+def sequence_backfill(spark, sf):
+    return jobs.sequenced(table(spark, sf, "events").select("ts", "user_id", "event_id"), "ts", "user_id", "event_id").select("event_id", "sequence")
+
+
+@query("SELECT o_custkey, coalesce(max(o_orderkey), 0) + 1 AS next_value FROM orders GROUP BY o_custkey")
+def next_versions(spark, sf):
+    return table(spark, sf, "orders").groupBy("o_custkey").agg((F.coalesce(F.max("o_orderkey"), F.lit(0)) + 1).alias("next_value"))
+
+
+_PUBLICATIONS = "p AS (SELECT o_custkey AS source_id, o_custkey * 10 + o_orderkey % 3 AS dataset_id, o_orderkey AS version, CASE o_orderstatus WHEN 'F' THEN 'active' WHEN 'O' THEN 'superseded' ELSE 'failed' END AS status, CAST(o_totalprice AS BIGINT) AS row_count FROM orders)"
+
+
+def _publications(spark, sf) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "active").when(F.col("o_orderstatus") == "O", "superseded").otherwise("failed")
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("source_id"), (F.col("o_custkey") * 10 + F.col("o_orderkey") % 3).alias("dataset_id"), F.col("o_orderkey").alias("version"), status.alias("status"), F.rint("o_totalprice").cast("long").alias("row_count"))
+
+
+@query(f"""WITH {_PUBLICATIONS}, g AS (SELECT source_id, count(DISTINCT dataset_id) AS n_datasets, count(*) FILTER (WHERE status = 'active') AS n_active, CAST(coalesce(sum(row_count) FILTER (WHERE status = 'active'), 0) AS BIGINT) AS n_rows, count(*) FILTER (WHERE status = 'failed') AS n_failed FROM p GROUP BY source_id)
+SELECT *, CASE WHEN n_active = n_datasets THEN 'published' WHEN n_failed > 0 THEN 'failed' WHEN n_active > 0 THEN 'importing' ELSE 'confirmed' END AS state FROM g""")
+def source_rollup(spark, sf):
+    return jobs.source_state(_publications(spark, sf))
+
+
+@query(f"""WITH {_PUBLICATIONS}, d AS (SELECT dataset_id, max(version) latest, max_by(source_id, version) AS source_id FROM p GROUP BY dataset_id), a AS (SELECT dataset_id, count(*) n, max(version) version, max(row_count) row_count FROM p WHERE status = 'active' GROUP BY dataset_id)
+SELECT d.dataset_id, source_id, CASE WHEN n = 1 THEN version ELSE latest END AS version, coalesce(n = 1, false) AS published, CASE WHEN n = 1 THEN row_count END AS row_count FROM d LEFT JOIN a USING (dataset_id)""")
+def catalog_active(spark, sf):
+    rows = _publications(spark, sf)
+    return jobs.catalog(rows, rows)
+
+
+# figures
+
+@query("SELECT event_type AS kind, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, CAST(round(median(value), 9) AS DOUBLE) AS middle FROM events GROUP BY event_type")
+def latency_percentiles(spark, sf):
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), gates.percentile_disc("value", 0.5).alias("p50"), gates.percentile_disc("value", 0.95).alias("p95"), F.round(F.median("value"), 9).alias("middle"))
+
+
+def _requests(spark, sf) -> DataFrame:
+    return table(spark, sf, "events").select(F.col("event_type").alias("kind"), (F.col("event_id") % 50 != 0).alias("ok"), F.col("value").alias("latency"), (F.col("event_id") % 3 == 0).alias("cached"))
+
+
+@query("SELECT event_type AS kind, count(*) AS n, quantile_disc(value, 0.95) FILTER (WHERE event_id % 50 <> 0) AS p95, count(*) FILTER (WHERE event_id % 50 = 0) AS n_errors, count(*) FILTER (WHERE event_id % 50 <> 0 AND event_id % 3 = 0) AS n_cached FROM events GROUP BY event_type")
+def error_cache_rates(spark, sf):
+    return gates.rollup(_requests(spark, sf))
+
+
+@query("""WITH m AS (SELECT event_type AS metric, quantile_disc(value, 0.95) FILTER (WHERE event_id % 50 <> 0) AS value FROM events GROUP BY 1), g AS (SELECT row_number() OVER (ORDER BY event_type) AS place, event_type AS metric, 'lte' AS comparison, CAST(50.0 AS DOUBLE) AS bound FROM (SELECT DISTINCT event_type FROM events UNION ALL SELECT 'absent'))
+SELECT g.place, g.metric, comparison, bound, value, coalesce(value <= bound, false) AS passed FROM g LEFT JOIN m ON g.metric = m.metric""")
+def capacity_gates(spark, sf):
+    metrics = staged(gates.rollup(_requests(spark, sf)).select(F.col("kind").alias("metric"), F.col("p95").alias("value")), "metrics")
+    names = table(spark, sf, "events").select("event_type").distinct().union(spark.range(1).select(F.lit("absent")))
+    # one row for each kind of request, so a single ordered window is small
+    declared = names.select(long(F.row_number().over(Window.orderBy("event_type"))).alias("place"), F.col("event_type").alias("metric"), F.lit("lte").alias("comparison"), F.lit(50.0).alias("bound"))
+    return gates.evaluated(declared, metrics)
+
+
+@query("SELECT o_orderpriority, count(*) AS n_requests, count(*) FILTER (WHERE o_orderstatus = 'P') AS n_busy, CAST(round(CAST(count(*) FILTER (WHERE o_orderstatus = 'P') AS DOUBLE) / count(*), 6) AS DOUBLE) AS busy_rate, quantile_disc(greatest(0.0, o_totalprice - 100000), 0.95) AS p95_net FROM orders GROUP BY 1")
+def busy_rates(spark, sf):
+    """Share of requests without an outcome and p95 of the time less the wait."""
+    rows = table(spark, sf, "orders").withColumn("net", F.greatest(F.lit(0.0), F.col("o_totalprice") - 100000))
+    busy = F.count_if(F.col("o_orderstatus") == "P")
+    return rows.groupBy("o_orderpriority").agg(F.count("*").alias("n_requests"), busy.alias("n_busy"), F.round(busy / F.count("*"), 6).alias("busy_rate"), gates.percentile_disc("net", 0.95).alias("p95_net"))
+
+
+@query("SELECT source, count(*) AS n_documents, CAST(sum(n_chars) AS BIGINT) AS n_chars, count(*) FILTER (WHERE lang = 'en') AS n_english FROM documents GROUP BY source")
+def overview_counts(spark, sf):
+    return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("n_chars").alias("n_chars"), F.count_if(F.col("lang") == "en").alias("n_english"))
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 5")
+def recent_five(spark, sf):
+    return table(spark, sf, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(5).select("o_orderkey", "o_orderdate")
+
+
+# conversations
+
+@query("SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) r FROM conversations) WHERE r <= 6")
+def conversation_history_window(spark, sf):
+    back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role").withColumn("_back", back).where("_back <= 6")
+    return rows.select("conv_id", "turn", "role", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("place"))
+
+
+@query("SELECT role, count(*) AS n_messages, count(DISTINCT conv_id) AS n_conversations FROM conversations GROUP BY role")
+def conversation_groups(spark, sf):
+    return table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("n_messages"), F.count_distinct("conv_id").alias("n_conversations"))
+
+
+@query("SELECT conv_id, count(*) AS n_steps, sha256(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+def message_assembly(spark, sf):
+    parts = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.when(F.col("turn") > 0, "\n").otherwise(""), "role", F.lit(":"), "text").alias("text"))
+    n = parts.groupBy("conv_id").agg(F.count("*").alias("n_steps"))
+    return events.assembled(parts, "conv_id", "turn", "text").join(n, "conv_id").select("conv_id", "n_steps", F.sha2("message", 256).alias("digest"))
