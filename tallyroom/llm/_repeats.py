@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +76,30 @@ class Units:
         return low[begin], text[begin], at[begin], long
 
 
+#: Bits of a signature that the merged runs leave out; a fingerprint is what is left, and hits are compared by text.
+DROPPED = np.uint64(24)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
+
+
+def unpacked(blob: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+
+
+def delta(values: np.ndarray) -> bytes:
+    """A sorted run as its differences."""
+    return packed(np.diff(values, prepend=np.uint64(0)))
+
+
+def undelta(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(blob, np.uint64), dtype=np.uint64)
+
+
 _RUN = "bucket long, signature binary, doc binary, at binary, length binary"
 
 
@@ -109,27 +134,19 @@ def fingerprints(docs: DataFrame, units: Units, buckets: int) -> DataFrame:
                 held = held[np.argsort(where[held], kind="stable")]
                 cuts = np.flatnonzero(np.diff(where[held])) + 1
                 for some in np.split(held, cuts) if len(held) else []:
-                    row = [signature[some], doc[order[some]], at[order[some]], long[some].astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(where[some[0]])]), *(pa.array([c.tobytes()], pa.binary()) for c in row)], names=["bucket", "signature", "doc", "at", "length"])
+                    row = [delta(signature[some]), packed(doc[order[some]]), packed(at[order[some]].astype(np.int32)), packed(long[some].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(where[some[0]])]), *(pa.array([c], pa.binary()) for c in row)], names=["bucket", "signature", "doc", "at", "length"])
 
     return docs.mapInArrow(run, _RUN)
 
 
-def delta(values: np.ndarray) -> bytes:
-    """A sorted run of signatures as differences."""
-    return np.diff(values, prepend=np.uint64(0)).tobytes()
-
-
-def undelta(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(blob, np.uint64), dtype=np.uint64)
-
-
 def recurring(runs: DataFrame, buckets: int, history: DataFrame | None = None) -> DataFrame:
     """doc_id, at, length and signature of all runs of windows whose signature recurs, and besides, for each bucket, one
     row with the merged `run` of its signatures. history: bucket and run of signatures that count as seen."""
 
     def merged(table: pa.Table, seen: np.ndarray) -> pa.Table:
-        signature, doc, at, length = (np.concatenate([np.frombuffer(b.as_py(), kind) for b in table.column(c)] or [np.zeros(0, kind)]) for c, kind in (("signature", np.uint64), ("doc", np.int64), ("at", np.int64), ("length", np.int32)))
+        readers = (("signature", np.uint64, undelta), ("doc", np.int64, None), ("at", np.int32, None), ("length", np.int32, None))
+        signature, doc, at, length = (np.concatenate([np.zeros(0, kind), *(own(b.as_py()) if own else unpacked(b.as_py(), kind) for b in table.column(c))]) for c, kind, own in readers)
         bucket = table.column("bucket")[0].as_py() if table.num_rows else 0
         run = []
         if bucket < buckets:
@@ -137,10 +154,11 @@ def recurring(runs: DataFrame, buckets: int, history: DataFrame | None = None) -
             signature, doc, at, length = signature[order], doc[order], at[order], length[order]
             again = np.zeros(len(signature), bool)
             again[1:] = signature[1:] == signature[:-1]
-            run = [delta(signature[~again])]
+            run = [delta(signature[~again] >> DROPPED)]
             again[:-1] |= again[1:]
             if len(seen):
-                again |= seen[np.minimum(np.searchsorted(seen, signature), len(seen) - 1)] == signature
+                short = signature >> DROPPED
+                again |= seen[np.minimum(np.searchsorted(seen, short), len(seen) - 1)] == short
             held = np.flatnonzero(again & (length > 0))
             signature, doc, at, length = signature[held], doc[held], at[held], length[held]
         n, more = len(doc), len(run)
@@ -196,12 +214,23 @@ def contexts(docs: DataFrame, marks: DataFrame, units: Units) -> DataFrame:
             for j in order:
                 if seen.setdefault((out[0][j], out[4][j]), j) != j and (out[1][j], out[2][j]) != (out[1][k := seen[out[0][j], out[4][j]]], out[2][k]) and (not units.by_word or out[1][j] != out[1][k]):
                     out[0][j], out[4][j] = out[1][j], None
+            out = _joined_up(out, order)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["signature", "doc_id", "at", "length", "text"])
 
     return both.select("doc_id", "text", "at", "length", "signature").mapInArrow(run, "signature long, doc_id long, at long, length int, text binary")
 
 
-Compare = Callable[[np.ndarray, np.ndarray, np.ndarray, list[bytes]], np.ndarray]
+def _joined_up(rows: list[list], order: list[int]) -> list[list]:
+    """Rows in order of document and place, those without text that go on from one another as one."""
+    out: list[list] = [[], [], [], [], []]
+    for j in order:
+        row = [column[j] for column in rows]
+        if out[0] and row[4] is None and out[4][-1] is None and out[1][-1] == row[1] and row[2] <= out[2][-1] + out[3][-1]:
+            out[3][-1] = max(out[3][-1], row[2] + row[3] - out[2][-1])
+            continue
+        for column, value in zip(out, row, strict=True):
+            column.append(value)
+    return out
 
 
 def covered(cut: DataFrame, units: Units, repeats: Callable) -> DataFrame:
