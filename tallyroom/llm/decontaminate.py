@@ -7,9 +7,11 @@ always turn into the same value, else the diagonal doesn't count. A document is
 windows found on consistent diagonals are at least SHARE of the item's windows.
 
 Tokens: words without the signs around them, in lower case (ASCII); words of signs only are none. NUMBER: digits and
-no letters. UNIT: a word of UNITS, or digits followed by one. NAME: capital, then a small letter, not at the start of
-a sentence or line. A text with fewer tokens than WINDOW is one window. Windows of an item without two plain tokens tell
-nothing and don't count, unless it has no other.
+no letters. UNIT: a word of UNITS, or digits followed by one. NAME: capital, then a small letter; words of names with
+only space between them are one. At the start of a sentence or line such a word may be a name or not, so every window
+over it is taken in both readings, as a plain word and as NAME (one with the names right after it); a place counts as
+found by any of its readings. A text with fewer tokens than WINDOW is one window. Places of an item with a reading of
+fewer than two plain tokens tell nothing and don't count, unless it has no other.
 """
 
 from __future__ import annotations
@@ -40,17 +42,19 @@ _CORE[:] = _DIGIT | _LETTER
 _UNIT_HASHES = np.sort(np.concatenate([span_hashes(prefix_sums(np.frombuffer(u.encode(), np.uint8)), np.array([0]), np.array([len(u)])) for u in UNITS]))
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template hash, value hash and kind of the tokens, and for each text the number of its first one."""
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Template hash, value hash and kind of the tokens, for each text the number of its first one, and of the tokens
+    whether they may be names though they open a sentence, how many more tokens such a name takes in, and its value."""
     starts, ends, first = words(data, offsets)
     core = np.flatnonzero(_CORE[data])
     if not len(core) or not len(starts):
         none = np.zeros(0, np.uint64)
-        return none, none, np.zeros(0, np.int8), np.zeros(len(offsets), np.int64)
+        return none, none, np.zeros(0, np.int8), np.zeros(len(offsets), np.int64), np.zeros(0, bool), np.zeros(0, np.int64), none
     begin = core[np.minimum(np.searchsorted(core, starts), len(core) - 1)]
     stop = core[np.maximum(np.searchsorted(core, ends) - 1, 0)] + 1
     held = np.flatnonzero((begin >= starts) & (begin < ends))
-    begin, stop, after = begin[held], stop[held], ends[held]
+    bare = (begin == starts, stop == ends)
+    begin, stop, after, bare_left, bare_right = begin[held], stop[held], ends[held], bare[0][held], bare[1][held]
     first = np.searchsorted(held, first)
     sums = prefix_sums(lower_ascii(data))
     value = span_hashes(sums, begin, stop)
@@ -71,9 +75,57 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         breaks = np.concatenate([[0], np.cumsum(data == 10, dtype=np.int32)])
         opens[1:] = closed | (breaks[begin[1:]] > breaks[begin[:-1]])
     opens[first[:-1][first[:-1] < len(begin)]] = True
-    name = _CAPITAL[data[begin]] & _SMALL[data[np.minimum(begin + 1, len(data) - 1)]] & (stop - begin > 1) & ~opens
-    kind = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, 0))).astype(np.int8)
-    return np.where(kind > 0, _KIND[kind], value), value, kind, first
+    name = _CAPITAL[data[begin]] & _SMALL[data[np.minimum(begin + 1, len(data) - 1)]] & (stop - begin > 1) & ~number & ~unit
+    kind = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name & ~opens, _NAME, 0))).astype(np.int8)
+    # a name right after another, or after a word that opens a sentence and may be one
+    further = np.zeros(len(begin), bool)
+    further[1:] = (kind[1:] == _NAME) & name[:-1] & bare_right[:-1] & bare_left[1:]
+    head = np.flatnonzero(~(further & (np.roll(kind, 1) == _NAME)))
+    if not len(head):
+        return value, value, kind, first, opens, np.zeros(0, np.int64), value
+    rank = np.arange(len(begin)) - np.repeat(head, np.diff(head, append=len(begin)))
+    plain_sum = np.add.reduceat(value, head)
+    value = np.add.reduceat(value * (2 * rank + 1).astype(np.uint64), head)
+    kind, opener = kind[head], (name & opens)[head]
+    first = np.searchsorted(head, first)
+    takes = np.zeros(len(head), np.int64)
+    takes[:-1] = opener[:-1] & further[head[1:]]
+    whole = value.copy()
+    at = np.flatnonzero(takes)
+    whole[at] += value[at + 1] + np.uint64(2) * plain_sum[at + 1]
+    return np.where(kind > 0, _KIND[kind], value), value, kind, first, opener, takes, whole
+
+
+def _other_readings(template: np.ndarray, first: np.ndarray, opener: np.ndarray, takes: np.ndarray):
+    """Windows with at least one opening word read as a name: hash, tokens (-1 for none) and which are read so."""
+    n = len(template)
+    edge = np.repeat(first[1:], np.diff(first))
+    near = np.concatenate([[0], np.cumsum(opener)])
+    start = np.flatnonzero(near[np.minimum(np.arange(n) + WINDOW, edge)] > near[:n]) if n else np.zeros(0, np.int64)
+    opening = np.zeros(n + 1, bool)
+    opening[first] = True
+    at, h = start, np.zeros(len(start), np.uint64)
+    spot, named = np.full((len(start), WINDOW), -1), np.zeros((len(start), WINDOW), bool)
+    done = []
+    for step in range(WINDOW):
+        more = np.flatnonzero(at < edge[spot[:, 0]] if step else at >= 0)
+        if step:
+            # the text ends before the window is full: a whole text of few tokens
+            short = np.flatnonzero((at == edge[spot[:, 0]]) & opening[spot[:, 0]])
+            done.append((mix(h[short]), spot[short], named[short]))
+        at, h, spot, named = at[more], h[more], spot[more], named[more]
+        either = np.flatnonzero(opener[at])
+        as_name = np.zeros(len(at) + len(either), bool)
+        as_name[len(at) :] = True
+        which = np.concatenate([np.arange(len(at)), either])
+        at, h, spot, named = at[which], h[which], spot[which], named[which]
+        spot[:, step], named[:, step] = at, as_name
+        h = h * np.uint64(0x100000001B3) + np.where(as_name, _KIND[_NAME], template[at])
+        at = at + 1 + np.where(as_name, takes[at], 0)
+    done.append((mix(h), spot, named))
+    h, spot, named = (np.concatenate(x) for x in zip(*done, strict=True))
+    other = named.any(axis=1)
+    return h[other], spot[other], named[other]
 
 
 def _member(h: np.ndarray, held: np.ndarray) -> np.ndarray:
@@ -86,35 +138,54 @@ def windows(rows: DataFrame, ident: str, keep: np.ndarray | None = None, telling
 
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("id", "window", "place", "n")}
-            slots: list[np.ndarray] = []
+            out: dict[str, list] = {k: [] for k in ("id", "window", "place", "n", "slots")}
+            sizes = [np.zeros(1, np.int64)]
             for ids, data, offsets in chunks(batch.column(0), batch.column(1)):
-                template, value, kind, first = tokens(data, offsets)
+                template, value, kind, first, opener, takes, whole = tokens(data, offsets)
+                if not len(template):
+                    continue
                 size = np.diff(first)
                 short = np.flatnonzero((size > 0) & (size < WINDOW))
                 h = grams(template, WINDOW)
                 doc = np.repeat(np.arange(len(size)), size)
-                plain = np.concatenate([[0], np.cumsum(kind == 0)])
                 at = np.flatnonzero(doc[: len(h)] == doc[WINDOW - 1 :]) if len(h) else np.zeros(0, np.int64)
-                count = plain[at + WINDOW] - plain[at]
                 w = np.concatenate([h[at], *(grams(template[first[i] : first[i + 1]], int(size[i])) for i in short)])
                 at = np.concatenate([at, first[short]])
-                count = np.concatenate([count, plain[first[short + 1]] - plain[first[short]]])
-                length = np.where(size < WINDOW, size, WINDOW)[doc[at]] if len(at) else at
-                good = count >= 2 if telling else np.ones(len(at), bool)
-                if len(at):
-                    some = np.zeros(len(size), bool)
-                    some[doc[at[good]]] = True
-                    good |= ~some[doc[at]]
-                n = np.bincount(doc[at[good]], minlength=len(size)) if len(at) else np.zeros(len(size), int)
+                other, other_spot, other_named = _other_readings(template, first, opener, takes)
+                n_plain, w = len(at), np.concatenate([w, other])
+                at = np.concatenate([at, other_spot[:, 0]])
+                good = np.ones(len(at), bool)
+                if telling:
+                    plain = np.concatenate([[0], np.cumsum(kind == 0)])
+                    count = np.concatenate([plain[np.minimum(at[:n_plain] + WINDOW, first[doc[at[:n_plain]] + 1])] - plain[at[:n_plain]], ((kind[other_spot] == 0) & (other_spot >= 0) & ~other_named).sum(axis=1)])
+                    least = np.full(len(template), WINDOW)
+                    np.minimum.at(least, at, count)
+                    # every reading of the place tells; or where no place is so, this reading; or where none does, any
+                    good = np.zeros(len(at), bool)
+                    left = np.ones(len(size), bool)
+                    for tells in (least[at] >= 2, count >= 2, np.ones(len(at), bool)):
+                        tells &= left[doc[at]]
+                        good |= tells
+                        left[doc[at[tells]]] = False
+                counted = np.zeros(len(template), bool)
+                counted[at[good]] = True
+                n = np.bincount(doc[counted], minlength=len(size))
                 hit = np.flatnonzero(good & _member(w, keep)) if keep is not None else np.flatnonzero(good)
+                low = hit[hit < n_plain]
+                spot = at[low][:, None] + np.arange(WINDOW)
+                spot[spot >= first[doc[at[low]] + 1][:, None]] = -1
+                spot = np.concatenate([spot, other_spot[hit[len(low) :] - n_plain]])
+                named = np.concatenate([np.zeros((len(low), WINDOW), bool), other_named[hit[len(low) :] - n_plain]])
+                slot = ((kind[spot] > 0) | named) & (spot >= 0)
                 out["id"].append(ids[doc[at[hit]]] if len(hit) else np.zeros(0, np.int64))
                 out["window"].append(w[hit].view(np.int64))
-                out["place"].append(at[hit] - first[:-1][doc[at[hit]]] if len(hit) else np.zeros(0, np.int64))
-                out["n"].append(n[doc[at[hit]]] if len(hit) else np.zeros(0, np.int64))
-                slots += [value[a : a + m][kind[a : a + m] > 0].view(np.int64) for a, m in zip(at[hit], length[hit], strict=True)]
-            flat = [pa.array(np.concatenate([np.zeros(0, np.int64), *c]), pa.int64()) for c in out.values()]
-            yield pa.RecordBatch.from_arrays([*flat, pa.array(slots, pa.list_(pa.int64()))], names=[ident, "window", "place", "n", "slots"])
+                out["place"].append(at[hit] - first[:-1][doc[at[hit]]])
+                out["n"].append(n[doc[at[hit]]])
+                out["slots"].append(np.where(named, whole[spot], value[spot])[slot].view(np.int64))
+                sizes.append(slot.sum(axis=1))
+            *flat, slots = [pa.array(np.concatenate([np.zeros(0, np.int64), *c]), pa.int64()) for c in out.values()]
+            ends = pa.array(np.cumsum(np.concatenate(sizes)), pa.int32())
+            yield pa.RecordBatch.from_arrays([*flat, pa.ListArray.from_arrays(ends, slots)], names=[ident, "window", "place", "n", "slots"])
 
     return rows.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long"), "text").mapInArrow(run, f"{ident} long, window long, place long, n long, slots array<long>")
 

@@ -156,6 +156,27 @@ def test_join_without_filter_gives_the_same(spark, monkeypatch):
     assert [(r.doc_id, r.item_id, r.share) for r in decontaminate.leaks(docs, bench).collect()] == [(1, 1, 1.0)]
 
 
+APPLES = "Anna has 5 apples in her bag. Bob gives her 3 apples on Monday. How many apples does Anna have now?"
+
+
+def shares(spark, item, *texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.share for r in decontaminate.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    return [got.get(i, 0) for i in range(len(texts))]
+
+
+def test_names_at_openings_and_of_two_words(spark):
+    other = APPLES.replace("Anna", "Wendy").replace("Bob", "Karl").replace("5", "9").replace("3", "4")
+    long = APPLES.replace("Anna", "Mary Ann Smith").replace("Bob", "Old Karl")
+    clean = "Anna sold 5 pears at the fair. Bob took 3 of them home on Monday. How late was it when Anna came back?"
+    assert shares(spark, APPLES, APPLES, APPLES.lower().replace("anna", "Anna").replace("monday", "Monday"), other, long, "He said: " + other, clean) == [1, 1, 1, 1, 1, 0]
+    assert shares(spark, long, APPLES, other, long) == [1, 1, 1]
+    item = "the ship from Rome to Oslo takes nine hours while the one that Anna built for Bob, Carl and the rest is slow"
+    assert shares(spark, item, item.replace("Rome", "New York"), item.replace("Bob, Carl", "Karl, Old Ben")) == [1, 1]
+    # few words, fewer when the name is one of two words
+    assert shares(spark, "Anna Smith swims very well", "Karl swims very well", "Anna Smith swims very well", "Karl swims rather well") == [1, 1, 0]
+
+
 # near duplicates
 
 
