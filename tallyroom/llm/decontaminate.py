@@ -2,9 +2,11 @@
 
 Numbers, names and units become typed placeholders, so a question whose parameters were replaced keeps its template.
 Windows of WINDOW template tokens are hash-joined with those of the benchmark. Matches of one document with one item
-are grouped by diagonal (place in the document less place in the item); along a diagonal every value of a slot must
-always turn into the same value, else the diagonal doesn't count. A document is contaminated by an item if the
-windows found on consistent diagonals are at least SHARE of the item's windows.
+are grouped by diagonal (place in the document less place in the item). Along a diagonal every value of a slot should
+always turn into the same value: the one it turns into most often is taken, and windows with another don't count. Numbers
+and units, whose values may be equal by chance, count against windows only where more than half of them on the diagonal
+are such others. Forms and spellings of a unit are one value. A document is contaminated by an item if the windows
+left are at least SHARE of the item's windows.
 
 Tokens: words without the signs around them, in lower case (ASCII); words of signs only are none. NUMBER: digits and
 no letters. UNIT: a word of UNITS, or digits followed by one. NAME: capital, then a small letter; words of names with
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyroom.llm._text import chunks, grams, lower_ascii, mix, prefix_sums, span_hashes, words
@@ -33,13 +35,25 @@ kg g mg lb lbs oz km m cm mm ft inch inches mile miles yard yards mph kmh l ml l
 second seconds minute minutes hour hours day days week weeks month months year years usd eur gbp dollar dollars euro
 euros cent cents pound pounds percent degree degrees kwh watt watts volt volts
 """.split()
+#: Other forms and spellings of a unit.
+_SAME_UNIT = {
+    "lbs": "lb", "pound": "lb", "pounds": "lb", "inches": "inch", "miles": "mile", "yards": "yard", "l": "litre", "litres": "litre", "liter": "litre", "liters": "litre",
+    "gallons": "gallon", "seconds": "second", "minutes": "minute", "hours": "hour", "days": "day", "weeks": "week", "months": "month", "years": "year",
+    "dollar": "usd", "dollars": "usd", "euro": "eur", "euros": "eur", "cents": "cent", "degrees": "degree", "watts": "watt", "volts": "volt",
+}
 _NUMBER, _NAME, _UNIT = 1, 2, 3
 _KIND = mix(np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _DIGIT, _CAPITAL, _SMALL, _LETTER, _CORE = (np.zeros(256, bool) for _ in range(5))
 _DIGIT[48:58] = _CAPITAL[65:91] = _SMALL[97:123] = True
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 _CORE[:] = _DIGIT | _LETTER
-_UNIT_HASHES = np.sort(np.concatenate([span_hashes(prefix_sums(np.frombuffer(u.encode(), np.uint8)), np.array([0]), np.array([len(u)])) for u in UNITS]))
+def _hash_of(word: str) -> np.ndarray:
+    return span_hashes(prefix_sums(np.frombuffer(word.encode(), np.uint8)), np.array([0]), np.array([len(word)]))
+
+
+_UNIT_HASHES = np.concatenate([_hash_of(u) for u in UNITS])
+_UNIT_VALUES = np.concatenate([_hash_of(_SAME_UNIT.get(u, u)) for u in UNITS])[np.argsort(_UNIT_HASHES)]
+_UNIT_HASHES = np.sort(_UNIT_HASHES)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -62,12 +76,16 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     n_letters = letters[stop] - letters[begin]
     number = (n_letters == 0) & _DIGIT[data[begin]]
     unit = _member(value, _UNIT_HASHES)
+    value[unit] = _unit_values(value[unit])
     # digits with a unit right behind them
     tail = np.flatnonzero(_DIGIT[data[begin]] & (n_letters > 0) & (n_letters < 9))
     if len(tail):
         cut = stop[tail] - n_letters[tail]
         solid = _DIGIT[data[cut - 1]] & (letters[stop[tail]] - letters[cut] == n_letters[tail])
-        unit[tail] |= solid & _member(span_hashes(sums, cut, stop[tail]), _UNIT_HASHES)
+        letters_value = span_hashes(sums, cut, stop[tail])
+        solid &= _member(letters_value, _UNIT_HASHES)
+        unit[tail] |= solid
+        value[tail[solid]] = span_hashes(sums, begin[tail[solid]], cut[solid]) * np.uint64(3) + _unit_values(letters_value[solid])
     opens = np.ones(len(begin), bool)
     if len(begin) > 1:
         end_byte = data[after[:-1] - 1]
@@ -128,13 +146,17 @@ def _other_readings(template: np.ndarray, first: np.ndarray, opener: np.ndarray,
     return h[other], spot[other], named[other]
 
 
+def _unit_values(h: np.ndarray) -> np.ndarray:
+    return _UNIT_VALUES[np.searchsorted(_UNIT_HASHES, h)]
+
+
 def _member(h: np.ndarray, held: np.ndarray) -> np.ndarray:
     return held[np.minimum(np.searchsorted(held, h), len(held) - 1)] == h if len(held) else np.zeros(len(h), bool)
 
 
 def windows(rows: DataFrame, ident: str, keep: np.ndarray | None = None, telling: bool = False) -> DataFrame:
-    """ident, window, place, n (windows of the text that count) and slots (value of each placeholder, in order); with
-    `keep` (sorted hashes) only windows of it; with `telling` only those with two plain tokens where there are any."""
+    """ident, window, place, n (windows of the text that count) and slots (value of each placeholder, in order, its
+    kind in the two lowest bits); with `keep` (sorted hashes) only windows of it; with `telling` only those with two plain tokens where there are any."""
 
     def run(batches):
         for batch in batches:
@@ -181,7 +203,8 @@ def windows(rows: DataFrame, ident: str, keep: np.ndarray | None = None, telling
                 out["window"].append(w[hit].view(np.int64))
                 out["place"].append(at[hit] - first[:-1][doc[at[hit]]])
                 out["n"].append(n[doc[at[hit]]])
-                out["slots"].append(np.where(named, whole[spot], value[spot])[slot].view(np.int64))
+                of_kind = np.where(named, _NAME, kind[spot])[slot].astype(np.uint64)
+                out["slots"].append((np.where(named, whole[spot], value[spot])[slot] & ~np.uint64(3) | of_kind).view(np.int64))
                 sizes.append(slot.sum(axis=1))
             *flat, slots = [pa.array(np.concatenate([np.zeros(0, np.int64), *c]), pa.int64()) for c in out.values()]
             ends = pa.array(np.cumsum(np.concatenate(sizes)), pa.int32())
@@ -205,15 +228,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = windows(docs, "doc_id", keep).select("doc_id", "window", F.col("place").alias("at"), "slots")
     matched = found.join(of_items, "window").withColumn("diagonal", F.col("at") - F.col("place"))
     pair = F.explode_outer(F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("ours")))
-    turned = matched.select("doc_id", "item_id", "diagonal", "place", "n_item", pair.alias("slot"))
-    # how many values one value of the item turns into along a diagonal; a diagonal has few rows, an item's at most
-    by_value = turned.groupBy("doc_id", "item_id", "diagonal", "slot.theirs").agg(
-        F.min("slot.ours").alias("low"), F.max("slot.ours").alias("high"), F.collect_set("place").alias("places"), F.max("n_item").alias("n_item")
-    )
-    diagonal = by_value.groupBy("doc_id", "item_id", "diagonal").agg(
-        F.bool_and(F.coalesce(F.col("low") == F.col("high"), F.lit(True))).alias("consistent"), F.flatten(F.collect_list("places")).alias("places"), F.max("n_item").alias("n_item")
-    )
-    places = diagonal.where("consistent").select("doc_id", "item_id", "n_item", F.explode(F.array_distinct("places")).alias("place")).distinct()
+    diagonal = ["doc_id", "item_id", "diagonal"]
+    # repeated rows once: so a diagonal has few rows, an item's at most
+    turned = matched.select(*diagonal, "place", "window", "n_item", "item_slots", "slots").distinct().select(*diagonal, "place", "window", "n_item", pair.alias("slot"))
+    turned = turned.select(*diagonal, "place", "window", "n_item", "slot.*").repartition(*diagonal)
+    turn = F.struct(F.count("*").over(Window.partitionBy(*diagonal, "theirs", "ours")).alias("times"), (F.col("ours") == F.col("theirs")).alias("same"), "ours")
+    turned = turned.withColumn("turn", turn).withColumn("best", F.max("turn").over(Window.partitionBy(*diagonal, "theirs"))["ours"])
+    other, figure = F.col("ours") != F.col("best"), F.col("theirs").bitwiseAND(F.lit(3).cast("long")) != _NAME
+    along = Window.partitionBy(*diagonal)
+    turned = turned.withColumn("most", 2 * F.count_if(other & figure).over(along) > F.count_if(figure).over(along))
+    rows = turned.groupBy(*diagonal, "place", "window").agg(F.max(F.coalesce(other & (~figure | F.col("most")), F.lit(False))).alias("wrong"), F.max("n_item").alias("n_item"))
+    places = rows.where("NOT wrong").groupBy("doc_id", "item_id", "place").agg(F.max("n_item").alias("n_item"))
     share = places.groupBy("doc_id", "item_id").agg((F.count("*") / F.max("n_item")).alias("share"))
     return share.where(F.col("share") >= SHARE)
 

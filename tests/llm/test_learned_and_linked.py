@@ -177,6 +177,19 @@ def test_names_at_openings_and_of_two_words(spark):
     assert shares(spark, "Anna Smith swims very well", "Karl swims very well", "Anna Smith swims very well", "Karl swims rather well") == [1, 1, 0]
 
 
+def test_slots_that_turn_into_several_values(spark):
+    item = "a boat takes 2 hours to cross the lake and then 3 hours to come back while the tea costs 4 litres of water"
+    assert shares(spark, item, item.replace("2 hours", "1 hour").replace("4 litres", "1 liter"), item.replace("3 hours", "90 minutes")) == [1, 1]
+    item = "she puts 5 apples on the table for her 5 friends and asks what is left when all of them ate one"
+    assert shares(spark, item, item.replace("5 apples", "7 apples").replace("5 friends", "3 friends"), item.replace("5 friends", "6 friends")) == [1, 1]
+    # numbers of which most don't follow, and a name that doesn't, count against the windows that hold them
+    item = "we saw 4 cats and then 4 dogs and then 4 cows and then all of them went home to their small and warm beds"
+    some = shares(spark, item, item.replace("4 cats", "5 cats").replace("4 dogs", "6 dogs").replace("4 cows", "7 cows"))
+    assert some == [0]
+    item = "the man who told Anna about the old house on the hill that no one from here wants to buy said later to Anna that it was sold at last"
+    assert shares(spark, item, item.replace("Anna", "Wendy", 1)) == [pytest.approx(21 / 26)]
+
+
 # near duplicates
 
 
