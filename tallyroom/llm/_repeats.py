@@ -8,11 +8,13 @@ windows. `fingerprints` turns each batch of documents into sorted runs of signat
 signature that recurs in the batch stands once; `recurring` merges the runs of a bucket and tells which signatures
 recur anywhere. So a signature of a third of all documents is at most one entry for each batch. `contexts` cuts the
 text of the runs that recur, each different text once for each batch, keyed by signature, for the caller to compare;
-`covered` brings the caller's findings back to documents.
+runs of a signature with more than HOT of them are cut into single windows, keyed by their own hash, as the words around
+a shared passage differ from text to text and would all meet under its signature. `covered` brings the caller's findings back to documents.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -27,6 +29,8 @@ from tallyroom.tables import staged
 
 #: Documents whose signatures share a bucket, on average.
 BUCKET_DOCS = 4096
+#: Runs of one signature that may meet in one task.
+HOT = 4096
 
 
 @dataclass(frozen=True)
@@ -180,10 +184,18 @@ def buckets_for(docs: DataFrame) -> int:
     return max(8, -(-docs.count() // BUCKET_DOCS))
 
 
-def contexts(docs: DataFrame, marks: DataFrame, units: Units) -> DataFrame:
+def hot_signatures(marks: DataFrame) -> DataFrame:
+    """Signatures of more than HOT runs: at most one for each HOT rows."""
+    return marks.groupBy("signature").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("signature")
+
+
+def contexts(docs: DataFrame, marks: DataFrame, units: Units, hot: DataFrame | None = None) -> DataFrame:
     """signature, doc_id, at (first unit) and text of the runs in marks, cut from docs: each different text once for
-    each batch, at its earliest place. The others repeat it whole; they come with a null text, keyed by their own id."""
-    marks = marks.groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("length").alias("length"), F.collect_list("signature").alias("signature"))
+    each batch, at its earliest place. The others repeat it whole; they come with a null text, keyed by their own id.
+    Runs of signatures in hot (of marks, if not given) come as single windows, under the hash of the window."""
+    hot = F.broadcast((hot_signatures(marks) if hot is None else hot).withColumn("split", F.lit(True)))
+    marks = marks.join(hot, "signature", "left").withColumn("split", F.coalesce("split", F.lit(False)))
+    marks = marks.groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("at", "length", "signature", "split")))
     both = docs.join(marks, "doc_id", "left")
 
     def run(batches):
@@ -191,7 +203,7 @@ def contexts(docs: DataFrame, marks: DataFrame, units: Units) -> DataFrame:
             out: list[list] = [[], [], [], [], []]
             rows = pa.array(np.arange(batch.num_rows))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            lists = [batch.column(i) for i in (2, 3, 4)]
+            lists = [batch.column(i) for i in (2, 3, 4, 5)]
             for number, data, offsets in chunks(rows, batch.column(1)):
                 first = starts = ends = None
                 if units.by_word:
@@ -200,12 +212,19 @@ def contexts(docs: DataFrame, marks: DataFrame, units: Units) -> DataFrame:
                 for i, row in enumerate(number):
                     if not lists[0][row].is_valid:
                         continue
-                    at, length, signature = (column[row].values.to_numpy() for column in lists)
+                    at, length, signature, split = (column[row].values.to_numpy(zero_copy_only=False) for column in lists)
+                    if split.any():
+                        # a run of n windows as n runs of one
+                        n = np.where(split, length, 1)
+                        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        at, length, signature, split = np.repeat(at, n) + step, np.repeat(np.where(split, 1, length), n), np.repeat(signature, n), np.repeat(split, n)
                     begin, size = (offsets[i], offsets[i + 1] - offsets[i]) if first is None else (first[i], first[i + 1] - first[i])
                     good = at + length + units.window - 1 <= size
-                    for a, n, s in zip(at[good].tolist(), length[good].tolist(), signature[good].tolist(), strict=True):
+                    for a, n, s, alone in zip(at[good].tolist(), length[good].tolist(), signature[good].tolist(), split[good].tolist(), strict=True):
                         low, high = begin + a, begin + a + n + units.window - 1
                         cut = whole[low:high] if first is None else b" ".join([whole[x:y] for x, y in zip(starts[low:high].tolist(), ends[low:high].tolist(), strict=True)])
+                        if alone:
+                            s = int.from_bytes(hashlib.blake2b(cut, digest_size=8).digest(), "little", signed=True)
                         for column, value in zip(out, (s, int(ids[row]), a, n, cut), strict=True):
                             column.append(value)
             # the earliest of each text first
@@ -217,7 +236,7 @@ def contexts(docs: DataFrame, marks: DataFrame, units: Units) -> DataFrame:
             out = _joined_up(out, order)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["signature", "doc_id", "at", "length", "text"])
 
-    return both.select("doc_id", "text", "at", "length", "signature").mapInArrow(run, "signature long, doc_id long, at long, length int, text binary")
+    return both.select("doc_id", "text", "at", "length", "signature", "split").mapInArrow(run, "signature long, doc_id long, at long, length int, text binary")
 
 
 def _joined_up(rows: list[list], order: list[int]) -> list[list]:

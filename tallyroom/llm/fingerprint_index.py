@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm._repeats import Units, buckets_for, contexts, covered, delta, fingerprints, marked, mask, plain, recurring, undelta
+from tallyroom.llm._repeats import Units, buckets_for, contexts, covered, delta, fingerprints, hot_signatures, marked, mask, plain, recurring, undelta
 from tallyroom.llm._text import chunks, grams, prefix_sums, span_hashes, words
 from tallyroom.tables import staged
 
@@ -86,15 +86,20 @@ class FingerprintIndex:
         found = staged(recurring(fingerprints(docs, UNITS, n), n, self.runs), "recurring")
         fresh = found.where("run IS NOT NULL").select("bucket", "run")
         marks = found.where("run IS NULL").select("doc_id", "at", "length", "signature")
-        cut = contexts(docs, marks, UNITS)
+        older = None
         if old is not None:
-            hits = marks.select("signature").distinct()
-            cut = cut.union(self._looked_up(plain(old).where("doc_id IS NOT NULL"), hits))
+            old = plain(old).where("doc_id IS NOT NULL")
+            older = self._looked_up(old, marks.select("signature").distinct())
+        # old and new runs of a signature are cut alike
+        hot = hot_signatures(marks if older is None else marks.unionByName(older))
+        cut = contexts(docs, marks, UNITS, hot)
+        if older is not None:
+            cut = cut.union(contexts(old, older, UNITS, hot))
         self.runs = fresh if self.runs is None else staged(compacted(self.runs.union(fresh)), "fingerprint-index")
         return covered(cut, UNITS, repeats)
 
     def _looked_up(self, old: DataFrame, hits: DataFrame) -> DataFrame:
-        """The words of older documents under the signatures that the new batch hit."""
+        """The runs of older documents under the signatures that the new batch hit."""
 
         def run(batches):
             for batch in batches:
@@ -104,7 +109,7 @@ class FingerprintIndex:
                     yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(at), pa.array(length.astype(np.int32)), pa.array(signature.view(np.int64))], names=["doc_id", "at", "length", "signature"])
 
         every = old.select("doc_id", "text").mapInArrow(run, "doc_id long, at long, length int, signature long")
-        return contexts(old, staged(every.join(hits, "signature").select("doc_id", "at", "length", "signature"), "looked-up"), UNITS)
+        return staged(every.join(hits, "signature").select("doc_id", "at", "length", "signature"), "looked-up")
 
 
 def stripped(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyroom.llm import fingerprint_index, suffixes
+from tallyroom.llm import _repeats, fingerprint_index, suffixes
 
 
 def brute_bytes(rows, window=100):
@@ -116,3 +116,27 @@ def test_colliding_hashes_remove_nothing(monkeypatch):
     texts = [b" ".join(b"w%d" % (i + j) for j in range(14)) for i in (0, 1, 50)]
     which, place = fingerprint_index.repeats(np.zeros(3, int), np.array([1, 2, 3]), np.zeros(3, int), texts)
     assert (which.tolist(), place.tolist()) == ([1], [0])
+
+
+@pytest.mark.parametrize("operator,brute", [(lambda d: suffixes.stripped(d), brute_bytes), (lambda d: fingerprint_index.stripped(d, fingerprint_index.FingerprintIndex().add(d)), brute_words)])
+def test_hot_signatures_give_the_same(spark, rows, monkeypatch, operator, brute):
+    monkeypatch.setattr(_repeats, "HOT", 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted([tuple(r) for r in operator(docs).drop("kept").collect()], key=repr) == brute(rows)
+
+
+def test_hot_signatures_in_batches(spark, rows, monkeypatch):
+    monkeypatch.setattr(_repeats, "HOT", 3)
+    test_batches_one_after_the_other(spark, rows)
+
+
+@pytest.mark.parametrize("units", [_repeats.Units(False, suffixes.WINDOW, suffixes.GRAM), fingerprint_index.UNITS])
+def test_a_shared_passage_does_not_meet_under_one_signature(spark, monkeypatch, units):
+    monkeypatch.setattr(_repeats, "HOT", 20, raising=False)
+    r = random.Random(9)
+    prose = lambda n: " ".join("w%d" % r.randrange(10**6) for _ in range(n))
+    passage = prose(60)
+    docs = spark.createDataFrame([(i, prose(20) + " " + passage + " " + prose(20)) for i in range(600)], "doc_id long, text string").coalesce(1)
+    found = _repeats.recurring(_repeats.fingerprints(docs, units, 8), 8).where("run IS NULL")
+    cut = _repeats.contexts(docs, found.select("doc_id", "at", "length", "signature"), units).where("text IS NOT NULL")
+    assert max(r["count"] for r in cut.groupBy("signature").count().collect()) <= 20
