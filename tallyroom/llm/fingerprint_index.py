@@ -79,8 +79,10 @@ class FingerprintIndex:
         self.buckets, self.runs = buckets, runs
 
     def add(self, docs: DataFrame, old: DataFrame | None = None) -> DataFrame:
-        """doc_id, start and stop (words) of what windows of `docs` or, with `old`, the documents taken in before,
-        have seen earlier in a smaller doc_id; the runs of docs are compacted into the index."""
+        """doc_id, start and stop (words) of what windows of `docs` or `old`, the documents taken in before (needed when
+        there are any), have seen earlier in a smaller doc_id; the runs of docs are compacted into the index."""
+        if self.runs is not None and old is None:
+            raise ValueError("the index holds earlier documents: give them as old, or what repeats only against them is missed")
         docs = plain(docs).where("doc_id IS NOT NULL")
         self.buckets = n = self.buckets or buckets_for(docs)
         found = staged(recurring(fingerprints(docs, UNITS, n), n, self.runs), "recurring")

@@ -140,3 +140,11 @@ def test_a_shared_passage_does_not_meet_under_one_signature(spark, monkeypatch,
     found = _repeats.recurring(_repeats.fingerprints(docs, units, 8), 8).where("run IS NULL")
     cut = _repeats.contexts(docs, found.select("doc_id", "at", "length", "signature"), units).where("text IS NOT NULL")
     assert max(r["count"] for r in cut.groupBy("signature").count().collect()) <= 20
+
+
+def test_history_needs_the_older_documents(spark):
+    docs = spark.createDataFrame([(1, "word " * 60)], "doc_id long, text string")
+    index = fingerprint_index.FingerprintIndex(buckets=8)
+    index.add(docs)
+    with pytest.raises(ValueError):
+        index.add(docs.selectExpr("doc_id + 1 AS doc_id", "text"))
