@@ -1,25 +1,27 @@
 """Removal of repeated word windows with a log-structured fingerprint index.
 
 Every batch of documents makes sorted, immutable runs of the fingerprints of its windows, dealt into buckets. Within a
-bucket the runs of a batch are merged with each other and with the runs of history; fingerprints that recur are
-candidates. The words of the candidates are compared, so a collision removes nothing. A compaction merges all runs of
-a bucket into one. The next batch only reads the compacted runs, and of older documents only the words of its hits.
+bucket the runs of a batch are merged with each other and with the run of history; fingerprints that recur are
+candidates. The words of the candidates are compared, so a collision removes nothing. The merge also compacts: one run
+for each bucket is left, with the place of each fingerprint that has not recurred; places of the others are in a table of
+their own. The next batch reads those two, and of older documents only the words of its hits.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm._repeats import Units, buckets_for, contexts, covered, delta, fingerprints, hot_signatures, marked, mask, plain, recurring, undelta
+from tallyroom.llm._repeats import Units, buckets_for, contexts, covered, fingerprints, kept_runs, marked, mask, plain, recurring, stored, told_marks
 from tallyroom.llm._text import chunks, grams, prefix_sums, span_hashes, words
 from tallyroom.tables import staged
 
-WINDOW, GRAM = 13, 5
+WINDOW, GRAM, BATCHES = 13, 5, 2
 UNITS = Units(True, WINDOW, GRAM)
 
 
@@ -62,56 +64,32 @@ def repeats(group: np.ndarray, doc: np.ndarray, at: np.ndarray, texts: list[byte
     return which[later], place[later]
 
 
-def compacted(runs: DataFrame) -> DataFrame:
-    """One sorted run for each bucket of the runs of several batches."""
-
-    def merge(table: pa.Table) -> pa.Table:
-        every = np.unique(np.concatenate([undelta(b.as_py()) for b in table.column("run")]))
-        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int64()), "run": pa.array([delta(every)], pa.binary())})
-
-    return runs.groupBy("bucket").applyInArrow(merge, "bucket long, run binary")
-
-
 class FingerprintIndex:
-    """The compacted runs of the documents taken in so far. `buckets` is set by the first batch and kept."""
+    """The runs of the documents taken in so far, and the places of what recurs among them. `buckets` is set by the
+    first batch and kept."""
 
-    def __init__(self, buckets: int | None = None, runs: DataFrame | None = None):
-        self.buckets, self.runs = buckets, runs
+    def __init__(self, buckets: int | None = None, runs: DataFrame | None = None, told: DataFrame | None = None):
+        self.buckets, self.runs, self.told = buckets, runs, told
 
     def add(self, docs: DataFrame, old: DataFrame | None = None) -> DataFrame:
-        """doc_id, start and stop (words) of what windows of `docs` or `old`, the documents taken in before (needed when
-        there are any), have seen earlier in a smaller doc_id; the runs of docs are compacted into the index."""
+        """doc_id, start and stop (words) of what windows of `docs` have seen earlier in a smaller doc_id, in docs or in
+        `old`, the documents taken in before (needed when there are any: their words are read where docs hit them).
+        Windows of old that a smaller doc_id of docs holds are told as well."""
         if self.runs is not None and old is None:
             raise ValueError("the index holds earlier documents: give them as old, or what repeats only against them is missed")
         docs = plain(docs).where("doc_id IS NOT NULL")
         self.buckets = n = self.buckets or buckets_for(docs)
         found = staged(recurring(fingerprints(docs, UNITS, n), n, self.runs), "recurring")
-        fresh = found.where("run IS NOT NULL").select("bucket", "run")
-        marks = found.where("run IS NULL").select("doc_id", "at", "length", "signature")
-        older = None
+        marks = told_marks(found)
+        fresh, others = marks.where("NOT old"), []
         if old is not None:
-            old = plain(old).where("doc_id IS NOT NULL")
-            older = self._looked_up(old, marks.select("signature").distinct())
-        # old and new runs of a signature are cut alike
-        hot = hot_signatures(marks if older is None else marks.unionByName(older))
-        cut = contexts(docs, marks, UNITS, hot)
-        if older is not None:
-            cut = cut.union(contexts(old, older, UNITS, hot))
-        self.runs = fresh if self.runs is None else staged(compacted(self.runs.union(fresh)), "fingerprint-index")
-        return covered(cut, UNITS, repeats)
-
-    def _looked_up(self, old: DataFrame, hits: DataFrame) -> DataFrame:
-        """The runs of older documents under the signatures that the new batch hit."""
-
-        def run(batches):
-            for batch in batches:
-                for ids, data, offsets in chunks(batch.column(0), batch.column(1)):
-                    h, first, _, _ = UNITS.hashes(data, offsets)
-                    signature, text, at, length = UNITS.signatures(h, first)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(at), pa.array(length.astype(np.int32)), pa.array(signature.view(np.int64))], names=["doc_id", "at", "length", "signature"])
-
-        every = old.select("doc_id", "text").mapInArrow(run, "doc_id long, at long, length int, signature long")
-        return staged(every.join(hits, "signature").select("doc_id", "at", "length", "signature"), "looked-up")
+            every = marks.where("old").drop("old")
+            every = every if self.told is None else every.unionByName(self.told)
+            hit = staged(fresh.select("signature").distinct(), "hits")
+            others = [(plain(old).where("doc_id IS NOT NULL"), every.join(hit, "signature", "left_semi"))]
+        self.told = marks.drop("old") if self.told is None else self.told.unionByName(marks.drop("old"))
+        self.runs = kept_runs(found)
+        return covered(contexts(docs, fresh, UNITS, *others), UNITS, repeats)
 
 
 def stripped(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -139,3 +117,18 @@ def stripped(docs: DataFrame, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return marked(plain(docs), found, run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+
+
+def deduplicated(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """As `stripped`, the table taken in as `batches` batches, one after the other, of about as many documents each, in
+    the order of doc_id; each is merged with the runs of those before it."""
+    docs = plain(docs)
+    known = stored(docs)
+    cuts = sorted(set(known.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)))
+    ranges = [F.lit(True), *(F.col("doc_id") >= int(c) for c in cuts)], [*(F.col("doc_id") < int(c) for c in cuts), F.lit(True)]
+    index, found = FingerprintIndex(buckets_for(known)), []
+    for i, (low, high) in enumerate(zip(*ranges, strict=True)):
+        seen = index.add(known.where(low & high), known.where(~low) if i else None)
+        found.append(staged(seen.where(low), "intervals"))
+    alone = docs.where("doc_id IS NULL")
+    return stripped(known, reduce(DataFrame.unionByName, found)).unionByName(stripped(alone, found[0].limit(0)))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyroom.llm import bpe, decontaminate, fingerprint_index, neardup, preference, quality, secrets, suffixes, threshold, toxicity
-from tallyroom.tables import staged, table
+from tallyroom.tables import table
 
 BPE_FILE = "word_bpe_49k.json"
 
@@ -26,9 +26,7 @@ def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = staged(fingerprint_index.FingerprintIndex().add(docs), "intervals")
-    return fingerprint_index.stripped(docs, found).drop("kept")
+    return fingerprint_index.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
 
 
 def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,12 +15,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tallyroom.llm._repeats import Units, marked, mask, plain, repeated
+from tallyroom.llm._repeats import Units, marked, mask, plain, repeated, stored
 from tallyroom.llm._text import chunks
 from tallyroom.tables import staged
 
 WINDOW, GRAM, SHALLOW = 100, 32, 32
+UNITS = Units(False, WINDOW, GRAM)
 
 
 def blind_trie(strings: list[bytes]) -> list[list[int]]:
@@ -134,7 +136,9 @@ def stripped(docs: DataFrame) -> DataFrame:
     them; repeated rows are one document and give as many equal rows; other columns are ignored.
     """
     docs = plain(docs)
-    found, _ = repeated(docs, Units(False, WINDOW, GRAM), repeats)
+    known = stored(docs)
+    found = staged(repeated(known, UNITS, repeats), "intervals")
+    alone = docs.where("doc_id IS NULL")
 
     def run(batches):
         for batch in batches:
@@ -150,4 +154,7 @@ def stripped(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return marked(docs, staged(found, "intervals"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    none = F.lit(None).cast("array<bigint>")
+    alone = alone.select("doc_id", "text", none.alias("starts"), none.alias("stops")).mapInArrow(run, schema)
+    return marked(known, found, run, schema).unionByName(alone)

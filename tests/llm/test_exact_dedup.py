@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyroom.llm import _repeats, fingerprint_index, suffixes
+from tallyroom.llm import _repeats, fingerprint_index, queries, suffixes
 
 
 def brute_bytes(rows, window=100):
@@ -148,3 +148,61 @@ def test_history_needs_the_older_documents(spark):
     index.add(docs)
     with pytest.raises(ValueError):
         index.add(docs.selectExpr("doc_id + 1 AS doc_id", "text"))
+
+
+def test_texts_that_repeat_themselves(spark):
+    """Periods from 1 to 99 at lengths from 100 to 300: windows of one run of signatures may be equal."""
+    r = random.Random(11)
+    rows = [(1, "are " * 30), (2, "a" * 120)]
+    for period in range(1, 100):
+        unit = "".join(r.choice("abcdefghij ") for _ in range(period))
+        for length in (100, 101, 100 + period, 101 + period, 150, 168, 300):
+            rows.append((len(rows) + 1, ("%d|" % len(rows)) + (unit * 300)[:length] + "|"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted([tuple(x) for x in suffixes.stripped(docs).drop("kept").collect()], key=repr) == brute_bytes(rows)
+
+
+@pytest.mark.parametrize("query,brute", [("op3_suffixes", brute_bytes), ("op4_fingerprints", brute_words)])
+def test_queries_by_brute_force(spark, query, brute):
+    sf = "/root/testdata/sf0.001"
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted([tuple(x) for x in queries.QUERIES[query](spark, sf).collect()], key=repr) == brute(rows)
+
+
+@pytest.mark.parametrize("operator,brute", [(suffixes.stripped, brute_bytes), (fingerprint_index.deduplicated, brute_words)])
+def test_a_passage_of_every_document_meets_in_small_groups(spark, monkeypatch, operator, brute):
+    """One passage, shorter than a window and longer than one, in all documents: no group of a key grows with them."""
+    monkeypatch.setattr(_repeats, "HOT", 16)
+    r = random.Random(12)
+    prose = lambda n: " ".join("w%d" % r.randrange(10**6) for _ in range(n))
+    short, long = prose(10), prose(40)
+    sizes = []
+    whole = _repeats.contexts
+
+    def watched(*args):
+        cut = whole(*args)
+        sizes.append(max([0, *(x["count"] for x in cut.where("text IS NOT NULL").groupBy("signature").count().collect())]))
+        return cut
+
+    monkeypatch.setattr(_repeats, "contexts", watched)
+    monkeypatch.setattr(fingerprint_index, "contexts", watched)
+    for n in (100, 400):
+        rows = [(i, prose(15) + " " + short + " " + prose(15) + " " + long + " " + prose(15)) for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        assert sorted([tuple(x) for x in operator(docs).drop("kept").collect()], key=repr) == brute(rows)
+    assert max(sizes) <= 16
+
+
+def test_equal_windows_of_many_batches(spark, monkeypatch, rows):
+    """Windows that many batches hold don't meet in one task, and come out the same."""
+    monkeypatch.setattr(_repeats, "HOT", 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    for operator, brute in ((suffixes.stripped, brute_bytes), (fingerprint_index.deduplicated, brute_words)):
+        assert sorted([tuple(x) for x in operator(docs).drop("kept").collect()], key=repr) == brute(rows)
+
+
+def test_extra_columns_and_dotted_names(spark):
+    text = "word " * 60
+    docs = spark.createDataFrame([(1, text, 0, "x"), (2, text, 1, None)], "doc_id long, text string, `starts` int, `a.b` string")
+    assert [r.n_removed for r in sorted(suffixes.stripped(docs).collect())] == [295, 300]
+    assert [r.n_removed for r in sorted(fingerprint_index.deduplicated(docs).collect())] == [0, 60]
