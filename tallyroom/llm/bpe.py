@@ -12,20 +12,75 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 _NEVER = 1 << 40
 _FINAL = 0x1000
-CACHE_PIECES = 150_000
+#: Pieces whose tokens a task remembers in each of two generations (about 20 MB each), and pairs of tokens (about 10 MB).
+CACHE_PIECES, CACHE_PAIRS = 120_000, 100_000
+#: Pieces of a text that are put together at once.
+SLICE = 20_000
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+# The encoder that this one must equal takes letters and numbers from Unicode 16, the order of combining
+# marks from Unicode 9 and lower case from Unicode 17. Ranges that Python's own tables (Unicode 15.1) lack or, for the
+# marks, have too many.
+LETTERS_16 = """1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E
+11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"""
+NUMBERS_16 = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+MARKS_AFTER_9 = """7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF
+10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930 11938 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42
+11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"""
+#: White space, as it stands between the brackets of a pattern.
+WHITE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: First and last capital, and the first one's small letter.
+CAPITALS_17 = """1C89-1C89:1C8A A7CB-A7CB:264 A7CC-A7CC:A7CD A7CE-A7CE:A7CF A7D2-A7D2:A7D3 A7D4-A7D4:A7D5 A7DA-A7DA:A7DB
+A7DC-A7DC:19B 10D50-10D65:10D70 16EA0-16EB8:16EBB"""
+
+
+def _ranges(text: str) -> list[tuple[int, int]]:
+    return [(int(r.partition("-")[0], 16), int(r.rpartition("-")[2], 16)) for r in text.split()]
+
+
+def _members(ranges: list[tuple[int, int]]) -> str:
+    """Ranges as they stand between the brackets of a pattern."""
+    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in ranges)
+
+
+def _category(first: str, more: str, most: int) -> str:
+    """All code points up to `most` whose category begins with `first`, and `more`, as they stand between the brackets of a pattern."""
+    kinds = np.fromiter((unicodedata.category(chr(c))[0] == first for c in range(most + 1)), bool, most + 1)
+    for a, b in _ranges(more):
+        kinds[a : b + 1] = True
+    edges = np.flatnonzero(np.diff(kinds.astype(np.int8), prepend=0, append=0))
+    return _members([(int(a), int(b) - 1) for a, b in edges.reshape(-1, 2)])
+
+
+@cache
+def _any_pieces(most: int) -> re.Pattern:
+    """The pattern for texts of code points up to `most`; one for the first plane alone is read faster."""
+    letters, numbers = _category("L", LETTERS_16, most), _category("N", NUMBERS_16, most)
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{WHITE}{letters}{numbers}]+")
+
+
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+_MARKS = re.compile("([" + _members(_ranges(MARKS_AFTER_9)) + "])")
+_SMALL = {c: int(to, 16) + c - a for spans, _, to in (x.partition(":") for x in CAPITALS_17.split()) for a, b in _ranges(spans) for c in range(a, b + 1)}
+_CAPITALS = re.compile("[" + "".join(map(chr, _SMALL)) + "]")
+
+
+def normalised(text: str) -> str:
+    """Composed (NFC) and in lower case, character by character."""
+    if not unicodedata.is_normalized("NFC", text):
+        text = "".join([p if i % 2 else unicodedata.normalize("NFC", p) for i, p in enumerate(_MARKS.split(text))])
+    if _CAPITALS.search(text):
+        text = text.translate(_SMALL)
+    return text.replace("\u03a3", "\u03c3").lower()
 
 
 def _byte_letters() -> list[str]:
@@ -48,11 +103,11 @@ class WordBpe:
         if any(vocab[a + b if not a.endswith(end) else a] != first + i for i, (a, b) in enumerate(merges)):
             raise ValueError("token ids are not in the order of the merges")
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
-        self._special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
+        self._special = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self._letters = dict(enumerate(_byte_letters()))
         self.split = [(i, i) for i in range(first)] + [(vocab[a], vocab[b]) for a, b in merges]
         self.merged = {pair: first + i for i, pair in enumerate(self.split[first:])}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         reachable = [True] * first
         for t, (a, b) in enumerate(self.split[first:], first):
             reachable.append(reachable[a] and reachable[b] and self._apart(a, b, t))
@@ -65,11 +120,10 @@ class WordBpe:
             self._automaton.add_word(s, t)
         self._automaton.make_automaton()
         names = {t: s for s, t in vocab.items()} | {t: s for s, t in self.special.items()}
-        spelled = [(names.get(t, "") + " ").encode() for t in range(max(names) + 1)]
-        self._spelled = np.frombuffer(b"".join(spelled), np.uint8)
-        self._at = np.cumsum([0, *map(len, spelled)])
-        self._young: dict[str, tuple[int, ...]] = {}
-        self._old: dict[str, tuple[int, ...]] = {}
+        self._kind = np.uint16 if max(names) < 1 << 16 else np.uint32
+        self._spelled = _Offsets([names.get(t, "") for t in range(max(names) + 1)])
+        self._numbers = _Offsets([str(t) for t in range(max(names) + 1)])
+        self._known = _Known(self)
 
     def _apart(self, a: int, b: int, limit: int) -> bool:
         """Whether no merge across the seam of a and b comes before both are built (and before `limit`)."""
@@ -84,36 +138,39 @@ class WordBpe:
             else:
                 limit, b = b + 1, right
 
+    def _compatible(self, a: int, b: int) -> bool:
+        """The entry of the pair table, filled as pairs turn up."""
+        pair = a << 20 | b
+        if (good := self._fits.get(pair)) is None:
+            if len(self._fits) >= CACHE_PAIRS:
+                self._fits.clear()
+            good = self._fits[pair] = self._apart(a, b, _NEVER)
+        return good
+
     def _piece(self, piece: str) -> tuple[int, ...]:
-        letters = piece.encode().decode("latin-1").translate(self._letters)
+        # printable ASCII stands for itself
+        letters = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self._letters)
         letters = letters[:-1] + chr(ord(letters[-1]) + _FINAL)
-        length, shorter, fits = self._length, self._shorter, self._fits
-        longest = [-1] * (len(letters) + 1)
-        reach = [0] * (len(letters) + 1)
+        # the longest token at each place, one after the other: right where all neighbours fit
+        out = [t for _, t in self._automaton.iter_long(letters)]
+        if all(map(self._compatible, out, out[1:])):
+            return tuple(out)
+        length, shorter = self._length, self._shorter
+        longest: dict[int, int] = {}
         for end, t in self._automaton.iter(letters):
-            n = length[t]
-            if n > reach[start := end - n + 1]:
-                reach[start], longest[start] = n, t
-        out: list[int] = []
-        dead = set()
-        at, token = 0, longest[0]
+            # of tokens with one start the last that is found is the longest
+            longest[end + 1 - length[t]] = t
+        out, dead = [], set()
+        at, token = 0, longest.get(0, -1)
         while at < len(letters):
             while token >= 0:
-                if at + length[token] not in dead:
-                    if not out:
-                        break
-                    pair = (out[-1], token)
-                    if (good := fits.get(pair)) is None:
-                        if len(fits) > 1_000_000:
-                            fits.clear()
-                        good = fits[pair] = self._apart(*pair, _NEVER)
-                    if good:
-                        break
+                if at + length[token] not in dead and (not out or self._compatible(out[-1], token)):
+                    break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += length[token]
-                token = longest[at]
+                token = longest.get(at, -1)
             else:
                 dead.add(at)
                 if not out:
@@ -122,41 +179,85 @@ class WordBpe:
                 at -= length[token]
         return tuple(out)
 
-    def _segment(self, text: str) -> Iterator[tuple[int, ...]]:
+    def _pieces(self, text: str) -> list[str]:
         if text.isascii():
-            pieces = _ASCII_PIECES.findall(text.lower())
-        else:
-            text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
-            pieces = _PIECES.findall(text.replace("Σ", "σ").lower())
-        young, old = self._young, self._old
-        for p in pieces:
-            if (ids := young.get(p)) is None:
-                if len(young) >= CACHE_PIECES:
-                    self._old = old = young
-                    self._young = young = {}
-                if (ids := old.get(p)) is None:
-                    ids = self._piece(p)
-                if len(p) <= 64:
-                    young[p] = ids
-            yield ids
+            return _ASCII_PIECES.findall(text.lower())
+        return _any_pieces(0x10FFFF if _BEYOND.search(text) else 0xFFFF).findall(normalised(text))
 
-    def encode(self, text: str) -> np.ndarray:
-        if self._special is None or "<" not in text or not self._special.search(text):
-            return np.fromiter(chain.from_iterable(self._segment(text)), np.int64)
+    def _segments(self, text: str) -> list[str | int]:
+        """The parts of a text between special tokens, and these by their number."""
+        if self._special is None or "<" not in text:
+            return [text]
         out, at = [], 0
         for m in self._special.finditer(text):
-            out += [*chain.from_iterable(self._segment(text[at : m.start()])), self.special[m[0]]]
+            out += [text[at : m.start()], self.special[m[0]]]
             at = m.end()
-        return np.array([*out, *chain.from_iterable(self._segment(text[at:]))], np.int64)
+        return [*out, text[at:]]
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of the tokens; equal pieces are encoded once."""
+        out = []
+        for s in self._segments(text):
+            pieces = [s] if isinstance(s, int) else self._pieces(s)
+            for i in range(0, len(pieces), SLICE):
+                self._known.turn()
+                out.append(b"".join(map(self._known.__getitem__, pieces[i : i + SLICE])))
+        return np.frombuffer(b"".join(out), self._kind).astype(np.int64)
+
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """Number of tokens, SHA-256 of their decimal ids joined by a space and of the decoded text."""
+        ids = self.encode(text)
+        return len(ids), hashlib.sha256(self._numbers.joined(ids)).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+
+    def forget(self) -> None:
+        """Frees what it remembers of pieces and pairs: a worker process may be used again for other work."""
+        self._known.clear()
+        self._known.old = {}
+        self._fits.clear()
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the tokens joined by one space, as this kind of file has no decoder."""
-        if not len(ids):
-            return b""
-        starts = self._at[ids]
-        lengths = self._at[ids + 1] - starts
-        ends = np.cumsum(lengths)
-        return self._spelled[np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)].tobytes()[:-1]
+        return self._spelled.joined(ids)
+
+
+class _Offsets:
+    """Texts by number in one array of bytes, and where each begins."""
+
+    def __init__(self, texts: list[str]):
+        held = [f"{t} ".encode() for t in texts]
+        self.data, self.at = np.frombuffer(b"".join(held), np.uint8), np.cumsum([0, *map(len, held)], dtype=np.int32)
+
+    def joined(self, ids: np.ndarray, most: int = 1 << 16) -> bytes:
+        """The texts of ids with a space between."""
+        out = []
+        for i in range(0, len(ids), most):
+            some = ids[i : i + most]
+            starts = self.at[some]
+            lengths = self.at[some + 1] - starts
+            ends = np.cumsum(lengths, dtype=np.int32)
+            out.append(self.data[np.arange(ends[-1], dtype=np.int32) + np.repeat(starts - ends + lengths, lengths)].tobytes())
+        return b"".join(out)[:-1]
+
+
+class _Known(dict):
+    """Ids of pieces (or of a special token, which is its id) as bytes; long pieces are not kept. When it is full, what
+    it holds becomes the older generation, from which pieces in use come back."""
+
+    def __init__(self, bpe: WordBpe):
+        self.bpe, self.old = bpe, {}
+
+    def __missing__(self, piece: str | int) -> bytes:
+        told = self.old.get(piece)
+        if told is None:
+            told = np.array((piece,) if isinstance(piece, int) else self.bpe._piece(piece), self.bpe._kind).tobytes()
+        if isinstance(piece, int) or len(piece) <= 64:
+            self[piece] = told
+        return told
+
+    def turn(self) -> None:
+        if len(self) >= CACHE_PIECES:
+            self.old = dict(self)
+            self.clear()
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -173,11 +274,10 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             rows = {"doc_id": batch.column(0), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             for text in batch.column(1):
-                ids = bpe.encode(text.as_py() or "")
-                rows["n_tokens"].append(len(ids))
-                rows["ids_sha256"].append(hashlib.sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest())
-                rows["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                for column, value in zip(("n_tokens", "ids_sha256", "decoded_sha256"), bpe.digests(text.as_py() or ""), strict=True):
+                    rows[column].append(value)
             yield pa.RecordBatch.from_pydict(rows)
+        bpe.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

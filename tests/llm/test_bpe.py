@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tallyroom.llm import bpe
 from tallyroom.llm.bpe import WordBpe, encoded
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -42,6 +43,35 @@ def test_any_text(both, text):
     assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("before,after", [("", " "), ("ab", "cd "), (":", "a "), ("a\u0301", "\u0316 ")])
+def test_every_code_point(both, before, after):
+    """All of them, alone, inside a word, after a sign, and between combining marks."""
+    own, library = both
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 20_000):
+        text = "".join(before + chr(c) + after for c in points[i : i + 20_000])
+        if own.encode(text).tolist() != library.encode(text, add_special_tokens=False).ids:
+            for c in points[i : i + 20_000]:
+                text = before + chr(c) + after
+                assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, hex(c)
+
+
+def test_pieces_are_forgotten(both):
+    own, _ = both
+    own.encode("some words that are remembered, and 日本語")
+    assert own._known and own._fits
+    own.forget()
+    assert not own._known and not own._known.old and not own._fits
+
+
+def test_generations_of_pieces(both, monkeypatch):
+    own, library = both
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 3)
+    monkeypatch.setattr(bpe, "SLICE", 2)
+    text = "one two three one four five six one two <|endoftext|> seven one"
+    assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids and len(own._known) <= 5
+
+
 def test_rows(spark, both):
     rows = [(1, "Hello there", "en"), (2, None, "fr"), (2, "", "x"), (3, "word " * 5000, None)]
     got = sorted(encoded(spark.createDataFrame(rows, "doc_id long, text string, ids_sha256 string"), PATH).collect(), key=lambda r: (r.doc_id, r.n_tokens))
