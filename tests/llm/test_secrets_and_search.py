@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,14 +64,16 @@ def test_preference(spark):
     assert preference.formatted(preference.paired_by_opening(turns.limit(0))).count() == 0
 
 
-@pytest.mark.parametrize("block,query_block", [(4096, 1024), (16, 4)])
-def test_top_k(spark, block, query_block):
+@pytest.mark.parametrize("block,query_block,part,step", [(16384, 1024, 4096, 64), (16, 4, 8, 2), (200, 1024, 50, 4)])
+def test_top_k(spark, monkeypatch, block, query_block, part, step):
+    monkeypatch.setattr(threshold, "LIST", part)
+    monkeypatch.setattr(threshold, "FIRST_STEP", step)
     r = random.Random(4)
     rows = [(i, [r.gauss(0, 0.3) for _ in range(8)]) for i in range(150)] + [(i, [0.5] * 8) for i in range(150, 190)]
     rows += [(200, None), (201, [0.1, None] + [0.0] * 6), (202, [float("nan")] * 8), (203, [float("inf")] * 8), (204, []), (None, [0.0] * 8), (205, [0.1, 0.2]), (210, [0.0] * 8), (150, [0.5] * 8)]
     vectors = threshold.quantised(spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<double>, v int"))
     got = sorted(tuple(x) for x in threshold.top_k(vectors, F.col("vec_id") % 10 == 0, 10, block, query_block).collect())
-    whole = {i: [int(x * 1024 // 1) for x in v] for i, v in rows if i is not None and v and all(x is not None and abs(x) < 1e300 for x in v)}
+    whole = {i: [int(x * 1024 // 1) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and abs(x) < 1e300 for x in v)}
     expected = []
     for q, v in whole.items():
         if q % 10 == 0:
@@ -80,6 +83,26 @@ def test_top_k(spark, block, query_block):
     assert threshold.top_k(vectors.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_reading_stops(monkeypatch):
+    """A query along one dimension is answered from the end of one list."""
+    r = np.random.default_rng(2)
+    x = r.integers(-500, 500, (2000, 4)).astype(float)
+    lists = threshold.Lists(x, np.arange(2000))
+    scored = []
+    monkeypatch.setattr(np, "partition", lambda a, k, whole=np.partition: scored.append(len(a)) or whole(a, k))
+    q = np.array([0.0, -3.0, 0.0, 0.0])
+    ids, scores = lists.search(q, 7, 10, (np.zeros(0, np.int64), np.zeros(0)))
+    best = sorted((-float(q @ v), i) for i, v in enumerate(x) if i != 7)[:10]
+    assert [(-s, i) for i, s in zip(ids, scores, strict=True)] == best and sum(scored) < 200
+
+
+def test_empty_vectors_take_part(spark):
+    rows = [(100, [0.5, -0.5]), (1, []), (2, [-1.0, 0.0])]
+    vectors = threshold.quantised(spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, `a.b` string"))
+    got = [tuple(r) for r in threshold.top_k(vectors, F.col("vec_id") % 100 == 0).orderBy("rank").collect()]
+    assert got == [(100, 1, 1, 0), (100, 2, 2, -524288)]
+
+
 def test_pipeline_stages(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "near_duplicates", "decontamination", "secrets", "bpe"]
