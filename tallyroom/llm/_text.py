@@ -21,6 +21,11 @@ _LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
 
 
+def quoted(name: str) -> str:
+    """A column's name as F.col takes it, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64; kept, as every chunk needs them."""
     have = _powers.get(base)

@@ -3,8 +3,11 @@
 Positions come from splitting a text at the matches of a pattern: the lengths of the pieces and of the matches add up
 to code-point offsets. Parts have a role: access identifiers (`access`, `account`), secrets (`assign`, `hex`, `blob`)
 and endpoints (`endpoint`). The first three kinds are strong by themselves. `account`, `blob` and `endpoint` are weak:
-they are reported only where a part of a complementary role lies within SCOPE code points in the same document
-(interval join inside the row, so nothing is shuffled).
+they are reported only where a part of a complementary role lies within SCOPE code points in the same document.
+
+The interval join is a merge of sorted ends inside the row, so nothing is shuffled: as many parts come near one as begin
+before its scope ends, less those that end before its scope begins. Sums over many matches, merges and cuts take about
+linear time in the length of a text.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyroom.llm._text import quoted
+
 SCOPE = 200
 KINDS = ("assign", "access", "hex", "account", "blob", "endpoint")
 BASE = KINDS[:3]
@@ -25,35 +30,65 @@ ACCOUNT = r"""(?i)(user|user_?name|user_?id|login|client_?id)["']?\x20*[:=]\x20*
 BLOB = r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"
 ENDPOINT = r"""https?://[^\x00-\x20"'<>]+|([0-9]{1,3}\.){3}[0-9]{1,3}(:[0-9]{1,5})?"""
 _SPAN = "array<struct<start:int,k:int,stop:int>>"
+#: Matches that are added up before a sum is carried on, and code points of a section that text is cut from.
+_ADDED, _SECTION = 64, 512
+
+
+def _running(steps: Column) -> Column:
+    """Sums of the first entry, the first two, and so on: in parts, as each entry added copies what there is."""
+    part = lambda i: F.slice(steps, i * _ADDED + 1, F.lit(_ADDED))
+    last = lambda x: F.element_at(x, -1)
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _ADDED).cast("int")), part)
+    add = lambda a, x: F.concat(a, F.array(F.aggregate(x, F.array(last(last(a))), lambda b, y: F.concat(b, F.array(last(b) + y)))))
+    sums = F.aggregate(parts, F.array(F.array(F.lit(0))), add)
+    return F.when(F.size(steps) > 0, F.flatten(F.transform(F.slice(sums, 2, F.size(sums)), lambda x: F.slice(x, 2, F.size(x))))).otherwise(F.array().cast("array<int>"))
 
 
 def _matches(text: Column, kind: str, pattern: str, group: int | None = None, least: int = 0, also: str | None = None) -> Column:
     """Spans of all matches, less those whose group is shorter than `least` or that lack the pattern `also`."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    held = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
-    good = F.transform(held, lambda x: (F.length(x) >= least) & (F.lit(True) if also is None else x.rlike(also)))
-    sized = F.arrays_zip(F.transform(hits, F.length).alias("n"), F.slice(F.transform(F.split(text, pattern, -1), F.length), 1, F.size(hits)).alias("gap"), good.alias("good"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    sizes = F.transform(hits, F.length)
+    gaps = F.slice(F.transform(F.split(text, pattern, -1), F.length), 1, F.size(hits))
+    stops = _running(F.zip_with(gaps, sizes, lambda a, b: a + b))
 
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + x["gap"]
-        stop = begin + x["n"]
-        own = F.array(F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("k"), stop.alias("stop"))).cast(_SPAN)
-        return F.struct(stop.alias("at"), F.when(x["good"], F.concat(a["out"], own)).otherwise(a["out"]).alias("out"))
+    def good(hit: Column) -> Column:
+        held = F.regexp_extract(hit, pattern, group) if group else hit
+        return (F.length(held) >= least) & (F.lit(True) if also is None else held.rlike(also))
 
-    return F.aggregate(sized, start, step)["out"]
+    spans = F.zip_with(hits, stops, lambda hit, stop: F.struct((stop - F.length(hit)).alias("start"), F.lit(KINDS.index(kind)).alias("k"), stop.alias("stop"), good(hit).alias("good")))
+    return F.transform(F.filter(spans, lambda s: s["good"]), lambda s: F.struct(s["start"], s["k"], s["stop"])).cast(_SPAN)
 
 
 def _where(condition: Column, spans: Column) -> Column:
     return F.when(condition, spans).otherwise(F.array().cast(_SPAN))
 
 
-def _near(a: Column, b: Column) -> Column:
-    return (a["start"] <= b["stop"] + SCOPE) & (b["start"] <= a["stop"] + SCOPE)
+def _counts(points: Column, asked: Column, equal: bool) -> Column:
+    """For each number in asked how many points are smaller (or equal to it), by one sort of both together."""
+    marked = F.concat(
+        F.transform(points, lambda p: F.struct(p.alias("at"), F.lit(0 if equal else 1).alias("tie"), F.lit(-1).alias("i"))),
+        F.transform(asked, lambda x, i: F.struct(x.alias("at"), F.lit(1 if equal else 0).alias("tie"), i.alias("i"))),
+    )
+    placed = F.filter(F.transform(F.array_sort(marked), lambda x, j: F.struct(x["i"].alias("i"), j.alias("n"))), lambda x: x["i"] >= 0)
+    before = F.transform(placed, lambda x, j: F.struct(x["i"].alias("i"), (x["n"] - j).alias("n")))
+    return F.transform(F.array_sort(before), lambda x: x["n"])
+
 
+def _ends(spans: Column, end: str, more: int = 0) -> Column:
+    return F.transform(spans, lambda s: s[end] + more)
 
-def _overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["stop"]) & (b["start"] < a["stop"])
+
+def _meeting(spans: Column, others: Column, scope: int | None = None) -> Column:
+    """For each span whether another one comes within scope of it, or without scope whether one overlaps it."""
+    far, equal = (0, False) if scope is None else (scope, True)
+    begun = _counts(_ends(others, "start"), _ends(spans, "stop", far), equal)
+    over = _counts(_ends(others, "stop"), _ends(spans, "start", -far), not equal)
+    return F.zip_with(begun, over, lambda a, b: a > b)
+
+
+def _chosen(spans: Column, keep: Column) -> Column:
+    both = F.filter(F.zip_with(spans, keep, lambda s, k: F.struct(s.alias("s"), k.alias("keep"))), lambda x: x["keep"])
+    return F.when(F.size(spans) > 0, F.transform(both, lambda x: x["s"])).otherwise(spans)
 
 
 def _told(spans: Column) -> Column:
@@ -62,63 +97,86 @@ def _told(spans: Column) -> Column:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with `_base` and `_all`: arrays of spans (start, k = place in KINDS, stop) by start, then kind."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.withColumn("_t", t)
-    t = F.col("_t")
-    docs = docs.withColumns({
-        "_assign": _where(t.rlike(r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""), _matches(t, "assign", ASSIGN, 2, 6)),
-        "_access": _where(t.contains("AKIA"), _matches(t, "access", ACCESS)),
-        "_hex": _where(t.rlike(HEX), _matches(t, "hex", HEX)),
-        "_blob": _where(t.rlike(BLOB), _matches(t, "blob", BLOB, also="[0-9].*[A-Za-z]|[A-Za-z].*[0-9]")),
-    })
-    docs = docs.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    docs = docs.withColumn("_blob", F.filter("_blob", lambda w: ~F.exists("_base", lambda b: _overlaps(w, b))))
-    secret = F.concat("_assign", "_hex", "_blob")
+    """row (all columns of docs in one), t (the text, never null), and arrays of spans (start, k = place in KINDS, stop)
+    by start, then kind: base and every (base and linked ones)."""
+    named = [F.col(quoted(c)) for c in docs.columns]
+    docs = docs.select(F.struct(*named).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
+    t = F.col("t")
     docs = docs.withColumns({
-        "_account": _where(F.size(secret) > 0, F.filter(_matches(t, "account", ACCOUNT, 2, 3), lambda w: ~F.exists("_base", lambda b: _overlaps(w, b)))),
-        "_endpoint": _where(F.size(secret) > 0, _matches(t, "endpoint", ENDPOINT)),
+        "assign": _where(t.rlike(r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""), _matches(t, "assign", ASSIGN, 2, 6)),
+        "access": _where(t.contains("AKIA"), _matches(t, "access", ACCESS)),
+        "hex": _where(t.rlike(HEX), _matches(t, "hex", HEX)),
+        "blob": _where(t.rlike(BLOB), _matches(t, "blob", BLOB, also="[0-9].*[A-Za-z]|[A-Za-z].*[0-9]")),
     })
+    docs = docs.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
+    free = lambda w: F.when(F.size(w) > 0, _chosen(w, F.transform(_meeting(w, F.col("base")), lambda x: ~x))).otherwise(w)
+    docs = docs.withColumn("blob", free(F.col("blob")))
+    docs = docs.withColumn("secret", F.concat("assign", "hex", "blob"))
+    docs = docs.withColumns({"account": _where(F.size("secret") > 0, _matches(t, "account", ACCOUNT, 2, 3)), "endpoint": _where(F.size("secret") > 0, _matches(t, "endpoint", ENDPOINT))})
+    docs = docs.withColumn("account", free(F.col("account")))
+    near = lambda w, others: F.when(F.size(w) > 0, _chosen(w, _meeting(w, others, SCOPE))).otherwise(w)
     linked = F.concat(
-        F.filter("_account", lambda w: F.exists(secret, lambda s: _near(w, s))),
-        F.filter("_blob", lambda w: F.exists(F.concat("_access", "_account", "_endpoint"), lambda s: _near(w, s))),
-        F.filter("_endpoint", lambda w: F.exists(secret, lambda s: _near(w, s))),
+        near(F.col("account"), F.col("secret")), near(F.col("blob"), F.concat("access", "account", "endpoint")), near(F.col("endpoint"), F.col("secret")),
     )
-    return docs.withColumn("_all", F.array_sort(F.concat("_base", linked)))
+    return docs.withColumn("every", F.when(F.size("secret") > 0, F.array_sort(F.concat("base", linked))).otherwise(F.col("base")))
 
 
 def found(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_linked of every row.
 
     A null or empty text has no spans (the digest of the empty string, an empty `spans`). Repeated rows give repeated
-    rows; a null doc_id stays null; other columns are ignored, whatever their names.
+    rows; a null doc_id stays null; other columns are ignored, whatever their names. An empty table gives no rows. Long
+    texts with many matches take about linear time.
     """
     out = with_spans(docs.select("doc_id", "text"))
-    count = lambda k: F.size(f"_{k}").cast("long").alias(f"n_{k}")
+    count = lambda k: F.size(k).cast("long").alias(f"n_{k}")
     return out.select(
-        "doc_id", *map(count, BASE), F.sha2(_told(F.col("_base")), 256).alias("base_sha256"), _told(F.col("_all")).alias("spans"),
-        (F.size("_all") - F.size("_base")).cast("long").alias("n_linked"),
+        F.col("row")["doc_id"].alias("doc_id"), *map(count, BASE), F.sha2(_told(F.col("base")), 256).alias("base_sha256"), _told(F.col("every")).alias("spans"),
+        (F.size("every") - F.size("base")).cast("long").alias("n_linked"),
     )
 
 
+def _united(spans: Column) -> tuple[Column, Column]:
+    """Starts and stops of what spans cover: a start opens if all that began before ended before it, a stop likewise."""
+    starts, stops = F.array_sort(F.array_distinct(_ends(spans, "start"))), F.array_sort(F.array_distinct(_ends(spans, "stop")))
+
+    def outer(points: Column, equal: bool) -> Column:
+        ends = (_counts(_ends(spans, end), points, equal) for end in ("start", "stop"))
+        balanced = F.zip_with(*ends, lambda a, b: a == b)
+        return F.transform(F.filter(F.zip_with(points, balanced, lambda p, b: F.struct(p.alias("p"), b.alias("b"))), lambda x: x["b"]), lambda x: x["p"])
+
+    return outer(starts, False), outer(stops, True)
+
+
+def _pieces(text: Column, begin: Column, end: Column) -> Column:
+    """The texts from each begin to the end of the same number; cut from sections, as a cut counts from the start."""
+    sections = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_SECTION}}}"), F.lit(0))
+
+    def cut(a: Column, b: Column) -> Column:
+        first, last = F.floor(a / _SECTION).cast("int"), F.floor(b / _SECTION).cast("int")
+        part = lambda i: F.coalesce(F.get("sections", i), F.lit(""))
+        long = F.concat(F.substr(part(first), a % _SECTION + 1), F.array_join(F.slice("sections", first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substr(part(last), F.lit(1), b % _SECTION))
+        return F.when(first == last, F.substr(part(first), a % _SECTION + 1, b - a)).otherwise(long)
+
+    return sections, F.zip_with(begin, end, cut)
+
+
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs, all rows and columns, with every span of `text` replaced by `mark` (touching or overlapping spans by one).
 
-    Where there is n_chars, it follows the new text. Texts without spans stay as they are.
+    Where there is n_chars, it follows the new text. Texts without spans stay as they are, null and empty ones too.
+    Repeated rows stay repeated; an empty table stays empty; other columns may have any name, with dots too.
     """
-    out = with_spans(docs)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        fresh = (s["start"] > a["at"]) | (a["at"] == 0)
-        grown = F.concat(a["out"], F.col("_t").substr(a["at"] + 1, s["start"] - a["at"]), F.lit(mark))
-        return F.struct(F.greatest(a["at"], s["stop"]).alias("at"), F.when(fresh, grown).otherwise(a["out"]).alias("out"))
-
-    kept = F.aggregate("_all", start, step)
-    rest = F.col("_t").substr(kept["at"] + 1, F.length("_t") - kept["at"])
-    text = F.when(F.size("_all") > 0, F.concat(kept["out"], rest)).otherwise(F.col("text"))
-    size = F.when(F.size("_all") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    return out.select(*[text.alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    out = with_spans(docs).select("row", "t", "every")
+    starts, stops = _united(F.col("every"))
+    none = F.array().cast("array<int>")
+    some = F.size("every") > 0
+    out = out.withColumns({"starts": F.when(some, starts).otherwise(none), "stops": F.when(some, stops).otherwise(none)})
+    sections, pieces = _pieces(F.col("t"), F.concat(F.array(F.lit(0)), F.col("stops")), F.concat(F.col("starts"), F.array(F.length("t"))))
+    out = out.withColumn("sections", F.when(some, sections))
+    out = out.withColumn("clean", F.when(some, F.array_join(pieces, mark)).otherwise(F.col("row")["text"]))
+    own = {"text": F.col("clean"), "n_chars": F.when(some, F.length("clean").cast("long")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return out.select(*[own.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 _PARTS_SQL = """
@@ -133,9 +191,9 @@ d AS (SELECT doc_id, coalesce(text, '') t FROM documents),
 m AS (SELECT doc_id, kind, k, least, regexp_extract_all(t, pat, 0) h,
         CASE WHEN grp = 2 THEN regexp_extract_all(t, pat, 2) ELSE regexp_extract_all(t, pat, 0) END g, string_split_regex(t, pat) p
       FROM d, pattern),
-u AS (SELECT doc_id, kind, k, least, unnest(range(1, len(h) + 1)) i, h, g, p FROM m),
-s AS (SELECT doc_id, kind, k, least, i, h[i] hit, g[i] held, length(h[i]) n,
-        sum(length(p[i]) + length(h[i])) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM u),
+u AS (SELECT doc_id, kind, k, least, unnest(range(len(h))) i, unnest(h) hit, unnest(g) held, unnest(p[1:len(h)]) gap FROM m),
+s AS (SELECT doc_id, kind, k, least, i, hit, held, length(hit) n,
+        sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM u),
 part AS (SELECT doc_id, kind, k, hit, CAST(stop - n AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM s
          WHERE length(held) >= least AND (kind <> 'blob' OR (length(hit) = 40 AND NOT contains(hit, '=')
                AND regexp_matches(hit, '[0-9].*[A-Za-z]|[A-Za-z].*[0-9]')))),
