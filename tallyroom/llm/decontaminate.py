@@ -20,15 +20,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyroom.llm._text import chunks, grams, lower_ascii, mix, prefix_sums, span_hashes, words
+from tallyroom.llm._text import chunks, grams, lower_ascii, mix, prefix_sums, quoted, span_hashes, words
 from tallyroom.tables import staged
 
 WINDOW, SHARE = 5, 0.8
-#: Windows of the benchmark up to which their hashes go to every task as a filter (16 MB).
-FILTER_WINDOWS = 2_000_000
+#: The filter of benchmark windows that goes to every task has 2 ** FILTER_BITS bits (4 MB), however many windows there
+#: are: the more there are, the more it lets pass, and the join decides.
+FILTER_BITS = 25
 # Words that are read as units.
 UNITS = """
 kg g mg lb lbs oz km m cm mm ft inch inches mile miles yard yards mph kmh l ml litre litres liter liters gallon gallons
@@ -154,9 +156,30 @@ def _member(h: np.ndarray, held: np.ndarray) -> np.ndarray:
     return held[np.minimum(np.searchsorted(held, h), len(held) - 1)] == h if len(held) else np.zeros(len(h), bool)
 
 
-def windows(rows: DataFrame, ident: str, keep: np.ndarray | None = None, telling: bool = False) -> DataFrame:
+def window_filter(items: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column window of items, built in Spark: two bits for each, in bytes."""
+    mask = (1 << FILTER_BITS) - 1
+    bit = F.explode(F.array(*[F.shiftrightunsigned("window", n).bitwiseAND(F.lit(mask).cast("long")) for n in (0, 32)]))
+    held = items.select(bit.alias("bit")).groupBy(F.shiftright("bit", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, CAST(bit & 7 AS INT))")).alias("bits"))
+    got = held.toPandas()  # 2 ** FILTER_BITS / 8 rows at most
+    out = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    out[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint8)
+    return out
+
+
+def _passes(h: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which hashes the filter lets pass: all that it was made of, and few others while it is not full."""
+    mask = np.uint64(8 * len(held) - 1)
+    good = np.ones(len(h), bool)
+    for n in (0, 32):
+        bit = h >> np.uint64(n) & mask
+        good &= (held[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return good
+
+
+def windows(rows: DataFrame, ident: str, keep: Broadcast | None = None, telling: bool = False) -> DataFrame:
     """ident, window, place, n (windows of the text that count) and slots (value of each placeholder, in order, its
-    kind in the two lowest bits); with `keep` (sorted hashes) only windows of it; with `telling` only those with two plain tokens where there are any."""
+    kind in the two lowest bits); with `keep` (a filter) only windows that it lets pass; with `telling` only those with two plain tokens where there are any."""
 
     def run(batches):
         for batch in batches:
@@ -192,7 +215,7 @@ def windows(rows: DataFrame, ident: str, keep: np.ndarray | None = None, telling
                 counted = np.zeros(len(template), bool)
                 counted[at[good]] = True
                 n = np.bincount(doc[counted], minlength=len(size))
-                hit = np.flatnonzero(good & _member(w, keep)) if keep is not None else np.flatnonzero(good)
+                hit = np.flatnonzero(good & _passes(w, keep.value)) if keep is not None else np.flatnonzero(good)
                 low = hit[hit < n_plain]
                 spot = at[low][:, None] + np.arange(WINDOW)
                 spot[spot >= first[doc[at[low]] + 1][:, None]] = -1
@@ -217,14 +240,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id and share of each contaminated document and item.
 
     Null ids and null or empty texts match nothing; repeated rows of either table count once; of documents with one
-    id the windows are taken together.
+    id the windows are taken together, and an item with several texts is found by any of them.
     """
     of_items = windows(benchmark, "item_id", telling=True)
     of_items = staged(of_items.groupBy("item_id", "window", "place").agg(F.max("n").alias("n_item"), F.first("slots").alias("item_slots")), "benchmark-windows")
-    different = of_items.select("window").distinct()
-    keep = None
-    if different.count() <= FILTER_WINDOWS:
-        keep = np.sort(different.toPandas()["window"].to_numpy().view(np.uint64))
+    keep = docs.sparkSession.sparkContext.broadcast(window_filter(of_items))
     found = windows(docs, "doc_id", keep).select("doc_id", "window", F.col("place").alias("at"), "slots")
     matched = found.join(of_items, "window").withColumn("diagonal", F.col("at") - F.col("place"))
     pair = F.explode_outer(F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("ours")))
@@ -244,7 +264,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, contaminated, n_items and item_ids (ascending) of every row of docs."""
+    """doc_id, contaminated, n_items and item_ids (ascending) of every row of docs.
+
+    Null or empty texts, a null doc_id, and every document where the benchmark is empty are not contaminated; repeated
+    rows are judged alike; an empty table gives no rows; long texts are read whole; other columns are ignored.
+    """
     hits = leaks(docs, benchmark).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     out = docs.select("doc_id").join(hits, "doc_id", "left")
     none = F.array().cast("array<bigint>")
@@ -252,5 +276,7 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, that no item contaminates. Rows without doc_id stay."""
-    return docs.join(staged(leaks(docs, benchmark).select("doc_id").distinct(), "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs, with all columns, that no item contaminates. Rows without doc_id stay, as do null and empty
+    texts; repeated rows go or stay together; an empty table stays empty; other columns may have any name."""
+    gone = staged(leaks(docs, benchmark).select("doc_id").distinct(), "contaminated")
+    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))

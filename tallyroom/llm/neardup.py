@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm._text import chunks, lower_ascii, shingle_sets
+from tallyroom.llm._text import chunks, lower_ascii, quoted, shingle_sets
 from tallyroom.tables import staged
 
 K, FLOOR, SHINGLE, SIMILAR, BLOCK = 40, 0.4, 4, 80, 1024
@@ -198,6 +198,7 @@ def linked(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def clean(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs, with all columns, that are the first of their component. Rows without doc_id stay."""
+    """The rows of docs, with all columns, that are the first of their component. Rows without doc_id stay, as do null
+    and empty texts; repeated rows go or stay together; an empty table stays empty; other columns may have any name."""
     gone = staged(linked(docs, shingle).where(~F.col("kept")).select("doc_id"), "near-duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))

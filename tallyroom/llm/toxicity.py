@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm._text import chunks, prefix_sums, span_hashes, words
+from tallyroom.llm._text import chunks, prefix_sums, quoted, span_hashes, words
 from tallyroom.tables import staged
 
 LANDMARKS, TRAIN_DOCS, DECAY, FLOOR, THRESHOLD = 32, 6000, 0.5, 0.35, 0.3
@@ -225,24 +225,28 @@ def scored(docs: DataFrame, machine: Machine | float, keep: list[str] | None = N
 
     A null or empty text is scored as one without words; repeated rows are scored alike; a null doc_id is not held out.
     """
-    out = docs.select(*(keep or ["doc_id"]), *([] if keep and "text" in keep else ["text"]))
+    out = docs.select(*map(quoted, keep or ["doc_id"]), *([] if keep and "text" in keep else ["text"]))
     texts = out.columns.index("text")
-    kept = [f for f in out.schema.fields if keep or f.name == "doc_id"]
+    kept = [i for i, c in enumerate(out.columns) if keep or c == "doc_id"]
     name = free_name("score", out.columns)
-    names, places = [f.name for f in kept], [out.columns.index(f.name) for f in kept]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{name}` double"])
+    names = [out.columns[i] for i in kept]
+    # by number inside, as mapInArrow takes no names with dots
+    out = out.toDF(*[f"c{i}" for i in range(len(out.columns))])
+    schema = ", ".join([*(f"c{i} {out.schema[i].dataType.simpleString()}" for i in kept), "score double"])
 
     def run(batches):
         for batch in batches:
             scores = [np.zeros(0)]
             for _, data, offsets in chunks(pa.array(np.arange(batch.num_rows)), batch.column(texts)):
                 scores.append(np.full(len(offsets) - 1, machine) if isinstance(machine, float) else machine.scores(machine.kernel.of_texts(data, offsets)))
-            yield pa.RecordBatch.from_arrays([*map(batch.column, places), pa.array(np.concatenate(scores))], names=[*names, name])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(np.concatenate(scores))], names=[*(f"c{i}" for i in kept), "score"])
 
-    out = out.mapInArrow(run, schema)
+    out = out.mapInArrow(run, schema).toDF(*names, name)
     return out if keep else out.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def clean(docs: DataFrame, machine: Machine | float) -> DataFrame:
-    """The rows of docs, with all columns, that are not predicted toxic."""
-    return scored(docs, machine, docs.columns).where(F.col(free_name("score", docs.columns)) < THRESHOLD).select(*docs.columns)
+    """The rows of docs, with all columns, that are not predicted toxic. Null and empty texts are scored as texts without
+    words; repeated rows go or stay together; an empty table stays empty; other columns may have any name."""
+    score = free_name("score", docs.columns)
+    return scored(docs, machine, docs.columns).where(F.col(score) < THRESHOLD).select(*map(quoted, docs.columns))

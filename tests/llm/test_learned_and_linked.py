@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from tallyroom.llm import decontaminate, neardup, quality, toxicity
+from tests.llm import brute
 
 
 def prose(r, n):
@@ -149,10 +150,11 @@ def test_templates(spark):
     assert decontaminate.judged(docs.limit(0), bench).count() == 0 and not any(r.contaminated for r in decontaminate.judged(docs, bench.limit(0)).collect())
 
 
-def test_join_without_filter_gives_the_same(spark, monkeypatch):
+def test_full_filter_gives_the_same(spark, monkeypatch):
+    """A filter so small that it lets everything pass: the join decides."""
     docs = spark.createDataFrame([(1, ITEM), (2, "other words that do not match at all")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "FILTER_WINDOWS", 0)
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", 4)
     assert [(r.doc_id, r.item_id, r.share) for r in decontaminate.leaks(docs, bench).collect()] == [(1, 1, 1.0)]
 
 
@@ -190,6 +192,58 @@ def test_slots_that_turn_into_several_values(spark):
     assert shares(spark, item, item.replace("Anna", "Wendy", 1)) == [pytest.approx(21 / 26)]
 
 
+def reworded(r, text):
+    """An item with other numbers, names or units, or a few other words."""
+    out = []
+    for w in text.split(" "):
+        bare = w.strip(".,?")
+        if bare.isdigit() and r.random() < 0.7:
+            w = w.replace(bare, str(r.randint(1, 99)))
+        elif bare in NAMES and r.random() < 0.8:
+            w = w.replace(bare, {n: NAMES[(i + 3) % len(NAMES)] for i, n in enumerate(NAMES)}[bare])
+        elif bare in ("hours", "miles", "litres") and r.random() < 0.7:
+            w = w.replace(bare, r.choice(["hour", "minutes", "km"]))
+        elif r.random() < 0.03:
+            w = "other" + w
+        out.append(w)
+    return " ".join(out)
+
+
+NAMES = ["Anna", "Bob", "Carla", "Dimitri", "Eve", "Fred", "Mary Ann"]
+
+
+def test_decontamination_by_brute_force(spark):
+    r = random.Random(21)
+    verbs = ["walks", "has", "sells", "needs", "gives", "counts", "finds"]
+    things = ["apples", "stones", "hours", "miles", "litres", "birds of the forest", "3kg", "5.5 km"]
+    sentence = lambda: f"{r.choice(NAMES)} {r.choice(verbs)} {r.randint(1, 99)} {r.choice(things)} {r.choice(['near', 'before', 'with'])} {r.choice(NAMES)}{r.choice(['.', ' and', ',', '?'])}"
+    items = [(i, " ".join(sentence() for _ in range(r.randint(1, 6)))) for i in range(25)] + [(50, None), (51, "Two words"), (52, "1 2 3"), (None, "Anna has 1"), (3, "again the third with other words")]
+    texts = [t for _, t in items if t]
+    docs = [(i, r.choice(["", "Before. ", "intro\n", "It is said that "]) + reworded(r, r.choice(texts)) + r.choice(["", " After it", ". Then Bob left"])) for i in range(150)]
+    docs += [(200, None), (201, ""), (202, " \n"), (None, texts[0]), (203, texts[0]), (203, texts[0]), (204, " ".join(texts)), (205, "Zoë " + texts[1] + " naïve. Été"), (206, texts[2] * 40)]
+    expected = brute.leaks(docs, items)
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string").repartition(3)
+    got = {(x.doc_id, x.item_id): x.share for x in decontaminate.leaks(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert {k: (got.get(k), expected.get(k)) for k in {*got, *expected} if got.get(k) != pytest.approx(expected.get(k))} == {}
+    assert 40 < len({d for d, _ in got}) < 150
+
+
+def test_columns_of_any_name_stay(spark, toxic):
+    docs = spark.createDataFrame([(1, "some words here", "x", "y", 3.0), (2, None, None, "z", None)], "doc_id long, text string, `a.b` string, `c d` string, score double")
+    none = spark.createDataFrame([], "item_id long, text string")
+    for kept in (toxicity.clean(docs, 0.0), toxicity.clean(docs, toxic[2]), neardup.clean(docs), decontaminate.clean(docs, none)):
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_very_long_texts(spark, toxic):
+    """Texts beyond a chunk: read whole."""
+    long = "plain words " * 120_000
+    docs = spark.createDataFrame([(1, long + "mukwump"), (2, long), (3, long + ITEM), (4, long.upper())], "doc_id long, text string")
+    assert {x.doc_id: x.predicted for x in toxicity.scored(docs, toxic[2]).collect()} == {1: 1, 2: 0, 3: 0, 4: 0}
+    assert {x.doc_id: x.contaminated for x in decontaminate.judged(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).collect()} == {1: False, 2: False, 3: True, 4: False}
+    assert {x.doc_id: x.component_id for x in neardup.linked(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 2}
+
+
 # near duplicates
 
 
