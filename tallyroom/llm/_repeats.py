@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm._text import chunks, grams, prefix_sums, rolling, span_hashes, words
+from tallyroom.llm._text import chunks, freeing, grams, prefix_sums, rolling, span_hashes, words
 from tallyroom.tables import new_path, staged
 
 #: Documents whose signatures share a bucket, on average.
@@ -176,7 +176,7 @@ def fingerprints(docs: DataFrame, units: Units, buckets: int) -> DataFrame:
                     row = _run_row(signature[some], doc[some], at[some], long[some])
                     yield pa.RecordBatch.from_arrays([pa.array([int(where[some[0]])]), *(pa.array([c], pa.binary()) for c in row)], names=["bucket", "signature", "doc", "at", "length"])
 
-    return docs.mapInArrow(run, _RUN)
+    return docs.mapInArrow(freeing(run), _RUN)
 
 
 _FOUND = "doc_id long, at long, length int, signature long, old boolean, bucket long, run binary, run_doc binary, run_at binary, run_length binary"
@@ -293,7 +293,7 @@ def _cut(docs: DataFrame, marks: DataFrame, units: Units) -> DataFrame:
                             column.append(value)
             yield _once(out, units.by_word)
 
-    return docs.join(marks, "doc_id").select("doc_id", "text", "at", "length", "signature").mapInArrow(run, _CUT)
+    return docs.join(marks, "doc_id").select("doc_id", "text", "at", "length", "signature").mapInArrow(freeing(run), _CUT)
 
 
 def _finer(rows: DataFrame, units: Units) -> DataFrame:
@@ -320,7 +320,7 @@ def _finer(rows: DataFrame, units: Units) -> DataFrame:
                 out[5] += [[x + a for x in others[i]] if others[i] else None for i, a in zip(number[text].tolist(), at.tolist(), strict=True)]
             yield _once(out, units.by_word)
 
-    return rows.mapInArrow(run, _CUT)
+    return rows.mapInArrow(freeing(run), _CUT)
 
 
 def contexts(docs: DataFrame, marks: DataFrame, units: Units, *others: tuple[DataFrame, DataFrame]) -> DataFrame:
@@ -392,14 +392,14 @@ def covered(cut: DataFrame, units: Units, repeats: Callable) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield intervals(rest)
 
-    out.append(cut.mapInArrow(run, "doc_id long, start long, stop long"))
+    out.append(cut.mapInArrow(freeing(run), "doc_id long, start long, stop long"))
     return reduce(DataFrame.unionByName, out)
 
 
 def marked(docs: DataFrame, found: DataFrame, run: Callable, schema: str) -> DataFrame:
     """docs with the starts and stops of their intervals, through run (columns doc_id, text, starts, stops)."""
     found = found.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    return docs.join(found, "doc_id", "left").select("doc_id", "text", "starts", "stops").mapInArrow(run, schema)
+    return docs.join(found, "doc_id", "left").select("doc_id", "text", "starts", "stops").mapInArrow(freeing(run), schema)
 
 
 def mask(n: int, starts, stops) -> np.ndarray:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,20 +23,33 @@ _LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
 
 
+def freeing(run: Callable) -> Callable:
+    """run (batches to batches), giving back what its task has used: a worker process stays for other work, and the
+    allocators would keep the memory of the largest batch."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not with every C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def quoted(name: str) -> str:
     """A column's name as F.col takes it, whatever signs it holds."""
     return "`" + name.replace("`", "``") + "`"
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; kept, as every chunk needs them."""
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; kept up to the size of a chunk, which every chunk needs."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        have = np.full(size, base, _U)
+        have = np.full(max(n, CHUNK_BYTES + 1), base, _U)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        _powers[base] = have
+        if len(have) == CHUNK_BYTES + 1:
+            _powers[base] = have
     return have[:n]
 
 

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tallyroom.llm._text import freeing
+
 _NEVER = 1 << 40
 _FINAL = 0x1000
 #: Pieces whose tokens a task remembers in each of two generations (about 20 MB each), and pairs of tokens (about 10 MB).
@@ -279,7 +281,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict(rows)
         bpe.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(freeing(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 _kept: dict[int, WordBpe] = {}

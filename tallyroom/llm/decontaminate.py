@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyroom.llm._text import chunks, grams, lower_ascii, mix, prefix_sums, quoted, span_hashes, words
+from tallyroom.llm._text import chunks, freeing, grams, lower_ascii, mix, prefix_sums, quoted, span_hashes, words
 from tallyroom.tables import staged
 
 WINDOW, SHARE = 5, 0.8
@@ -233,7 +233,7 @@ def windows(rows: DataFrame, ident: str, keep: Broadcast | None = None, telling:
             ends = pa.array(np.cumsum(np.concatenate(sizes)), pa.int32())
             yield pa.RecordBatch.from_arrays([*flat, pa.ListArray.from_arrays(ends, slots)], names=[ident, "window", "place", "n", "slots"])
 
-    return rows.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long"), "text").mapInArrow(run, f"{ident} long, window long, place long, n long, slots array<long>")
+    return rows.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long"), "text").mapInArrow(freeing(run), f"{ident} long, window long, place long, n long, slots array<long>")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm._text import chunks, lower_ascii, quoted, shingle_sets
+from tallyroom.llm._text import chunks, freeing, lower_ascii, quoted, shingle_sets
 from tallyroom.tables import staged
 
 K, FLOOR, SHINGLE, SIMILAR, BLOCK = 40, 0.4, 4, 80, 1024
@@ -42,7 +42,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, k: int = K) -> DataFrame:
                     sketch.append((s[:k] >> np.uint64(1)).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, digest binary, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(freeing(run), "doc_id long, n long, digest binary, sketch array<long>")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(freeing(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def _apart(lists: DataFrame, found: DataFrame, texts: DataFrame, shingle: int) -
                 n = np.array([len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], names=["doc_id", "n", "v"])
 
-    values = staged(own.mapInArrow(run, "doc_id long, n long, v long"), "full-sets")
+    values = staged(own.mapInArrow(freeing(run), "doc_id long, n long, v long"), "full-sets")
     shared = staged(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").select("v"), "full-shared")
     held = values.join(shared, "v").groupBy("doc_id", "n").agg(F.collect_list("v").alias("held")).where(100 * F.size("held") >= SIMILAR * F.col("n"))
     rows = staged(group.join(held, "doc_id"), "group-members")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm._text import chunks, prefix_sums, span_hashes, words
+from tallyroom.llm._text import chunks, freeing, prefix_sums, span_hashes, words
 from tallyroom.llm.toxicity import held_out, training_rows
 from tallyroom.tables import staged
 
@@ -143,7 +143,7 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Atten
                 some = [x[np.unique(np.linspace(a, b - 1, TRAIN_PASSAGES).astype(int))] for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_pydict({"y": pa.array(y, pa.int32()), "n": pa.array([len(s) for s in some], pa.int32()), "x": pa.array([s.ravel() for s in some], pa.list_(pa.float64()))})
 
-    got = sample.select("y", "text").mapInArrow(rows, "y int, n int, x array<double>").toPandas()
+    got = sample.select("y", "text").mapInArrow(freeing(rows), "y int, n int, x array<double>").toPandas()
     y = got["y"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return float(len(y) > 0 and y[0] > 0)
@@ -164,5 +164,5 @@ def scored(docs: DataFrame, net: Attention | float) -> DataFrame:
                 scores.append(np.full(len(offsets) - 1, net) if isinstance(net, float) else net.scores(*passages(data, offsets)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores))], names=["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(freeing(run), "doc_id long, score double")
     return out.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.llm._repeats import Units, marked, mask, plain, repeated, stored
-from tallyroom.llm._text import chunks
+from tallyroom.llm._text import chunks, freeing
 from tallyroom.tables import staged
 
 WINDOW, GRAM, SHALLOW = 100, 32, 32
@@ -156,5 +156,5 @@ def stripped(docs: DataFrame) -> DataFrame:
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     none = F.lit(None).cast("array<bigint>")
-    alone = alone.select("doc_id", "text", none.alias("starts"), none.alias("stops")).mapInArrow(run, schema)
+    alone = alone.select("doc_id", "text", none.alias("starts"), none.alias("stops")).mapInArrow(freeing(run), schema)
     return marked(known, found, run, schema).unionByName(alone)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm._text import chunks, prefix_sums, quoted, span_hashes, words
+from tallyroom.llm._text import chunks, freeing, prefix_sums, quoted, span_hashes, words
 from tallyroom.tables import staged
 
 LANDMARKS, TRAIN_DOCS, DECAY, FLOOR, THRESHOLD = 32, 6000, 0.5, 0.35, 0.3
@@ -209,7 +209,7 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, landmark
                 x = kernel.of_texts(data, offsets).astype(float)
                 yield pa.RecordBatch.from_pydict({"y": pa.array(y, pa.int32()), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
-    got = sample.select("y", "text").mapInArrow(rows, "y int, x array<double>").toPandas()
+    got = sample.select("y", "text").mapInArrow(freeing(rows), "y int, x array<double>").toPandas()
     return fitted(kernel, chosen, np.stack(got["x"]), np.where(got["y"] > 0, 1.0, -1.0))
 
 
@@ -241,7 +241,7 @@ def scored(docs: DataFrame, machine: Machine | float, keep: list[str] | None = N
                 scores.append(np.full(len(offsets) - 1, machine) if isinstance(machine, float) else machine.scores(machine.kernel.of_texts(data, offsets)))
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(np.concatenate(scores))], names=[*(f"c{i}" for i in kept), "score"])
 
-    out = out.mapInArrow(run, schema).toDF(*names, name)
+    out = out.mapInArrow(freeing(run), schema).toDF(*names, name)
     return out if keep else out.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
