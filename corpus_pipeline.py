@@ -46,7 +46,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: SQL can't express the classifier and the encoder; tests hold the pipeline against brute force.
+#: SQL can't express the classifier and the encoder; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The patterns of typed cells.
 INTEGER = r"^[+-]?\d+$"
 DECIMAL = r"^[+-]?(\d+\.\d*|\.\d+|\d+)([eE][+-]?\d+)?$"
 DATE = r"^\d{4}-\d{2}-\d{2}$"
@@ -48,8 +49,21 @@ def resolved_type(observed: Column) -> Column:
 
 
 def decimal_38_9(c: Column) -> Column:
-    """Half-even to nine places; null where it doesn't fit. Text of up to 20 digits before the point is exact."""
-    return F.bround(c.try_cast("decimal(38,18)"), 9).cast("decimal(38,9)")
+    """A number's text rounded half-even to nine places, from all its digits; null with more than 29 before the point."""
+    part = lambda i: F.regexp_extract(c, r"^([+-]?)(\d*)\.?(\d*)(?:[eE]([+-]?\d+))?$", i)
+    whole, fraction = part(2), part(3)
+    power = F.greatest(F.least(F.coalesce(part(4).try_cast("decimal(20,0)"), F.lit(0)), F.lit(99)), F.lit(-99)).cast("int")
+    # the digits with the point moved by the power of ten
+    before = F.repeat(F.lit("0"), F.greatest(-power, F.lit(0)))
+    digits = F.concat(before, whole, fraction, F.repeat(F.lit("0"), F.greatest(power - F.length(fraction), F.lit(0)) + 10))
+    point = F.length(before) + F.length(whole) + power
+    kept, rest = F.substr(digits, F.lit(1), point + 9), F.rtrim(F.substr(digits, point + 10), F.lit("0"))
+    odd = F.substring(kept, -1, 1).isin("1", "3", "5", "7", "9")
+    up = (rest > "5") | ((rest == "5") & odd)
+    # as a whole number, where one more in the last place is exact; lpad would cut what is longer
+    number = (F.concat(F.lit("0"), kept).try_cast("decimal(38,0)") + F.when(up, 1).otherwise(0)).cast("decimal(38,0)").cast("string")
+    number = F.when(F.length(number) < 10, F.lpad(number, 10, "0")).otherwise(number)
+    return F.concat(part(1), F.regexp_replace(number, r"(\d{9})$", ".$1")).try_cast("decimal(38,9)")
 
 
 def converted(c: Column, kind: str) -> Column:
@@ -101,3 +115,50 @@ def digest_lane(digest_hex: Column, lane: int) -> Column:
 
 def conjunction(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, parts, F.lit(True))
+
+
+def unique_names(names: Column) -> Column:
+    """Physical names of a header's cells: the second of one name gets _2, or the next number that is free, and so on."""
+    based = F.transform(names, lambda n, i: physical_name(F.coalesce(n, F.lit("")), i + 1))
+
+    def add(have: Column, base: Column) -> Column:
+        free = F.filter(F.transform(F.sequence(F.lit(2), F.size(have) + 2), lambda k: F.concat(base, F.lit("_"), k.cast("string"))), lambda n: ~F.array_contains(have, n))
+        return F.concat(have, F.array(F.when(F.array_contains(have, base), free[0]).otherwise(base)))
+
+    return F.aggregate(based, F.array().cast("array<string>"), add)
+
+
+def schema_hash(columns: Column) -> Column:
+    """SHA-256 of the columns of a preview (array of structs aliases, data_type, display_name, original_name,
+    physical_name, in this order) as compact JSON."""
+    return F.sha2(F.to_json(columns), 256)
+
+
+def safe_identifier(c: Column) -> Column:
+    """Lower case, anything but a-z, 0-9 and _ as _, none at the ends, 48 characters at most; a digest where nothing is left."""
+    name = F.regexp_replace(F.regexp_replace(F.lower(stripped(c)), "[^a-z0-9_]+", "_"), "^_+|_+$", "")
+    return F.substring(F.when(F.length(name) > 0, name).otherwise(F.substring(F.sha2(c, 256), 1, 16)), 1, 48)
+
+
+def same_number(a: Column, b: Column) -> Column:
+    """Whether two texts or numbers are one number, whatever its form; two nulls are, a null and a number aren't."""
+    number = lambda c: c.cast("string").try_cast("decimal(38,18)")
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(F.coalesce(number(a) == number(b), a.cast("string") == b.cast("string")))
+
+
+def record_estimate(size: Column, kind: Column) -> Column:
+    """Records that a file of `size` bytes is taken to hold before it is read: one for each 512 bytes of a document, 256
+    of anything else, from 1 to 9999."""
+    step = F.when(kind.isin("文档", "PDF"), 512).otherwise(256)
+    return F.least(F.lit(9999), F.greatest(F.lit(1), F.ceil(F.coalesce(size, F.lit(0)) / step))).cast("int")
+
+
+def shown_number(c: Column, places: int = 0) -> Column:
+    """With thousands separators; null as a word."""
+    return F.coalesce(F.format_number(c, places), F.lit("null"))
+
+
+def shown_filters(filters: Column) -> Column:
+    """Filters (physical_name, operator, value, upper) as they are told beside an answer."""
+    told = F.transform(filters, lambda f: F.concat(f["physical_name"], F.lit(":"), f["operator"], F.lit(":"), f["value"], F.coalesce(F.concat(F.lit(".."), f["upper"]), F.lit(""))))
+    return F.when(F.size(filters) > 0, F.array_join(told, ",")).otherwise("none")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,15 +37,29 @@ def with_sources(rows: DataFrame, key: str, names: str, sources: DataFrame) -> D
     return asked.select(key, "source_name", state.alias("state"), F.when(F.col("n") == 1, F.col("source_id")).alias("source_id"))
 
 
-def fresh(rows: DataFrame, existing: DataFrame, order: str) -> DataFrame:
-    """Rows (order, question, external_key) to insert: those whose key no existing row has, and of equal keys the
-    first. A row's key is its external key, else its question without regard to case and spacing. Within an import a
-    row also goes if its question equals that of an earlier kept row."""
-    keyed = rows.withColumns({"_q": question_key(F.col("question")), "_e": F.nullif(stripped(F.coalesce("external_key", F.lit(""))), F.lit(""))})
-    have = existing.select(question_key(F.col("question")).alias("_q"), F.nullif(stripped(F.coalesce("external_key", F.lit(""))), F.lit("")).alias("_e"))
-    keyed = keyed.join(have.select("_q").distinct(), "_q", "left_anti")
-    keyed = keyed.join(have.where("_e IS NOT NULL").select("_e").distinct(), "_e", "left_anti")
-    return keyed
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"_q": question_key(F.col("question")), "_e": F.nullif(stripped(F.coalesce("external_key", F.lit(""))), F.lit(""))})
+
+
+def fresh(rows: DataFrame, existing: DataFrame, order: str, batch: str | None = None) -> DataFrame:
+    """Rows (order, question, external_key) to insert. A row's key is its external key or, without one, its question
+    without regard to case and spacing. It goes if an existing row, or an earlier row of its batch that stays, has that
+    key; a row that stays or exists is known by both its external key and its question.
+
+    So of equal external keys the first stays, whatever its question; of the rows without one those stay that come first
+    for their question, before any row with a key that stays. Groups are never held, only their smallest places.
+    """
+    own = [batch] if batch else []
+    keyed, have = _keyed(rows), _keyed(existing)
+    named = keyed.where("_e IS NOT NULL").join(have.where("_e IS NOT NULL").select("_e").distinct(), "_e", "left_anti")
+    first = named.groupBy(*own, "_e").agg(F.min(order).alias(order))
+    named = named.join(first, [*own, "_e", order], "left_semi").dropDuplicates([*own, "_e"])
+    plain = keyed.where("_e IS NULL").join(have.select("_q").distinct(), "_q", "left_anti")
+    first = plain.groupBy(*own, "_q").agg(F.min(order).alias("_first"))
+    taken = named.groupBy(*own, "_q").agg(F.min(order).alias("_taken"))
+    first = first.join(taken, [*own, "_q"], "left").where("_taken IS NULL OR _first < _taken").select(*own, "_q", F.col("_first").alias(order))
+    plain = plain.join(first, [*own, "_q", order], "left_semi").dropDuplicates([*own, "_q"])
+    return named.select(*rows.columns).unionByName(plain.select(*rows.columns))
 
 
 def deduplicated(rows: DataFrame, order: str) -> DataFrame:
@@ -56,16 +69,5 @@ def deduplicated(rows: DataFrame, order: str) -> DataFrame:
 
 
 def deduplicated_by_both(rows: DataFrame, batch: str, order: str) -> DataFrame:
-    """Of each import batch (2000 rows at most, so one group each), rows in order unless an earlier kept row has their
-    question or external key."""
-    schema = rows.schema
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, seen, kept = pdf.sort_values(order), set(), []
-        for question, external in zip(pdf["question"], pdf["external_key"], strict=True):
-            keys = {("q", " ".join(str(question).split()).casefold())} | ({("e", external)} if external else set())
-            kept.append(not keys & seen)
-            seen |= keys if kept[-1] else set()
-        return pdf[kept]
-
-    return rows.groupBy(batch).applyInPandas(keep, schema)
+    """The rows of each import batch that stay by the rule of `fresh`, with nothing there before."""
+    return fresh(rows, rows.limit(0), order, batch)

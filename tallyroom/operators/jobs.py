@@ -57,3 +57,50 @@ def catalog(datasets: DataFrame, publications: DataFrame) -> DataFrame:
     one = F.col("n") == 1
     out = newest.join(active, "dataset_id", "left")
     return out.select("dataset_id", "source_id", F.coalesce(F.when(one, F.col("version")), F.col("latest")).alias("version"), F.coalesce(one, F.lit(False)).alias("published"), F.when(one, F.col("row_count")).alias("row_count"))
+
+
+def upserted(rows: DataFrame, changes: DataFrame, key: str, gone: DataFrame | None = None) -> DataFrame:
+    """The next snapshot of a control table: changes replace rows of their key or are added; keys in gone are left out."""
+    kept = rows.join(changes.select(key), key, "left_anti").select(*rows.columns).unionByName(changes.select(*rows.columns))
+    return kept if gone is None else kept.join(gone.select(key), key, "left_anti").select(*rows.columns)
+
+
+def put_first(rows: DataFrame, new: DataFrame, order: str = "sort_order") -> DataFrame:
+    """rows after new ones were put before them, one after the other in the order of `order`: the last one is first, and
+    all others move down by as many as there are new ones."""
+    n, kind = new.count(), rows.schema[order].dataType
+    moved = rows.withColumn(order, (F.col(order) + n).cast(kind))
+    numbered = sequenced(new, order).withColumn(order, (F.lit(n) - F.col("sequence")).cast(kind))
+    return moved.unionByName(numbered.select(*rows.columns))
+
+
+def merged_batches(known: DataFrame, incoming: DataFrame, key: str = "batch_id", done: tuple[str, ...] = ("completed", "failed")) -> DataFrame:
+    """One row for each batch of either side (key, status, progress): the incoming one, but a known one that has ended,
+    or is further, is kept against one that has not ended."""
+    both = known.select(F.struct(*known.columns).alias("k"), F.col(key)).join(incoming.select(F.struct(*known.columns).alias("i"), F.col(key)), key, "full")
+    ended = lambda x: F.col(f"{x}.status").isin(*done)
+    keep = F.col("i").isNull() | (F.col("k").isNotNull() & ~ended("i") & (ended("k") | (F.col("k.progress") > F.col("i.progress"))))
+    return both.select(F.when(keep, F.col("k")).otherwise(F.col("i")).alias("b")).select("b.*")
+
+
+def progress(runs: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """Counters of each batch of runs (status, false_positive): completed, passed, failed and false positives."""
+    passed = F.col("status") == "passed"
+    return runs.groupBy(batch).agg(F.count("*").alias("completed_count"), F.count_if(passed).alias("passed_count"), F.count_if(~passed).alias("failed_count"), F.count_if("false_positive").alias("false_positive_count"))
+
+
+def indexed(sources: DataFrame, label: str = "indexed") -> DataFrame:
+    """The sources that may be searched."""
+    return sources.where(F.col("status") == label)
+
+
+def structured(kind: Column, name: Column, status: Column, labels: tuple[str, ...]) -> Column:
+    """Whether a source is a table: by its type, its name's ending or its status."""
+    k, n = F.lower(F.trim(kind)), F.lower(F.trim(name))
+    return k.isin("xlsx", "csv", "表格") | n.endswith(".xlsx") | n.endswith(".csv") | status.isin(*labels)
+
+
+def searched(rows: DataFrame, query: str, *columns: str) -> DataFrame:
+    """Rows whose columns, one after the other, hold the query without regard to case; all where it is blank."""
+    asked = query.strip().lower()
+    return rows.where(F.lower(F.concat_ws(" ", *columns)).contains(asked)) if asked else rows

@@ -10,8 +10,9 @@ from tallyroom.functions import values as vx
 from tallyroom.operators import cases, evaluation, gates, governed, jobs, publication, retrieval
 from tallyroom.operators.governed import Dataset, Field
 from tallyroom.plans import questions
+from tallyroom.sources import files
 from tallyroom.streaming import events
-from tallyroom.tables import staged, table
+from tallyroom.tables import new_path, staged, table
 
 ORDERS = Dataset({
     "o_orderkey": Field("integer"), "o_custkey": Field("integer", aggregate=True), "o_orderstatus": Field("string"), "o_totalprice": Field("decimal", aggregate=True),
@@ -123,6 +124,37 @@ def nl_question_refused(spark, sf):
     return questions.resolved(ASKED, asked).select("q_id", "outcome", "reason")
 
 
+def _by_status(spark, sf, ending: str) -> DataFrame:
+    """A question for each status and year of the orders, with the status as a value right before its name."""
+    years = table(spark, sf, "orders").select("o_orderstatus", F.year("o_orderdate").cast("string").alias("y")).distinct()
+    text = F.concat(F.lit("统计订单日期"), "y", F.lit("-01-01至"), "y", F.lit("-12-31，"), "o_orderstatus", F.lit("状态"), F.lit(ending))
+    return years.select(F.concat_ws("/", "o_orderstatus", "y").alias("q_id"), text.alias("question"))
+
+
+@query("SELECT o_orderstatus || '/' || year(o_orderdate) AS q_id, 'avg' AS aggregate, 'o_totalprice' AS metric, round(CAST(sum(CAST(o_totalprice AS DECIMAL(38,9))) AS DOUBLE) / count(o_totalprice), 6) AS aggregate_value, count(*) AS total_count, count(o_totalprice) AS valid_count, count(*) - count(o_totalprice) AS null_count FROM orders GROUP BY 1")
+def nl_implicit_equality(spark, sf):
+    return questions.answers(ASKED, questions.resolved(ASKED, _by_status(spark, sf, "的总价平均是多少")), table(spark, sf, "orders"))
+
+
+@query("SELECT o_orderstatus || '/' || year(o_orderdate) AS q_id, 'count' AS aggregate, 'o_orderpriority' AS metric, CAST(count(p) AS DOUBLE) AS aggregate_value, count(*) AS total_count, count(p) AS valid_count, count(*) - count(p) AS null_count FROM (SELECT *, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END p FROM orders) GROUP BY 1")
+def nl_count_field(spark, sf):
+    """The count of a field that may not be aggregated otherwise: of its values that are there."""
+    orders = table(spark, sf, "orders").withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")))
+    return questions.answers(ASKED, questions.resolved(ASKED, _by_status(spark, sf, "的优先级计数")), orders)
+
+
+@query("""WITH k AS (SELECT DISTINCT o_orderstatus || '/' || year(o_orderdate) AS q FROM orders)
+SELECT q || e AS q_id, 'unavailable' AS outcome, r AS reason FROM k, (VALUES ('/1', 'filter_not_understood'), ('/2', 'filter_not_understood'), ('/3', 'several_values')) v(e, r)""")
+def nl_leftover_refused(spark, sf):
+    """Fields and values that nothing was made of: never answered without them."""
+    endings = {"/1": "的总价平均，优先级", "/2": "=，总价平均", "/3": "，Z状态的总价平均"}
+    asked = None
+    for key, ending in endings.items():
+        one = _by_status(spark, sf, ending).withColumn("q_id", F.concat("q_id", F.lit(key)))
+        asked = one if asked is None else asked.union(one)
+    return questions.resolved(ASKED, asked).select("q_id", "outcome", "reason")
+
+
 # publication
 
 @query("""SELECT count(*) AS row_count, count(DISTINCT sha256(o_orderstatus)) AS content_versions, count(*) FILTER (WHERE o_orderkey IS NULL) AS null_o_orderkey, count(o_orderkey) AS count_o_orderkey, min(o_orderkey) AS min_o_orderkey, max(o_orderkey) AS max_o_orderkey,
@@ -200,21 +232,112 @@ def physical_names(spark, sf):
 def published_round_trip(spark, sf):
     """Publishes nation as a version, reads the active one back."""
     data = Dataset({"n_nationkey": Field("integer"), "n_name": Field("string"), "n_regionkey": Field("integer")})
-    rows = data.of(table(spark, sf, "nation"))
-    meta = {"_source_id": F.lit("nation"), "_dataset_id": F.lit("ds-nation"), "_schema_version": F.lit(1).cast("long"), "_worksheet": F.lit("nation"), "_row_number": F.col("n_nationkey") + 2}
-    from tallyroom.tables import new_path
-
-    there = publication.Publisher(spark, new_path(spark, "published")).publish("ds-nation", data, rows.withColumns(meta))
+    there = publication.Publisher(spark, new_path(spark, "published")).publish("ds-nation", data, data.of(table(spark, sf, "nation")).withColumns(_metadata("nation", "n_nationkey")))
     return there.agg(F.count("*").alias("row_count"), F.count_distinct("n_regionkey").alias("regions"))
 
 
+def _metadata(name: str, key: str) -> dict[str, Column]:
+    return {"_source_id": F.lit(name), "_dataset_id": F.lit(f"ds-{name}"), "_schema_version": F.lit(1).cast("long"), "_worksheet": F.lit(name), "_row_number": F.col(key) + 2}
+
+
+@query("SELECT o_orderstatus, count(*) AS row_count, CAST(sum(CAST(o_totalprice AS DECIMAL(38,9))) AS DECIMAL(38,9)) AS total, CAST(2 AS BIGINT) AS version FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
+def published_supersedes(spark, sf):
+    """All orders, then those that are not pending, then a version that fails: the second is read."""
+    publisher, data = publication.Publisher(spark, new_path(spark, "published")), ORDERS
+    rows = data.of(table(spark, sf, "orders")).withColumns(_metadata("orders", "o_orderkey"))
+    publisher.publish("ds-orders", data, rows)
+    publisher.publish("ds-orders", data, rows.where("o_orderstatus <> 'P'"))
+    try:
+        publisher.publish("ds-orders", data, rows.withColumn("o_orderstatus", F.when(F.col("o_orderkey") > 0, F.raise_error(F.lit("broken"))).otherwise("")))
+    except Exception as e:  # noqa: BLE001  whatever the engine makes of it
+        if "broken" not in str(e):
+            raise
+    version = publisher.active().where("dataset_id = 'ds-orders'").first()["version"]
+    there = publisher.read("ds-orders").groupBy("o_orderstatus").agg(F.count("*").alias("row_count"), F.sum("o_totalprice").cast("decimal(38,9)").alias("total"))
+    return there.withColumn("version", F.lit(version).cast("long"))
+
+
+@query("SELECT count(*) AS row_count, CAST(1 AS BIGINT) AS content_versions, sha256('orders') AS content_hash FROM orders")
+def publication_content_hash(spark, sf):
+    """Rows of one version tell its hash, whichever is asked."""
+    rows = ORDERS.of(table(spark, sf, "orders")).withColumn("_h", F.sha2(F.lit("orders"), 256))
+    return publication.validation(rows, ORDERS, "_h").select("row_count", "content_versions", "content_hash")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 5 <> 0")
+def non_blank_rows(spark, sf):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select("o_orderkey", F.when(k % 3 == 0, " \t").otherwise("x").alias("a"), F.when(k % 5 != 0, F.col("o_orderstatus")).alias("b"))
+    return publication.not_blank(rows, ["a", "b"]).select("o_orderkey")
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey || '.' || lpad(CAST(o_custkey + o_custkey % 2 AS VARCHAR), 9, '0') AS DECIMAL(38,9)) AS half, CAST(o_orderkey || '.' || lpad(CAST(o_custkey + 1 AS VARCHAR), 9, '0') AS DECIMAL(38,9)) AS above, CAST('12345678901234567890123456789' AS DECIMAL(38,9)) AS large FROM orders")
+def decimal_half_even(spark, sf):
+    """Texts with ten and twenty places, and one with 29 digits before the point."""
+    start = F.concat(F.col("o_orderkey").cast("string"), F.lit("."), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
+    number = lambda c: vx.converted(c, "decimal")
+    return table(spark, sf, "orders").select("o_orderkey", number(F.concat(start, F.lit("5"))).alias("half"), number(F.concat(start, F.lit("50000000001"))).alias("above"), number(F.lit("12345678901234567890123456789")).alias("large"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS dataset_id, unnest(['total_price', 'status', 'gone', 'status_2']) AS physical_name, unnest([CAST(0 AS INT), 1, NULL, 2]) AS place, unnest(['matched', 'matched', 'missing', 'unexpected']) AS state FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), unnest(['total_price', 'status', 'gone', 'price']), unnest([CAST(NULL AS INT), 1, 2, 0]), unnest(['missing', 'matched', 'matched', 'unexpected']) FROM orders WHERE o_orderstatus <> 'F'""")
+def header_drift(spark, sf):
+    """The header of every order as a dataset of its own, held against three confirmed columns."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("dataset_id"), "o_orderstatus")
+    heads = F.when(F.col("o_orderstatus") == "F", F.array(F.lit(" Total Price"), F.lit("Status"), F.lit("status"))).otherwise(F.array(F.lit("Price"), F.lit("STATUS"), F.lit("那个")))
+    columns = F.array(*[F.struct(F.lit(p).alias("physical_name"), F.lit(o).alias("original_name")) for p, o in (("total_price", "Total"), ("status", "Status"), ("gone", "那个"))])
+    confirmed = orders.select("dataset_id", F.explode(columns).alias("c")).select("dataset_id", "c.*")
+    return publication.drifted(orders.select("dataset_id", heads.alias("headers")), confirmed)
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS dataset_id, 'a' AS physical_name, unnest(list_filter([CASE WHEN p_partkey % 4 = 0 THEN 'no_display_name' END, CASE WHEN p_size % 3 = 0 THEN 'aggregate_of_no_number' END, CASE WHEN p_size > 40 THEN 'invalid_null_policy' END, CASE WHEN p_partkey % 5 = 0 THEN 'duplicate_alias' END], lambda x: x IS NOT NULL)) AS problem FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'b', 'missing' FROM part WHERE p_partkey % 7 = 0")
+def schema_confirmation(spark, sf):
+    i, size = F.col("p_partkey"), F.col("p_size")
+    part = table(spark, sf, "part").withColumn("dataset_id", i.cast("string"))
+    preview = part.select("dataset_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("physical_name")).withColumn("original_name", F.col("physical_name"))
+    one = part.select(
+        "dataset_id", F.lit("a").alias("physical_name"), F.when(i % 4 == 0, " ").otherwise("A").alias("display_name"), F.lit("string").alias("data_type"), F.when(i % 5 == 0, F.array(F.lit("x"), F.lit("X "))).otherwise(F.array(F.lit("x"))).alias("aliases"),
+        (size % 3 == 0).alias("allow_aggregate"), F.when(size > 40, "never").otherwise("ignore").alias("null_policy"),
+    )
+    other = part.where(i % 7 != 0).select("dataset_id", F.lit("b").alias("physical_name"), F.lit("B").alias("display_name"), F.lit("integer").alias("data_type"), F.array(F.lit("y")).alias("aliases"), F.lit(True).alias("allow_aggregate"), F.lit("zero").alias("null_policy"))
+    return publication.confirmation_problems(preview, one.unionByName(other))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN ['name', 'name_2', 'name_3', 'column_4'] ELSE ['name_2', 'name', 'name_3', 'column_4'] END AS names,
+CASE WHEN c_nationkey % 3 = 0 THEN substr(sha256('！' || c_custkey % 0), 1, 16) ELSE lower(replace(c_name, '#', '_')) END AS safe FROM customer""".replace("'！' || c_custkey % 0", "'！'"))
+def header_names(spark, sf):
+    heads = F.when(F.col("c_nationkey") % 2 == 0, F.array(F.lit("Name"), F.lit("name"), F.lit("NAME "), F.lit(None))).otherwise(F.array(F.lit("name 2"), F.lit("name"), F.lit("name"), F.lit("")))
+    safe = vx.safe_identifier(F.when(F.col("c_nationkey") % 3 == 0, "！").otherwise(F.col("c_name")))
+    return table(spark, sf, "customer").select("c_custkey", vx.unique_names(heads).alias("names"), safe.alias("safe"))
+
+
+@query("""SELECT o_orderkey, CAST(least(9999, greatest(1, ceil(o_orderkey / CASE WHEN o_orderstatus = 'F' THEN 512.0 ELSE 256.0 END))) AS INT) AS records, true AS same, o_custkey = 1 AS one,
+CASE WHEN o_orderkey % 7 = 0 THEN 'null' ELSE printf('%,d', o_custkey * 1000) END AS shown, CASE WHEN o_orderstatus = 'F' THEN 'none' ELSE 'o_orderstatus:eq:' || o_orderstatus || ',o_orderkey:between:1..9' END AS filters FROM orders""".replace("printf('%,d', o_custkey * 1000)", "format('{:,}', o_custkey * 1000)"))
+def shown_results(spark, sf):
+    """Record estimates, numbers and filters as they are shown."""
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    f = lambda n, o, v, u: F.struct(F.lit(n).alias("physical_name"), F.lit(o).alias("operator"), v.alias("value"), F.lit(u).cast("string").alias("upper"))
+    filters = F.array(f("o_orderstatus", "eq", status, None), f("o_orderkey", "between", F.lit("1"), "9"))
+    return table(spark, sf, "orders").select(
+        "o_orderkey", vx.record_estimate(k, F.when(status == "F", "PDF").otherwise("表格")).alias("records"), vx.same_number(k, F.concat(k.cast("string"), F.lit(".0"))).alias("same"), vx.same_number(F.col("o_custkey"), F.lit("1.00")).alias("one"),
+        vx.shown_number(F.when(k % 7 != 0, F.col("o_custkey") * 1000)).alias("shown"), vx.shown_filters(F.when(status == "F", F.slice(filters, 1, 0)).otherwise(filters)).alias("filters"),
+    )
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts, '%Y-%m-%d') || ' 09:05:00' WHEN 2 THEN strftime(ts - INTERVAL 1 DAY, '%Y-%m-%d') || ' 00:00:00' WHEN 3 THEN strftime(date_trunc('week', ts) + INTERVAL 2 DAY, '%Y-%m-%d') || ' 00:00:00' ELSE year(ts) || '-03-07 00:00:00' END AS shown FROM events""")
+def display_times(spark, sf):
+    e = F.col("event_id") % 5
+    told = F.when(e == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(e == 1, "9:05").when(e == 2, "昨天").when(e == 3, "周三").otherwise("3/7")
+    return table(spark, sf, "events").select("event_id", tx.display_time(told, F.col("ts")).alias("shown"))
+
+
 # text and retrieval
 
 _NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9))"
-_CHUNKS = f"""n AS (SELECT *, {_NORM} t FROM documents),
+_CHUNKS = f"""n AS (SELECT *, coalesce(nullif({_NORM}, ''), '空白文件') t FROM documents),
 w AS (SELECT doc_id, lang, source, t, unnest(range(0, greatest(1, CAST(ceil((length(t) - 120) / 480.0) AS BIGINT)))) i FROM n),
 x AS (SELECT doc_id, lang, source, i, trim(substr(t, i * 480 + 1, 600), ' ' || chr(10) || chr(9)) chunk FROM w),
-c AS (SELECT doc_id, lang, source, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS chunk_index, chunk FROM x WHERE chunk <> '' OR i = 0)"""
+c AS (SELECT doc_id, lang, source, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS chunk_index, chunk FROM x WHERE chunk <> '')"""
 
 
 @query(f"WITH {_CHUNKS} SELECT doc_id, chunk_index, length(chunk) AS n_chars, sha256(chunk) AS digest FROM c")
@@ -294,11 +417,11 @@ def hybrid_score_threshold(spark, sf):
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) e FROM embeddings),
-s AS (SELECT q.vec_id AS q_id, c.vec_id AS source_id, round(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])), 6) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 7),
+s AS (SELECT q.vec_id AS q_id, c.vec_id AS source_id, round(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])), 6) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, source_id) AS INT) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
 def vector_topk(spark, sf):
     v = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    asked = v.where("vec_id % 100 = 7").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("asked"))
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("asked"))
     scored = retrieval.in_blocks(asked, "q_id", lambda b: v.join(F.broadcast(b), F.col("q_id") != F.col("vec_id")).select("q_id", F.col("vec_id").alias("source_id"), F.round(tx.dot(F.col("asked"), F.col("embedding")), 6).alias("score")))
     place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "source_id"))
     return scored.withColumn("rank", place).where("rank <= 5")
@@ -321,6 +444,69 @@ def search_contains(spark, sf):
     return table(spark, sf, "documents").where(hay.contains("src1") | F.lower(F.coalesce("text", F.lit(""))).contains("licensed")).select("doc_id", "source", "lang")
 
 
+@query("SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'utf-8' ELSE 'utf-8-sig' END AS encoding, coalesce(text, '') = coalesce(text, '') AS same, sha256(coalesce(text, '')) AS digest FROM documents")
+def decoded_text(spark, sf):
+    """Every text as bytes, with and without a mark, read again."""
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("doc_id") % 2 == 0, raw).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), raw)).alias("content"))
+    return docs.select("doc_id", files.encoding("content").alias("encoding"), (files.decoded("content") == F.col("text")).alias("same"), F.sha2(files.decoded("content"), 256).alias("digest"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(38,9)) AS o_totalprice, 'a \"q\", ' || o_orderpriority || chr(10) || 'next' AS note, o_orderkey || ' | ' || o_orderstatus AS line FROM orders")
+def csv_round_trip(spark, sf):
+    """Orders written as CSV, with quotes and line ends in a field, and read again."""
+    path = new_path(spark, "orders-csv")
+    note = F.concat(F.lit('a "q", '), "o_orderpriority", F.lit("\nnext"))
+    table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(38,9)").cast("string").alias("o_totalprice"), note.alias("note")).write.option("header", True).option("escape", '"').csv(path)
+    rows = files.csv_cells(spark, path, ["o_orderkey", "o_orderstatus", "o_totalprice", "note"])
+    line = tx.cells_as_text(F.array("o_orderkey", F.lit(" "), "o_orderstatus"))
+    return rows.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus", vx.converted(F.col("o_totalprice"), "decimal").alias("o_totalprice"), "note", line.alias("line"))
+
+
+@query(f"""WITH {_HITS}, t AS (SELECT *, trim(regexp_replace(chunk, '\\s+', ' ', 'g')) one FROM r WHERE rank <= 5)
+SELECT q.q_id, coalesce(string_agg('[' || rank || '] ' || source_name || chr(10) || CASE WHEN length(one) <= 180 THEN one ELSE rtrim(substr(one, 1, 180)) || '...' END, chr(10) || chr(10) ORDER BY rank), '未检索到足够依据。请先在知识库中补充相关资料，或换一个更具体的问题重新检索。') AS context
+FROM (SELECT q_id FROM q UNION ALL SELECT -1) q LEFT JOIN t ON q.q_id = t.q_id GROUP BY q.q_id""")
+def answer_context(spark, sf):
+    """Numbered evidence of each question; one without any says so."""
+    asked = _asked(spark, sf).select("q_id").union(spark.range(1).select(F.lit(-1).cast("long")))
+    return retrieval.answered(retrieval.ranked(_hits(spark, sf)), asked)
+
+
+@query(f"WITH {_HITS}, t AS (SELECT * FROM r WHERE rank <= 5) SELECT q_id, count(DISTINCT source_id) < 2 OR max(score) < 6.0 AS again FROM t GROUP BY q_id")
+def next_round(spark, sf):
+    return retrieval.needs_more(retrieval.ranked(_hits(spark, sf)))
+
+
+@query(f"""WITH {_HITS}, a AS (SELECT * FROM r WHERE rank <= 5), f AS (SELECT q_id, count(*) n, list(CAST(source_id AS VARCHAR) ORDER BY rank) s FROM a GROUP BY q_id)
+SELECT q_id, 0 AS step_index, 'plan_retrieval' AS tool_name, CAST(2 AS BIGINT) AS n_found, CAST(0 AS BIGINT) AS n_kept, 0 AS n_sources FROM q
+UNION ALL SELECT q.q_id, i, 'search_knowledge', coalesce(n, 0), coalesce(n, 0), CAST(coalesce(len(list_distinct(s)), 0) AS INT) FROM q LEFT JOIN f ON q.q_id = f.q_id, (VALUES (1), (2)) v(i)""")
+def retrieval_audit(spark, sf):
+    """Steps of a plan and two rounds; the second finds nothing new."""
+    hits = staged(retrieval.ranked(_hits(spark, sf)).drop("matched_terms"), "hits")
+    return retrieval.audited(_asked(spark, sf), [hits, hits]).select("q_id", "step_index", "tool_name", "n_found", "n_kept", F.size("source_ids").alias("n_sources"))
+
+
+@query("SELECT item_id AS q_id, text || ' 相关制度 规定 流程 依据' AS question FROM benchmark")
+def broadened_questions(spark, sf):
+    """Questions without synonyms get a fixed ending."""
+    return retrieval.broadened(_asked(spark, sf))
+
+
+@query("SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, digest FROM (SELECT doc_id, 0 AS chunk_index, 'new' AS digest FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, i, 'old' || i FROM documents, (VALUES (0), (1)) v(i) WHERE doc_id % 3 <> 0)")
+def replaced_chunks(spark, sf):
+    """A store of two chunks for each document, in which every third gets one new chunk."""
+    docs = table(spark, sf, "documents").select("doc_id")
+    store = docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("chunk_index")).withColumn("digest", F.concat(F.lit("old"), "chunk_index"))
+    return retrieval.with_chunks(store, docs.where("doc_id % 3 = 0").select("doc_id", F.lit(0).alias("chunk_index"), F.lit("new").alias("digest")), "doc_id")
+
+
+@query("SELECT event_id, event_type, '**bold** text' = '' AS changed, 'bold text, see ' || event_type || '.' AS answer FROM events")
+def answers_repaired(spark, sf):
+    """Bold marks and citations taken out of answers."""
+    raw = F.concat(F.lit("- **bold** text [1], see "), "event_type", F.lit(" [12] ."))
+    return table(spark, sf, "events").select("event_id", "event_type", (tx.answer_text(raw) == raw).alias("changed"), tx.answer_text(raw).alias("answer"))
+
+
 # evaluation
 
 _CASES = """k AS (SELECT item_id AS case_id, item_id % 5 <> 0 AS expect_answer, CASE WHEN item_id % 4 = 0 THEN ' ' ELSE 'c' || item_id % 3 END AS category, ['t' || item_id % 2, ' t' || item_id % 3 || ' ', ''] AS tags, text FROM benchmark)"""
@@ -444,7 +630,7 @@ def case_facets(spark, sf):
 
 # cases
 
-@query(r"""WITH d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) k FROM documents), b AS (SELECT DISTINCT lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) k FROM benchmark) SELECT min(doc_id) AS doc_id FROM d WHERE k NOT IN (SELECT k FROM b) GROUP BY k""")
+@query(r"""WITH d AS (SELECT doc_id, replace(lower(upper(trim(regexp_replace(text, '\s+', ' ', 'g')))), 'ς', 'σ') k FROM documents), b AS (SELECT DISTINCT replace(lower(upper(trim(regexp_replace(text, '\s+', ' ', 'g')))), 'ς', 'σ') k FROM benchmark) SELECT min(doc_id) AS doc_id FROM d WHERE k NOT IN (SELECT k FROM b) GROUP BY k""")
 def import_dedup(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", F.col("text").alias("question"), F.lit(None).cast("string").alias("external_key"))
     have = table(spark, sf, "benchmark").select(F.col("text").alias("question"), F.lit(None).cast("string").alias("external_key"))
@@ -452,13 +638,32 @@ def import_dedup(spark, sf):
     return keyed.groupBy("_q").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
-@query()
+_KEY = r"replace(lower(upper(trim(regexp_replace({0}, '\\s+', ' ', 'g')))), 'ς', 'σ')"
+_FRESH = """named AS (SELECT *, row_number() OVER (PARTITION BY batch, e ORDER BY n) r FROM rows WHERE e IS NOT NULL AND e NOT IN (SELECT e FROM have WHERE e IS NOT NULL)),
+kept AS (SELECT * FROM named WHERE r = 1),
+plain AS (SELECT batch, q, min(n) AS n FROM rows WHERE e IS NULL AND q NOT IN (SELECT q FROM have) GROUP BY ALL),
+fresh AS (SELECT batch, n FROM kept UNION ALL SELECT p.batch, p.n FROM plain p WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.batch = p.batch AND k.q = p.q AND k.n < p.n))"""
+
+
+@query(f"""WITH rows AS (SELECT conv_id AS batch, turn AS n, {_KEY.format("coalesce(text, '')")} q, 'k' || length(text) % 3 e FROM conversations WHERE role = 'user'), have AS (SELECT q, e FROM rows WHERE false), {_FRESH}
+SELECT c.conv_id AS batch, c.turn, c.text AS question, 'k' || length(c.text) % 3 AS external_key FROM fresh f JOIN conversations c ON c.conv_id = f.batch AND c.turn = f.n WHERE c.role = 'user'""")
 def import_dedup_both_keys(spark, sf):
-    """Two kinds of keys, a later row against earlier kept ones: sequential, so no SQL; a test recomputes it."""
-    rows = table(spark, sf, "conversations").where("role = 'user'").select(F.col("conv_id").alias("batch"), "turn", F.col("text").alias("question"), F.concat(F.lit("k"), F.length("text") % 3).alias("external_key"))
+    """Every row has an external key: of each batch the first of each."""
+    rows = table(spark, sf, "conversations").where("role = 'user'").select(F.col("conv_id").alias("batch"), "turn", F.coalesce("text", F.lit("")).alias("question"), F.concat(F.lit("k"), F.length("text") % 3).alias("external_key"))
     return cases.deduplicated_by_both(rows, "batch", "turn")
 
 
+@query(f"""WITH rows AS (SELECT 0 AS batch, doc_id AS n, {_KEY.format("coalesce(text, '')")} q, CASE WHEN doc_id % 3 = 0 THEN 'k' || doc_id % 50 WHEN doc_id % 3 = 1 THEN '' END e0 FROM documents),
+have AS (SELECT {_KEY.format('text')} q, CASE WHEN item_id % 2 = 0 THEN 'k' || item_id END e FROM benchmark), {_FRESH.replace("FROM rows", "FROM (SELECT *, nullif(e0, '') e FROM rows)")} SELECT n AS doc_id FROM fresh""")
+def import_dedup_two_keys(spark, sf):
+    """Documents as cases, a third of them with an external key, against the benchmark as what is there."""
+    i = F.col("doc_id")
+    key = F.when(i % 3 == 0, F.concat(F.lit("k"), i % 50)).when(i % 3 == 1, "")
+    rows = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("question"), key.alias("external_key"))
+    have = table(spark, sf, "benchmark").select(F.col("text").alias("question"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("k"), "item_id")).alias("external_key"))
+    return cases.fresh(rows, have, "doc_id").select("doc_id")
+
+
 @query("""WITH s AS (SELECT c_mktsegment AS source_name, count(*) n, min(c_custkey) AS source_id FROM customer GROUP BY 1), a AS (SELECT s_suppkey AS case_id, unnest(['BUILDING', 'SUPPLIER ' || s_suppkey]) AS source_name FROM supplier)
 SELECT case_id, a.source_name, CASE WHEN n IS NULL THEN 'unknown' WHEN n > 1 THEN 'ambiguous' ELSE 'found' END AS state, CASE WHEN n = 1 THEN source_id END AS source_id FROM a LEFT JOIN s ON a.source_name = s.source_name""")
 def import_name_lookup(spark, sf):
@@ -471,8 +676,64 @@ def missing_ids(spark, sf):
     return table(spark, sf, "orders").join(table(spark, sf, "customer").where("c_nationkey < 20"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").groupBy(F.col("o_custkey").alias("missing_id")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 5 WHEN p_size BETWEEN 1 AND 10 THEN p_size END AS top_k, p_name || '|' || p_brand AS parts FROM part")
+def case_fields(spark, sf):
+    """Numbers of hits and lists between pipes as an import reads them."""
+    part, size = table(spark, sf, "part"), F.col("p_size").cast("string")
+    return part.select("p_partkey", cases.top_k(F.when(F.col("p_partkey") % 7 == 0, " ").otherwise(F.concat(size, F.lit(".0")))).alias("top_k"), F.array_join(tx.pipe_list(F.concat_ws("|", "p_name", F.lit(" "), "p_brand", "p_name")), "|").alias("parts"))
+
+
+@query("SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_nationkey = 0 THEN 'question_missing' END, CASE WHEN c_nationkey * 5 > 80 THEN 'category_too_long' END, CASE WHEN c_nationkey > 20 THEN 'tags_out_of_bounds' END, CASE WHEN c_nationkey * 10 > 120 THEN 'key_too_long' END], lambda x: x IS NOT NULL), ',') AS problems FROM customer")
+def case_problems(spark, sf):
+    n = F.col("c_nationkey")
+    rows = table(spark, sf, "customer").select("c_custkey", F.when(n > 0, F.col("c_name")).otherwise(" ").alias("question"), F.repeat(F.lit("c"), n * 5).alias("category"), F.array_repeat(F.lit("t"), n).alias("tags"), F.repeat(F.lit("k"), n * 10).alias("external_key"))
+    return rows.select("c_custkey", F.array_join(cases.problems(), ",").alias("problems"))
+
+
 # jobs and control tables
 
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'new' ELSE o_orderstatus END AS status FROM orders WHERE o_custkey % 5 <> 0 UNION ALL SELECT -o_orderkey, 'added' FROM orders WHERE o_custkey % 7 = 0")
+def control_rows(spark, sf):
+    """Rows of a control table replaced, added and taken out."""
+    orders = table(spark, sf, "orders")
+    rows = orders.select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    changes = orders.where("o_custkey % 2 = 0").select("o_orderkey", F.lit("new").alias("status")).union(orders.where("o_custkey % 7 = 0").select(-F.col("o_orderkey"), F.lit("added")))
+    return jobs.upserted(rows, changes, "o_orderkey", orders.where("o_custkey % 5 = 0").select("o_orderkey"))
+
+
+@query("WITH n AS (SELECT count(*) c FROM supplier) SELECT c_custkey AS id, c_custkey + c AS sort_order FROM customer, n UNION ALL SELECT -s_suppkey, c - row_number() OVER (ORDER BY s_suppkey) FROM supplier, n")
+def put_before(spark, sf):
+    """Suppliers put before customers, one after the other."""
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("sort_order"))
+    return jobs.put_first(rows, table(spark, sf, "supplier").select((-F.col("s_suppkey")).alias("id"), F.col("s_suppkey").alias("sort_order")))
+
+
+@query("""WITH k AS (SELECT o_orderkey AS batch_id, CASE WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'running' END AS status, o_custkey AS progress FROM orders WHERE o_orderkey % 3 <> 0), i AS (SELECT o_orderkey AS batch_id, CASE WHEN o_orderkey % 4 = 0 THEN 'failed' ELSE 'running' END AS status, CAST(500 AS BIGINT) AS progress FROM orders WHERE o_orderkey % 3 <> 1),
+b AS (SELECT coalesce(i.batch_id, k.batch_id) AS batch_id, i.batch_id IS NULL OR (k.batch_id IS NOT NULL AND i.status <> 'failed' AND (k.status = 'completed' OR k.progress > i.progress)) AS keep, k.status ks, k.progress kp, i.status s, i.progress p FROM k FULL JOIN i ON k.batch_id = i.batch_id)
+SELECT batch_id, CASE WHEN keep THEN ks ELSE s END AS status, CASE WHEN keep THEN kp ELSE p END AS progress FROM b""")
+def merged_batch_list(spark, sf):
+    orders, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    known = orders.where(k % 3 != 0).select(k.alias("batch_id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("status"), F.col("o_custkey").alias("progress"))
+    incoming = orders.where(k % 3 != 1).select(k.alias("batch_id"), F.when(k % 4 == 0, "failed").otherwise("running").alias("status"), F.lit(500).cast("long").alias("progress"))
+    return jobs.merged_batches(known, incoming)
+
+
+@query("SELECT user_id AS batch_id, count(*) AS completed_count, count(*) FILTER (WHERE event_id % 4 = 0) AS passed_count, count(*) FILTER (WHERE event_id % 4 <> 0) AS failed_count, count(*) FILTER (WHERE event_id % 6 = 1) AS false_positive_count FROM events GROUP BY user_id")
+def progress_counters(spark, sf):
+    e = F.col("event_id")
+    return jobs.progress(table(spark, sf, "events").select(F.col("user_id").alias("batch_id"), F.when(e % 4 == 0, "passed").otherwise("failed").alias("status"), (e % 6 == 1).alias("false_positive")))
+
+
+@query("SELECT doc_id, source = 'src1' OR lang = 'de' AS is_table, lang = 'en' AS is_indexed, contains(lower(source || ' ' || lang), 'src1 e') AS is_found FROM documents")
+def source_predicates(spark, sf):
+    """Sources that are tables, that may be searched, and that a search in two columns finds."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", F.col("lang").alias("status"))
+    name = F.concat("source", F.when(F.col("source") == "src1", ".XLSX ").otherwise(""))
+    ready, found = jobs.indexed(docs, "en").select("doc_id", F.lit(True).alias("is_indexed")), jobs.searched(docs, " SRC1 e ", "source", "lang").select("doc_id", F.lit(True).alias("is_found"))
+    rows = docs.select("doc_id", jobs.structured(F.lit("文档"), name, F.when(F.col("lang") == "de", "已发布").otherwise("x"), ("已发布",)).alias("is_table"))
+    return rows.join(ready, "doc_id", "left").join(found, "doc_id", "left").select("doc_id", "is_table", F.coalesce("is_indexed", F.lit(False)).alias("is_indexed"), F.coalesce("is_found", F.lit(False)).alias("is_found"))
+
+
 _JOBS = """j AS (SELECT user_id AS job_id, max_by({'s': CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'failed' ELSE 'done' END, 't': ts}, event_id) x, count(*) AS n_entries FROM events GROUP BY user_id),
 jobs AS (SELECT job_id, x.s AS status, x.t AS at, x.t + INTERVAL 1 HOUR AS retry_at, x.t + INTERVAL 2 HOUR AS lease_until, n_entries FROM j)"""
 
@@ -501,8 +762,6 @@ def job_claim_next(spark, sf):
 @query(f"WITH {_JOBS} SELECT job_id, status, n_entries FROM jobs")
 def job_state_stream(spark, sf):
     """The same fold by Structured Streaming, one micro-batch for each input file."""
-    from tallyroom.tables import new_path
-
     path = new_path(spark, "job-log")
     _log(spark, sf).repartition(3, "event_id").write.parquet(path)
     log = spark.read.parquet(path)

@@ -12,27 +12,23 @@ from tallyroom.tables import new_path, shared_dir
 def folded(spark: SparkSession, source: str, schema, key: str, *order: str, root: str | None = None) -> DataFrame:
     """Reads the Parquet files under source as a stream, all that is there, and folds them into the state of each key.
 
-    Every micro-batch joins what it brings with the last snapshot and writes the next one under the number of the batch,
-    so a batch that is run again replaces its own snapshot; Structured Streaming's checkpoint holds what was read.
+    The state is a stateful aggregate in the engine's own store, so a restart goes on where the checkpoint ends, also
+    when there is nothing new. Each micro-batch writes the whole state under its number; a batch that is run again
+    replaces its own.
     """
     root = root or f"{shared_dir(spark)}/{new_path(spark, 'stream').rpartition('/')[2]}"
-
-    def step(batch: DataFrame, number: int) -> None:
-        new = current(batch, key, *order).withColumn("n_entries", F.col("n_entries").cast("long"))
-        if number > 0:
-            old = spark.read.parquet(f"{root}/state/{number - 1}")
-            both = new.unionByName(old)
-            rest = [c for c in both.columns if c not in (key, "n_entries")]
-            new = both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("s"), F.sum("n_entries").alias("n_entries")).select(key, "s.*", "n_entries")
-        new.write.mode("overwrite").parquet(f"{root}/state/{number}")
-
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    state = current(stream, key, *order)
+    step = lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/state/batch={number}")
+    query = state.writeStream.outputMode("complete").foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = max((p["batchId"] for p in query.recentProgress), default=0)
-    return spark.read.parquet(f"{root}/state/{last}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/state")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    # folders by the number of their batch, of which the last has all
+    numbers = [int(f.getPath().getName().partition("=")[2]) for f in fs.listStatus(path)] if fs.exists(path) else []
+    return spark.read.schema(state.schema).parquet(f"{root}/state/batch={max(numbers)}") if numbers else spark.createDataFrame([], state.schema)
 
 
 def assembled(deltas: DataFrame, key: str, place: str, text: str) -> DataFrame:
-    """The text of each message from its parts in order, up to the part that ends it."""
+    """The text of each message from its parts in order."""
     return deltas.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, text))), lambda x: x[text]), "").alias("message"))

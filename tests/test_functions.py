@@ -30,7 +30,7 @@ def test_types(spark):
 
 
 def test_conversion(spark):
-    decimals = ["1", "0.0000000005", "0.0000000015", "-2.5", "x", "12345678901234567890.123456789"]
+    decimals = ["1", "0.0000000005", "0.0000000015", "-2.5", "x", "12345678901234567890.123456789", "12345678901234567890123456789.0000000005", "0.00000000050000000000000000001", "-0.0000000025", "1.5e3", "25e-10", ".5", "7.", "123e-12", "-1E2"]
     with localcontext() as context:
         context.prec = 38
         expected = [None if d == "x" else Decimal(d).quantize(Decimal("1e-9"), ROUND_HALF_EVEN) for d in decimals]
@@ -115,9 +115,10 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.xlsx").write_bytes(workbook())
     (tmp_path / "b.docx").write_bytes(document())
     (tmp_path / "c.txt").write_bytes("你好 世界".encode("gb18030"))
+    (tmp_path / "e.csv").write_bytes('a, b ,\n"x ""y""",,2\n'.encode())
     (tmp_path / "d.md").write_bytes(b"\xef\xbb\xbf# hi")
     got = {r.path.rpartition("/")[2]: r.text for r in files.documents(spark, f"file://{tmp_path}").collect()}
-    assert got == {"a.xlsx": "[明细]\n金额 | 地区\n2 | true", "b.docx": "First\na | b", "c.txt": "你好 世界", "d.md": "# hi"}
+    assert got == {"a.xlsx": "[明细]\n金额 | 地区\n2 | true", "b.docx": "First\na | b", "c.txt": "你好 世界", "d.md": "# hi", "e.csv": 'a | b\nx "y" | 2'}
     cells = files.xlsx_cells(files.binary(spark, f"file://{tmp_path}", "*.xlsx")).orderBy("row_number").collect()
     assert [(r.row_number, r.cells, r.formulas[0]) for r in cells] == [(1, ["金额", "地区"], None), (3, ["2", None, "true"], "=1+1")]
 
