@@ -1,8 +1,10 @@
 """Quality: gated attention over the passages of a document (multiple-instance learning from document labels).
 
-A passage is PASSAGE_WORDS words in a row. Its features (letters, digits and signs, word lengths, repetition, and how
-the whole document repeats itself) pass through an encoder; a gated attention, softmax of w (tanh(V e) * sigmoid(U e)),
-weighs the passages of a document; the weighted representation is scored. Everything is learnt from document labels.
+A passage is PASSAGE_WORDS words in a row. It is read as the words in it, hashed into BUCKETS, whose vectors are learnt
+and summed by the encoder's first layer, and as figures of its surface (letters, digits and signs, word lengths,
+repetition, and how the whole document repeats itself). A gated attention, softmax of w (tanh(V e) * sigmoid(U e)),
+weighs the encoded passages of a document; the weighted representation is scored. Everything is learnt from document
+labels.
 """
 
 from __future__ import annotations
@@ -18,25 +20,58 @@ from tallyroom.llm._text import chunks, freeing, prefix_sums, span_hashes, words
 from tallyroom.llm.toxicity import held_out, training_rows
 from tallyroom.tables import staged
 
-PASSAGE_WORDS, TRAIN_DOCS, TRAIN_PASSAGES, HIDDEN, GATE, THRESHOLD = 64, 5000, 24, 16, 12, 0.3
+PASSAGE_WORDS, TRAIN_DOCS, BUCKETS, HIDDEN, GATE, THRESHOLD = 64, 5000, 256, 16, 12, 0.3
+#: Weight of the words beside the surface.
+WORDS_SHARE = 0.25
 _CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r", "\n", ".", ",", "!", "?", "|", "#$%&*@^~", "<>/\\={}[]_+", "'\"-:;()"]
 _CLASS = np.full(256, len(_CLASSES), np.int64)
 for _i, _members in enumerate(_CLASSES):
     _CLASS[list(_members.encode())] = _i
 _KINDS = len(_CLASSES) + 1
-FEATURES = _KINDS + 9
-
-
-def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages, and for each text the number of its first one. A text without words has one of zeros."""
+SURFACE = _KINDS + 9
+FEATURES = SURFACE + BUCKETS
+
+
+@dataclass(frozen=True)
+class Passages:
+    """Passages as figures of their surface and the buckets of their words; indexing makes their features."""
+
+    surface: np.ndarray
+    words: np.ndarray  # buckets, passage after passage
+    first: np.ndarray  # number of each passage's first word, and of all words
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.surface), FEATURES
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        n = (self.first[1:] - self.first[:-1])[rows]
+        place = np.arange(n.sum()) + np.repeat(self.first[:-1][rows] - np.cumsum(n) + n, n)
+        own = np.repeat(np.arange(len(rows)), n)
+        bags = np.bincount(own * BUCKETS + self.words[place], minlength=len(rows) * BUCKETS).reshape(-1, BUCKETS)
+        return np.hstack([self.surface[rows], np.sqrt(bags / np.maximum(n, 1)[:, None])])
+
+    def spread(self, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and deviation of every feature."""
+        total, square, n = np.zeros(FEATURES), np.zeros(FEATURES), len(self.surface)
+        for i in range(0, n, block):
+            x = self[np.arange(i, min(i + block, n))]
+            total += x.sum(axis=0)
+            square += (x * x).sum(axis=0)
+        mean = total / max(n, 1)
+        return mean, np.sqrt(np.maximum(square / max(n, 1) - mean**2, 0))
+
+
+def read(data: np.ndarray, offsets: np.ndarray) -> tuple[Passages, np.ndarray]:
+    """All passages, and for each text the number of its first one. A text without words has one of zeros."""
     starts, ends, first = words(data, offsets)
     n_words = np.diff(first)
     n_of = np.maximum(1, -(-n_words // PASSAGE_WORDS))
     at = np.concatenate([[0], np.cumsum(n_of)])
     n = int(at[-1])
-    out = np.zeros((n, FEATURES))
+    out = np.zeros((n, SURFACE))
     if not len(starts):
-        return out, at
+        return Passages(out, np.zeros(0, np.uint8), np.zeros(n + 1, np.int64)), at
     doc = np.repeat(np.arange(len(n_words)), n_words)
     place = np.arange(len(starts)) - first[doc]
     of = at[doc] + place // PASSAGE_WORDS
@@ -69,7 +104,13 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         np.log1p(average), np.sqrt(mean(np.minimum(length, 99.0) ** 2)) / 10, mean(upper), mean(shout), mean(tail), mean(repeat),
         different / count, np.log1p(n_words[whole]) / 10, np.minimum(kinds.sum(axis=1), 4000) / 1000,
     ], axis=1)
-    return out, at
+    return Passages(out, (h >> np.uint64(24)).astype(np.uint8), np.cumsum(np.concatenate([[0], np.bincount(of, minlength=n)]))), at
+
+
+def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all passages, and for each text the number of its first one."""
+    held, at = read(data, offsets)
+    return held[np.arange(len(held.surface))], at
 
 
 @dataclass
@@ -108,12 +149,13 @@ class Attention:
         return {"W": ((x - self.mean) / self.scale).T @ dx, "b": dx.sum(axis=0), "V": e.T @ dt, "U": e.T @ dg, "w": (t * g).T @ ds, "c": z.T @ out, "d": out.sum()}
 
 
-def fitted(x: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 25, batch: int = 128, rate: float = 0.01, decay: float = 1e-4) -> Attention:
+def fitted(x: np.ndarray | Passages, at: np.ndarray, y: np.ndarray, epochs: int = 25, batch: int = 128, rate: float = 0.01, decay: float = 1e-4) -> Attention:
     """Adam over batches of documents in a fixed random order."""
     random = np.random.default_rng(7)
     draw = lambda *n: random.normal(0, 1 / np.sqrt(n[0]), n)
     p = {"W": draw(x.shape[1], HIDDEN), "b": np.zeros(HIDDEN), "V": draw(HIDDEN, GATE), "U": draw(HIDDEN, GATE), "w": draw(GATE), "c": draw(HIDDEN), "d": np.float64(0)}
-    net = Attention(x.mean(axis=0), x.std(axis=0) + 1e-3, p)
+    mean, deviation = x.spread() if isinstance(x, Passages) else (x.mean(axis=0), x.std(axis=0))
+    net = Attention(mean, (deviation + 1e-3) / np.where(np.arange(FEATURES) < SURFACE, 1, WORDS_SHARE), p)
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     sizes, step = np.diff(at), 0
     for epoch in range(epochs):
@@ -132,29 +174,36 @@ def fitted(x: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 25, batch
 
 
 def trained(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Attention | float:
-    """Fitted on at most `most` labelled documents and, of each, at most TRAIN_PASSAGES passages evenly spaced; these
-    bounds hold for the fit alone. Where the sample holds one class only, that class as a constant score."""
+    """Fitted on all passages of at most `most` labelled documents; this bound holds for the fit alone. Of a passage its
+    surface and a byte for each word come to the driver. Where the sample holds one class only, that class as a constant
+    score."""
     sample = staged(training_rows(docs, labels, "quality", 5, 0, most), "quality-sample")
 
     def rows(batches):
         for batch in batches:
             for y, data, offsets in chunks(batch.column(0), batch.column(1)):
-                x, at = passages(data, offsets)
-                some = [x[np.unique(np.linspace(a, b - 1, TRAIN_PASSAGES).astype(int))] for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_pydict({"y": pa.array(y, pa.int32()), "n": pa.array([len(s) for s in some], pa.int32()), "x": pa.array([s.ravel() for s in some], pa.list_(pa.float64()))})
-
-    got = sample.select("y", "text").mapInArrow(freeing(rows), "y int, n int, x array<double>").toPandas()
+                held, at = read(data, offsets)
+                spans = list(zip(at[:-1], at[1:], strict=True))
+                columns = {
+                    "n": pa.array(np.diff(at), pa.int32()), "surface": pa.array([held.surface[a:b].astype(np.float32).tobytes() for a, b in spans], pa.binary()),
+                    "sizes": pa.array([np.diff(held.first[a : b + 1]).astype(np.uint8).tobytes() for a, b in spans], pa.binary()), "words": pa.array([held.words[held.first[a] : held.first[b]].tobytes() for a, b in spans], pa.binary()),
+                }
+                yield pa.RecordBatch.from_pydict({"y": pa.array(y, pa.int32()), **columns})
+
+    got = sample.select("y", "text").mapInArrow(freeing(rows), "y int, n int, surface binary, sizes binary, words binary").toPandas()
     y = got["y"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return float(len(y) > 0 and y[0] > 0)
-    return fitted(np.concatenate(got["x"].to_list()).reshape(-1, FEATURES), np.concatenate([[0], np.cumsum(got["n"])]), np.minimum(y, 1))
+    surface, sizes, words_ = (np.frombuffer(b"".join(got[c]), kind) for c, kind in (("surface", np.float32), ("sizes", np.uint8), ("words", np.uint8)))
+    held = Passages(surface.reshape(-1, SURFACE), words_, np.cumsum(np.concatenate([[0], sizes.astype(np.int64)])))
+    return fitted(held, np.concatenate([[0], np.cumsum(got["n"])]), np.minimum(y, 1))
 
 
 def scored(docs: DataFrame, net: Attention | float) -> DataFrame:
     """doc_id, held_out, score and predicted of every row.
 
-    Every passage of the whole text takes part. A null or empty text has one passage of zeros; repeated rows are scored
-    alike; a null doc_id is not held out; other columns are ignored.
+    Every passage of the whole text takes part, however long. A null or empty text has one passage of zeros; repeated
+    rows are scored alike; a null doc_id is not held out; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches):

@@ -1,11 +1,12 @@
 """Toxicity: a support vector machine on a gapped subsequence string kernel with Nystroem landmarks.
 
 A word is the bag of its ordered letter triples, each weighed by DECAY for every letter that it skips, so that an
-insult with inserted or missing characters stays close to the plain one. Characters that are no letters skip without
-matching; digits and signs that stand for letters are read as them; single characters one after the other are read as
-one word. Words that tell the classes of the training texts apart best are the landmarks. A text is the largest
-normalised kernel of any of its words with each landmark; the inverse root of the landmarks' kernel matrix turns these
-into Nystroem features for a linear machine, whose margin a sigmoid makes a probability.
+insult with inserted or missing characters stays close to the plain one. Signs between letters are skipped at no cost;
+digits and signs that stand for letters are read as them; single characters one after the other are read as one word.
+Letters of other scripts are told apart by a hash of their bytes. Words that tell the classes of the training texts
+apart best, and are not alike, are the landmarks. A text is the largest normalised kernel of any of its words with each
+landmark; the inverse root of the landmarks' kernel matrix turns these into Nystroem features for a linear machine,
+whose margin a sigmoid makes a probability.
 """
 
 from __future__ import annotations
@@ -20,16 +21,30 @@ from pyspark.sql import functions as F
 from tallyroom.llm._text import chunks, freeing, prefix_sums, quoted, span_hashes, words
 from tallyroom.tables import staged
 
-LANDMARKS, TRAIN_DOCS, DECAY, FLOOR, THRESHOLD = 32, 6000, 0.5, 0.35, 0.3
+LANDMARKS, TRAIN_DOCS, DECAY, FLOOR, THRESHOLD = 40, 6000, 0.5, 0.35, 0.3
+#: Words that landmarks are chosen from, for each of them, and the kernel of two landmarks at most.
+CANDIDATES, ALIKE = 20, 0.5
 _SKIPS = [(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a + b <= 4]
-_LETTERS = 28
-#: 1-26: letters in either case and what stands for them; 27: a byte of any other letter; 0: skipped.
+_LETTERS = 64
+#: 1-26: letters in either case and what stands for them; 0: skipped. Other letters have the codes from 27.
 _CODE = np.zeros(256, np.int32)
 for _c in range(26):
     _CODE[[65 + _c, 97 + _c]] = _c + 1
 for _sign, _letter in zip("013457$@", "oieastsa", strict=True):
     _CODE[ord(_sign)] = ord(_letter) - 96
-_CODE[128:] = 27
+
+
+def codes_of(data: np.ndarray) -> np.ndarray:
+    """The code of the letter that begins at each byte, 0 where none does."""
+    out = _CODE[data]
+    at = np.flatnonzero(data >= 0xC0)
+    if len(at):
+        h = data[at].astype(np.int64) * 131
+        for i, by in ((1, 31), (2, 7), (3, 3)):
+            more = data[np.minimum(at + i, len(data) - 1)]
+            h += np.where((more >= 0x80) & (more < 0xC0) & (data[at] >= (0, 0xC0, 0xE0, 0xF0)[i]), more.astype(np.int64) * by, 0)
+        out[at] = 27 + h % (_LETTERS - 27)
+    return out
 
 
 def _triples(codes: np.ndarray, owner: np.ndarray):
@@ -55,7 +70,8 @@ class Kernel:
     def of(cls, landmarks: list[str]) -> Kernel:
         table = np.zeros((_LETTERS**3, len(landmarks)), np.float32)
         for i, word in enumerate(landmarks):
-            codes = _CODE[np.frombuffer(word.encode(), np.uint8)]
+            codes = codes_of(np.frombuffer(word.encode(), np.uint8))
+            codes = codes[codes > 0]
             for _, triple, weight in _triples(codes, np.zeros(len(codes), np.int32)):
                 np.add.at(table[:, i], triple, weight)
         table /= np.maximum(np.linalg.norm(table, axis=0), 1e-9)
@@ -107,7 +123,9 @@ class Kernel:
         length = ends[one] - starts[one]
         stop = np.cumsum(length)
         at = np.arange(stop[-1]) + np.repeat(starts[one] - stop + length, length)
-        near, kernels = self.of_words(_CODE[data[at]], np.repeat(np.arange(len(one), dtype=np.int32), length), len(one))
+        codes, owner = codes_of(data)[at], np.repeat(np.arange(len(one), dtype=np.int32), length)
+        letter = codes > 0
+        near, kernels = self.of_words(codes[letter], owner[letter], len(one))
         place = np.full(len(one), -1)
         place[near] = np.arange(len(near))
         found = place[which]
@@ -159,6 +177,17 @@ def _sigmoid(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float
     return float(w[0]), float(w[1])
 
 
+def unlike(candidates: list[str], most: int) -> list[str]:
+    """The first `most` of the candidates whose kernel with each one taken before is less than ALIKE."""
+    raw = [w.encode() for w in candidates]
+    kernels = Kernel.of(candidates).of_texts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    out: list[int] = []
+    for i in range(len(candidates)):
+        if len(out) < most and not (kernels[i, out] >= ALIKE).any():
+            out.append(i)
+    return [candidates[i] for i in out]
+
+
 def fitted(kernel: Kernel, landmarks: list[str], x: np.ndarray, y: np.ndarray) -> Machine:
     among = np.zeros((len(landmarks), len(landmarks)))
     for i, word in enumerate(landmarks):
@@ -188,7 +217,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
 def trained(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, landmarks: int = LANDMARKS) -> Machine | float:
     """A machine, or where the sample holds only one class that class as a constant score.
 
-    The only things that come to the driver are the landmarks and `most` rows of kernels.
+    The only things that come to the driver are the candidates for landmarks and `most` rows of kernels.
     """
     sample = staged(training_rows(docs, labels, "toxic", 4, 2, most), "toxicity-sample")
     # each different text once, lest the words of a copied text look telling
@@ -200,7 +229,7 @@ def trained(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, landmark
     seen = texts.select(F.explode(split).alias("word"), "y").where("length(word) BETWEEN 3 AND 24").groupBy("word").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
     a, n, up, every = F.col("a"), F.col("n"), F.lit(float(found.up)), F.lit(float(found.n))
     lift = (a * every - n * up) * F.abs(a * every - n * up) / (n * up * (every - n + 1) * (every - up + 1))  # chi square with its sign
-    chosen = [r.word for r in seen.orderBy(F.desc(lift), "word").limit(landmarks).collect()]
+    chosen = unlike([r.word for r in seen.orderBy(F.desc(lift), "word").limit(CANDIDATES * landmarks).collect()], landmarks)
     kernel = Kernel.of(chosen)
 
     def rows(batches):

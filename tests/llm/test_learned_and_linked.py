@@ -58,7 +58,7 @@ def test_kernel_by_brute_force():
 
     def features(word):
         out = {}
-        c = toxicity._CODE[np.frombuffer(word.encode(), np.uint8)]
+        c = [x for x in toxicity.codes_of(np.frombuffer(word.encode(), np.uint8)) if x]
         for i in range(len(c)):
             for a, b in toxicity._SKIPS:
                 if i + a + b < len(c) and c[i] and c[i + a] and c[i + a + b]:
@@ -66,7 +66,7 @@ def test_kernel_by_brute_force():
                     out[k] = out.get(k, 0) + 0.5 ** (a + b - 2)
         return out
 
-    for word in ("idiot", "i.d.i.o.t", "idxiot", "clown", "other"):
+    for word in ("idiot", "i.d.i.o.t", "i--d--i--o--t", "1...d!!i0t", "idxiot", "clown", "other", "naïve", "дурак"):
         w = features(word)
         norm = sum(x * x for x in w.values()) ** 0.5  # no triple occurs twice in these
         expected = []
@@ -78,6 +78,15 @@ def test_kernel_by_brute_force():
         assert np.allclose(kernel.of_texts(raw, np.array([0, len(raw)]))[0], expected, atol=1e-5)
 
 
+def test_other_scripts_and_signs():
+    kernel = toxicity.Kernel.of(["idiot", "дурак", "馬鹿野郎"])
+    words = ["i--d--i--o--t", "дурак", "д.у.р.а.к", "привет", "馬鹿野郎", "日本語文"]
+    raw = [w.encode() for w in words]
+    got = kernel.of_texts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert np.allclose([got[0, 0], got[1, 1], got[2, 1], got[4, 2]], 1) and not got[3].any() and not got[5].any()
+    assert toxicity.unlike(["idiot", "idiots", "clown", "idiotic", "trash"], 3) == ["idiot", "clown", "trash"]
+
+
 @pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (quality, "quality")])
 def test_one_class_and_no_rows(spark, module, label):
     docs = spark.createDataFrame([(i, "some words here") for i in range(40)], "doc_id long, text string")
@@ -106,6 +115,42 @@ def test_quality(spark):
     assert all(0 <= x.score <= 1 for x in got)
 
 
+def test_attention_by_brute_force():
+    """Passages of two texts, encoded, weighed and scored without arrays."""
+    from math import exp, sqrt, tanh
+
+    texts = ["thon er ing " * 50, "Re### st ou 12 thon", ""]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    held, at = quality.read(data, offsets)
+    x, at2 = quality.passages(data, offsets)
+    assert at.tolist() == at2.tolist() == [0, 3, 4, 5]
+    for i, (doc, k) in enumerate([(0, 0), (0, 1), (0, 2), (1, 0)]):
+        words = texts[doc].split()[k * quality.PASSAGE_WORDS : (k + 1) * quality.PASSAGE_WORDS]
+        alone, _ = quality.read(np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(" ".join(words))]))
+        counts = [0] * quality.BUCKETS
+        for b in alone.words.tolist():
+            counts[b] += 1
+        assert np.allclose(x[i, quality.SURFACE :], [sqrt(c / len(words)) for c in counts])
+    assert not x[4, quality.SURFACE :].any() and np.allclose(held.spread()[0], x.mean(axis=0)) and np.allclose(held.spread()[1], x.std(axis=0))
+    net = quality.fitted(held, at, np.array([1.0, 0.0, 1.0]), epochs=3)
+    p = {k: v.tolist() for k, v in net.p.items()}
+    dot = lambda a, b: sum(u * v for u, v in zip(a, b, strict=True))
+    columns = lambda m: list(zip(*m, strict=True))
+    expected = []
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        encoded, weights = [], []
+        for row in x[a:b].tolist():
+            z = [(v - m) / s for v, m, s in zip(row, net.mean.tolist(), net.scale.tolist(), strict=True)]
+            e = [tanh(dot(z, w) + c) for w, c in zip(columns(p["W"]), p["b"], strict=True)]
+            gate = [tanh(dot(e, v)) / (1 + exp(-dot(e, u))) for v, u in zip(columns(p["V"]), columns(p["U"]), strict=True)]
+            encoded.append(e)
+            weights.append(exp(dot(gate, p["w"])))
+        whole = [dot(weights, c) / sum(weights) for c in columns(encoded)]
+        expected.append(1 / (1 + exp(-dot(whole, p["c"]) - p["d"])))
+    assert np.allclose(net.scores(x, at), expected)
+
+
 def test_attention_gradient():
     r = np.random.default_rng(1)
     x, at, y = r.normal(size=(9, quality.FEATURES)), np.array([0, 2, 3, 9]), np.array([1.0, 0.0, 1.0])
