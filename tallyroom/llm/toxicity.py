@@ -68,17 +68,19 @@ class Kernel:
 
     @classmethod
     def of(cls, landmarks: list[str]) -> Kernel:
-        table = np.zeros((_LETTERS**3, len(landmarks)), np.float32)
+        found: list[tuple[np.ndarray, np.ndarray, float]] = []
         for i, word in enumerate(landmarks):
             codes = codes_of(np.frombuffer(word.encode(), np.uint8))
             codes = codes[codes > 0]
-            for _, triple, weight in _triples(codes, np.zeros(len(codes), np.int32)):
-                np.add.at(table[:, i], triple, weight)
-        table /= np.maximum(np.linalg.norm(table, axis=0), 1e-9)
-        used = np.flatnonzero(table.any(axis=1))
-        row = np.zeros(len(table), np.int32)
+            found += [(np.full(len(triple), i), triple, weight) for _, triple, weight in _triples(codes, np.zeros(len(codes), np.int32))]
+        used = np.unique(np.concatenate([np.zeros(0, np.int32), *(triple for _, triple, _ in found)]))
+        row = np.zeros(_LETTERS**3, np.int32)
         row[used] = np.arange(1, len(used) + 1)
-        return cls(np.vstack([np.zeros((1, len(landmarks)), np.float32), table[used]]), row)
+        table = np.zeros((len(used) + 1, len(landmarks)), np.float32)
+        for i, triple, weight in found:
+            np.add.at(table, (row[triple], i), weight)
+        table /= np.maximum(np.linalg.norm(table, axis=0), 1e-9)
+        return cls(table, row)
 
     def of_words(self, codes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words that come near any landmark and their normalised kernels with all of them.

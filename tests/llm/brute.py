@@ -6,6 +6,8 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from tallyroom.llm.decontaminate import _SAME_UNIT, SHARE, UNITS, WINDOW
 
 
@@ -133,3 +135,70 @@ def leaks(docs, items):
 
 def sha(data):
     return hashlib.sha256(data.encode() if isinstance(data, str) else data).hexdigest()
+
+
+def toxic(text, machine):
+    """Score of a text by a fitted machine: every word's triples one by one."""
+    from math import exp
+
+    from tallyroom.llm import toxicity as tox
+
+    words = []
+    for m in re.finditer(r"[^\x20\x09-\x0D]+", text or ""):
+        w = m[0].encode()
+        if words and len(w) == 1 and words[-1][1] == 1:
+            words[-1] = (words[-1][0] + w, 1)
+        else:
+            words.append((w, len(w)))
+    n = machine.kernel.weights.shape[1]
+    best = [0.0] * n
+    for w in {w for w, _ in words}:
+        c = [int(x) for x in tox.codes_of(np.frombuffer(w, np.uint8)) if x]
+        norm, hits = 0.0, []
+        for a, b in tox._SKIPS:
+            for i in range(len(c) - a - b):
+                weight = tox.DECAY ** (a + b - 2)
+                norm += weight**2
+                row = machine.kernel.row[(c[i] * tox._LETTERS + c[i + a]) * tox._LETTERS + c[i + a + b]]
+                if row:
+                    hits.append((row, weight))
+        for j in range(n) if hits else ():
+            k = min(1.0, sum(machine.kernel.weights[r, j] * v for r, v in hits) / norm**0.5)
+            if k >= tox.FLOOR:
+                best[j] = max(best[j], k)
+    out = [sum(k * v for k, v in zip(best, column, strict=True)) for column in machine.root.T.tolist()]
+    margin = sum(x * w for x, w in zip(out, machine.weights.tolist(), strict=True)) + machine.bias
+    return 1 / (1 + exp(-max(-30, min(30, machine.slope * margin + machine.shift))))
+
+
+def secret_spans(text):
+    """(start, k, stop) of base and linked spans: every pair of parts is looked at."""
+    from tallyroom.llm import secrets as sec
+
+    def every(pattern, kind, group=0, least=0, also=None):
+        return [(m.start(), sec.KINDS.index(kind), m.end()) for m in re.finditer(pattern, text, re.ASCII) if len(m[group]) >= least and (also is None or re.search(also, m[group]))]
+
+    overlaps = lambda a, b: a[0] < b[2] and b[0] < a[2]
+    near = lambda a, b: a[0] <= b[2] + sec.SCOPE and b[0] <= a[2] + sec.SCOPE
+    assign, access, hexes = every(sec.ASSIGN, "assign", 2, 6), every(sec.ACCESS, "access"), every(sec.HEX, "hex")
+    base = assign + access + hexes
+    blob = [w for w in every(sec.BLOB, "blob", also="[0-9].*[A-Za-z]|[A-Za-z].*[0-9]") if not any(overlaps(w, b) for b in base)]
+    account = [w for w in every(sec.ACCOUNT, "account", 2, 3) if not any(overlaps(w, b) for b in base)]
+    endpoint = every(sec.ENDPOINT, "endpoint")
+    secret = assign + hexes + blob
+    linked = [w for w in account + endpoint if any(near(w, s) for s in secret)] + [w for w in blob if any(near(w, s) for s in access + account + endpoint)]
+    return sorted(base + linked)
+
+
+def redacted(text, mark="[SECRET]"):
+    out, at, last = "", 0, None
+    for a, _, b in secret_spans(text or ""):
+        if last is None or a > last:
+            out += text[at:a] + mark
+        at = last = max(b, last or 0)
+    return text if last is None else out + text[at:]
+
+
+def encoded(text, library):
+    ids = library.encode(text or "", add_special_tokens=False).ids
+    return len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))

@@ -335,6 +335,25 @@ def test_components(spark):
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {x[0] for x in got if x[3]}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_links_near_the_threshold_are_found(spark, seed):
+    """Recall against brute force on pairs around a similarity of 0.8, of 20 to 1500 words: none is lost."""
+    r = random.Random(seed)
+    words = lambda n: ["w%d" % r.randrange(10**6) for _ in range(n)]
+    rows, linked = [], 0
+    for n in (20, 60, 200, 600, 1500):
+        for _ in range(40):
+            base, share = words(n), words(30)
+            other = list(base)
+            for _ in range(max(1, round(n * r.uniform(0.02, 0.045)))):
+                other[r.randrange(n)] = words(1)[0]
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other)), (len(rows) + 2, " ".join(share + words(n)))]
+    expected = brute.components(rows)
+    got = {x.doc_id: x.component_id for x in neardup.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    linked = sum(d != c for d, c in expected.items())
+    assert got == expected and 40 < linked < 190
+
+
 def test_no_rows_and_no_links(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.linked(none).count() == 0
