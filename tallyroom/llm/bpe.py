@@ -24,8 +24,8 @@ from tallyroom.llm._text import freeing
 
 _NEVER = 1 << 40
 _FINAL = 0x1000
-#: Pieces whose tokens a task remembers in each of two generations (about 20 MB each), and pairs of tokens (about 10 MB).
-CACHE_PIECES, CACHE_PAIRS = 120_000, 100_000
+#: Pieces whose tokens a task remembers in each of two generations (about 20 MB each), and pairs of tokens (about 20 MB).
+CACHE_PIECES, CACHE_PAIRS = 120_000, 200_000
 #: Pieces of a text that are put together at once.
 SLICE = 20_000
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
@@ -115,8 +115,12 @@ class WordBpe:
             reachable.append(reachable[a] and reachable[b] and self._apart(a, b, t))
         units = {t: name[: -len(end) - 1] + chr(ord(name[-len(end) - 1]) + _FINAL) if name.endswith(end) and name != end else name for name, t in vocab.items()}
         ids = {s: t for t, s in units.items() if reachable[t]}
-        self._length = {t: len(s) for s, t in ids.items()}
-        self._shorter = {t: next((ids[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in ids), -1) for s, t in ids.items()}
+        self._length = [0] * (max(vocab.values()) + 1)
+        for s, t in ids.items():
+            self._length[t] = len(s)
+        self._shorter = [-1] * len(self._length)
+        for s, t in ids.items():
+            self._shorter[t] = next((ids[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in ids), -1)
         self._automaton = ahocorasick.Automaton()
         for s, t in ids.items():
             self._automaton.add_word(s, t)
@@ -140,41 +144,51 @@ class WordBpe:
             else:
                 limit, b = b + 1, right
 
-    def _compatible(self, a: int, b: int) -> bool:
-        """The entry of the pair table, filled as pairs turn up."""
-        pair = a << 20 | b
-        if (good := self._fits.get(pair)) is None:
-            if len(self._fits) >= CACHE_PAIRS:
-                self._fits.clear()
-            good = self._fits[pair] = self._apart(a, b, _NEVER)
+    def _judged(self, a: int, b: int) -> bool:
+        """A new entry of the pair table."""
+        if len(self._fits) >= CACHE_PAIRS:
+            self._fits.clear()
+        good = self._fits[a << 20 | b] = self._apart(a, b, _NEVER)
         return good
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         # printable ASCII stands for itself
         letters = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self._letters)
         letters = letters[:-1] + chr(ord(letters[-1]) + _FINAL)
+        size, fits, judged = len(letters), self._fits.get, self._judged
         # the longest token at each place, one after the other: right where all neighbours fit
         out = [t for _, t in self._automaton.iter_long(letters)]
-        if all(map(self._compatible, out, out[1:])):
+        last = out[0]
+        for t in out[1:]:
+            good = fits(last << 20 | t)
+            if not (judged(last, t) if good is None else good):
+                break
+            last = t
+        else:
             return tuple(out)
         length, shorter = self._length, self._shorter
-        longest: dict[int, int] = {}
+        longest = [-1] * (size + 1)
         for end, t in self._automaton.iter(letters):
             # of tokens with one start the last that is found is the longest
             longest[end + 1 - length[t]] = t
-        out, dead = [], set()
-        at, token = 0, longest.get(0, -1)
-        while at < len(letters):
+        out, dead = [], bytearray(size + 1)
+        at, token = 0, longest[0]
+        while at < size:
             while token >= 0:
-                if at + length[token] not in dead and (not out or self._compatible(out[-1], token)):
-                    break
+                to = at + length[token]
+                if not dead[to]:
+                    if not out:
+                        break
+                    good = fits(out[-1] << 20 | token)
+                    if judged(out[-1], token) if good is None else good:
+                        break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at += length[token]
-                token = longest.get(at, -1)
+                at = to
+                token = longest[at]
             else:
-                dead.add(at)
+                dead[at] = 1
                 if not out:
                     raise ValueError(f"no tokens for {piece!r}")
                 token = out.pop()
