@@ -13,28 +13,46 @@ from tallyroom.llm import bpe, decontaminate, neardup, secrets, toxicity
 from tallyroom.tables import staged, table
 
 
+#: Documents that go to a Python worker at once: with the default of 10,000 a batch of long texts takes tens of MB in the
+#: JVM and again in each worker.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS, which the stages run under."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(name))
+    if not 0 < held <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it is fitted on labelled documents of this input."""
+    _small_batches(spark)
     return toxicity.clean(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays."""
+    _small_batches(spark)
     return neardup.clean(docs, shingle=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, or one with other parameters, go."""
+    _small_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; found secrets and linked parts of credentials are replaced in their texts."""
+    _small_batches(spark)
     return secrets.redacted(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of what is left."""
+    _small_batches(spark)
     return bpe.encoded(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
