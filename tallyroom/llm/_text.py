@@ -143,3 +143,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.n
             yield grams(h[a:b], int(b - a)) ^ _U(b - a)
         else:
             yield np.zeros(0, _U)
+
+
+#: DuckDB SQL: what each byte adds to a CRC-32.
+CRC32_SQL = """crc_table AS MATERIALIZED (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(list_concat([n], range(8)),
+    lambda c, i: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END)) AS v FROM (SELECT unnest(range(256)) AS n)))"""
+
+
+def crc32_sql(hex_bytes: str) -> str:
+    """SQL of the CRC-32 of bytes given as hexadecimal text, beside CRC32_SQL's crc_table."""
+    byte = f"(strpos('123456789ABCDEF', substr({hex_bytes}, 2 * i + 1, 1)) * 16 + strpos('123456789ABCDEF', substr({hex_bytes}, 2 * i + 2, 1)))"
+    bytes_ = f"list_transform(range(length({hex_bytes}) // 2), lambda i: {byte}::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], {bytes_}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"

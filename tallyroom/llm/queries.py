@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyroom.llm import bpe, decontaminate, fingerprint_index, neardup, preference, quality, secrets, suffixes, threshold, toxicity
+from tallyroom.llm import bpe, decontaminate, fingerprint_index, neardup, packing, preference, prefix_trie, quality, resampling, secrets, suffixes, threshold, toxicity
 from tallyroom.tables import table
 
 BPE_FILE = "word_bpe_49k.json"
@@ -54,5 +54,18 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.linked(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_suffixes, op4_fingerprints, op5_preference, op6_secrets, op7_quality, op8_bpe, op9_threshold, op10_neardup)}
-ORACLE_SQL = {"op5_preference": preference.ORACLE, "op6_secrets": secrets.ORACLE, "op9_threshold": threshold.ORACLE}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_suffixes, op4_fingerprints, op5_preference, op6_secrets, op7_quality, op8_bpe, op9_threshold, op10_neardup, op11_resampling, op12_prefix_trie, op13_packing)}
+ORACLE_SQL = {"op5_preference": preference.ORACLE, "op6_secrets": secrets.ORACLE, "op9_threshold": threshold.ORACLE, "op11_resampling": resampling.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE}
