@@ -9,7 +9,7 @@ from tallyroom.functions import text as tx
 from tallyroom.functions import values as vx
 from tallyroom.operators import cases, evaluation, gates, governed, jobs, publication, retrieval
 from tallyroom.operators.governed import Dataset, Field
-from tallyroom.plans import questions
+from tallyroom.plans import catalogs, questions
 from tallyroom.sources import files
 from tallyroom.streaming import events
 from tallyroom.tables import new_path, staged, table
@@ -155,6 +155,67 @@ def nl_leftover_refused(spark, sf):
     return questions.resolved(ASKED, asked).select("q_id", "outcome", "reason")
 
 
+def _catalog(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """A dataset for each customer, with worksheets that many share, and the fields of the orders in each."""
+    key = F.lpad(F.col("c_custkey").cast("string"), 7, "0")
+    datasets = table(spark, sf, "customer").select(
+        F.concat(F.lit("ds-"), key).alias("dataset_id"), F.concat(F.lit("orders_"), key, F.lit(".xlsx")).alias("source_name"), F.concat(F.lit("Sheet "), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")).alias("worksheet"), (F.col("c_custkey") % 5 > 0).alias("published")
+    )
+    rows = [(list(names), ORDERS.fields[n].kind, ORDERS.fields[n].filter, ORDERS.fields[n].aggregate) for n, names in ASKED.names.items()] + [(["sheet 03 小计"], "decimal", False, True)]
+    every = F.array(*[F.struct(F.array(*map(F.lit, names)).alias("names"), F.lit(kind).alias("kind"), F.lit(filters).alias("filter"), F.lit(able).alias("aggregate")) for names, kind, filters, able in rows])
+    return datasets, datasets.select("dataset_id", F.explode(every).alias("f")).select("dataset_id", "f.*")
+
+
+def _of_datasets(spark, sf, forms: list[str]) -> DataFrame:
+    """A question for each order: {key} is its customer's number, {next} the one after it, {nation} the customer's nation."""
+    key = lambda c: F.lpad(c.cast("string"), 7, "0")
+    orders = table(spark, sf, "orders").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    text = F.element_at(F.array(*map(F.lit, forms)), (F.col("o_orderkey") % len(forms) + 1).cast("int"))
+    for name, value in (("key", key(F.col("o_custkey"))), ("next", key(F.col("o_custkey") + 1)), ("nation", F.lpad(F.col("c_nationkey").cast("string"), 2, "0"))):
+        text = F.replace(text, F.lit("{" + name + "}"), value)
+    return orders.select(F.col("o_orderkey").alias("q_id"), text.alias("question"))
+
+
+_CHOICES = ["ds-{key} 的总价平均", "orders_{key}.xlsx，总价平均", "ORDERS {key}的总价最大", "sheet{nation}的总价平均是多少", "总价平均是多少", "ds-{key}和DS-{next}总价合计", "sheet{nation}状态的总价平均", "sheet 03 小计平均"]
+
+
+@query("""WITH q AS (SELECT o_orderkey AS q_id, o_orderkey % 8 AS form, o_custkey AS k, c_nationkey AS n FROM orders JOIN customer ON o_custkey = c_custkey),
+f AS (SELECT c_nationkey AS n, list(c_custkey ORDER BY c_custkey) AS held FROM customer GROUP BY 1),
+c AS (SELECT q_id, CASE WHEN form IN (0, 1, 2) THEN [k] WHEN form = 3 THEN f.held WHEN form = 5 THEN list_filter([k, k + 1], lambda x: x <= last) ELSE [] END AS held FROM q JOIN f USING (n), (SELECT max(c_custkey) AS last FROM customer))
+SELECT q_id, CASE WHEN len(held) = 1 AND held[1] % 5 > 0 THEN 'chosen' WHEN len(held) = 1 THEN 'unavailable' ELSE 'clarification' END AS outcome,
+  CASE WHEN len(held) = 0 THEN 'dataset_not_named' WHEN len(held) > 1 THEN 'several_datasets' WHEN held[1] % 5 = 0 THEN 'not_published' END AS reason,
+  CASE WHEN len(held) = 1 AND held[1] % 5 > 0 THEN 'ds-' || lpad(held[1]::VARCHAR, 7, '0') END AS dataset_id,
+  CASE WHEN len(held) > 1 THEN array_to_string(list_transform(held, lambda x: 'ds-' || lpad(x::VARCHAR, 7, '0')), ' ') ELSE '' END AS candidates FROM c""")
+def nl_dataset_choice(spark, sf):
+    """Questions that name a dataset by id, file or worksheet, two of them, none, or only something that looks like one."""
+    picked = catalogs.chosen(_of_datasets(spark, sf, _CHOICES), *_catalog(spark, sf))
+    return picked.select("q_id", "outcome", "reason", "dataset_id", F.array_join("candidates", " ").alias("candidates"))
+
+
+_ROUTES = ["ds-{key}是什么", "ORDERS_{key} 平均", "状态为最高", "状态为最高，总价平均", "状态为高总价平均值", "一共多少条", "平均是多少", "orders_{key}.xlsx的状态为最高的记录", "日期的数量", "ds-{key}9的最大", "优先级=最低的平均，Sheet {nation}"]
+
+
+@query("""SELECT o_orderkey AS q_id, o_orderkey % 11 IN (1, 3, 4, 8, 9, 10) AS structured FROM orders""")
+def nl_routed(spark, sf):
+    """Which questions are for a dataset: words of an aggregate that are values of a filter, or stand alone, don't count."""
+    return catalogs.routed(_of_datasets(spark, sf, _ROUTES), *_catalog(spark, sf)).select("q_id", "structured")
+
+
+@query("""WITH a AS (SELECT 'o/' || o_orderstatus AS q_id, 'ds-orders' AS dataset_id, 'o_totalprice' AS metric, count(*) AS n, round(CAST(sum(CAST(o_totalprice AS DECIMAL(38,9))) AS DOUBLE) / count(*), 6) AS v FROM orders GROUP BY o_orderstatus
+UNION ALL SELECT 'l/' || l_returnflag, 'ds-lines', 'l_quantity', count(*), round(CAST(sum(CAST(l_quantity AS DECIMAL(38,9))) AS DOUBLE) / count(*), 6) FROM lineitem GROUP BY l_returnflag)
+SELECT q_id, dataset_id, 'avg' AS aggregate, metric, v AS aggregate_value, n AS total_count, n AS valid_count, CAST(0 AS BIGINT) AS null_count FROM a""")
+def nl_catalog_answers(spark, sf):
+    """Questions about two datasets, told apart by the names of their files."""
+    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    lined = questions.Asked(LINES, {"l_orderkey": ("订单号",), "l_quantity": ("件数",), "l_extendedprice": ("金额",), "l_discount": ("折扣",), "l_returnflag": ("退货标记",), "l_shipdate": ("发货日期",)})
+    datasets = spark.createDataFrame([("ds-orders", "订单.csv", "订单", True), ("ds-lines", "明细.csv", "明细", True)], "dataset_id string, source_name string, worksheet string, published boolean")
+    fields = [(i, list(names), a.data.fields[n].kind, a.data.fields[n].filter, a.data.fields[n].aggregate) for i, a in (("ds-orders", ASKED), ("ds-lines", lined)) for n, names in a.names.items()]
+    asked = orders.select(F.concat(F.lit("o/"), "o_orderstatus").alias("q_id"), F.concat(F.lit("订单.csv里状态为"), "o_orderstatus", F.lit("，总价平均是多少")).alias("question")).distinct()
+    asked = asked.union(lines.select(F.concat(F.lit("l/"), "l_returnflag"), F.concat(F.lit("退货标记为"), "l_returnflag", F.lit("且在明细.csv，件数的平均值"))).distinct())
+    picked = catalogs.chosen(asked, datasets, spark.createDataFrame(fields, "dataset_id string, names array<string>, kind string, filter boolean, aggregate boolean"))
+    return catalogs.answered({"ds-orders": (ASKED, orders), "ds-lines": (lined, lines)}, staged(picked, "choices"))
+
+
 # publication
 
 @query("""SELECT count(*) AS row_count, count(DISTINCT sha256(o_orderstatus)) AS content_versions, count(*) FILTER (WHERE o_orderkey IS NULL) AS null_o_orderkey, count(o_orderkey) AS count_o_orderkey, min(o_orderkey) AS min_o_orderkey, max(o_orderkey) AS max_o_orderkey,

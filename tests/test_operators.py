@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyroom import queries as registered
-from tallyroom.operators import cases, evaluation, gates, governed, jobs, publication, retrieval
+from tallyroom.operators import cases, evaluation, gates, governed, jobs, publication, retrieval, spans
 from tallyroom.operators.governed import Dataset, Field, Refused
-from tallyroom.plans import questions
+from tallyroom.plans import catalogs, questions
 from tallyroom.streaming import events
 
 SF = "/root/testdata/sf0.001"
@@ -192,3 +192,55 @@ def test_against_duckdb(spark, duck, name):
     places = [result.columns.index(c) for c in columns]
     expected = sorted((tuple(plain(r[i]) for i in places) for r in result.fetchall()), key=repr)
     assert sorted((tuple(plain(r[c]) for c in columns) for r in got), key=repr) == expected
+
+
+CATALOG = ([("ds-sales", "sales.xlsx", "Sheet 1", True), ("ds-sales-2", "sales-2.xlsx", "Sheet 12", True), ("ds-old", "旧数据.csv", "旧", False)], "dataset_id string, source_name string, worksheet string, published boolean")
+FIELDS = ([("ds-sales", ["amount", "订单金额"], "decimal", True, True), ("ds-sales", ["region", "地区"], "string", True, False), ("ds-sales-2", ["grade", "等级"], "string", True, False), ("ds-old", ["旧数据编号"], "integer", True, False)], "dataset_id string, names array<string>, kind string, filter boolean, aggregate boolean")
+
+
+def test_chosen_datasets(spark):
+    cases = {
+        "SALES.xlsx的订单金额平均": ("chosen", None, "ds-sales"),
+        "sales 2 的订单金额平均": ("chosen", None, "ds-sales-2"),  # the longer name
+        "DS-SALES-2 和 sales.xlsx 合计": ("clarification", "several_datasets", None),
+        "sheet12的合计": ("chosen", None, "ds-sales-2"),
+        "sheet 12等级合计": ("chosen", None, "ds-sales"),  # a value of 等级, in which Sheet 1 stands
+        "sheet 12 等级合计": ("chosen", None, "ds-sales-2"),  # not right before it
+        "旧数据编号合计": ("clarification", "dataset_not_named", None),  # inside a field's name
+        "旧数据的合计": ("unavailable", "not_published", None),
+        "订单金额平均": ("clarification", "dataset_not_named", None),
+        "": ("clarification", "dataset_not_named", None),
+        None: ("clarification", "dataset_not_named", None),
+    }
+    asked = spark.createDataFrame(list(enumerate(cases)), "q_id int, question string")
+    datasets, fields = spark.createDataFrame(*CATALOG), spark.createDataFrame(*FIELDS)
+    rows = {r["question"]: r for r in catalogs.chosen(asked, datasets, fields).collect()}
+    assert {q: (r["outcome"], r["reason"], r["dataset_id"]) for q, r in rows.items()} == cases
+    assert rows["DS-SALES-2 和 sales.xlsx 合计"]["candidates"] == ["ds-sales", "ds-sales-2"]
+    assert rows["SALES.xlsx的订单金额平均"]["rest"] == " " * 10 + "的订单金额平均"
+    alone = catalogs.chosen(asked, datasets.where("dataset_id <> 'ds-sales-2'"), fields).where("question = '订单金额平均'").first()
+    assert alone["outcome"] == "chosen" and alone["dataset_id"] == "ds-sales"
+    assert {r["reason"] for r in catalogs.chosen(asked.limit(1), datasets.limit(0), fields).collect()} == {"no_dataset"}
+    assert catalogs.chosen(asked.limit(0), datasets, fields).count() == 0
+
+
+def test_routed_questions(spark):
+    cases = {
+        "订单金额最高吗": True, "订单金额平均值呢": True, "等级为最高": False, "等级为最高的记录": False, "sales.xlsx的等级为最高": False, "sales.xlsx的等级为最高，订单金额平均值": True,
+        "地区为华东订单金额平均值": True, "订单金额平均值，地区为华东": True, "地区=最低 订单金额的最大是多少": True, "什么是平均值": False, "一共多少条": False, "订单金额": False, "": False, None: False,
+    }
+    asked = spark.createDataFrame(list(enumerate(cases)), "q_id int, question string")
+    datasets, fields = spark.createDataFrame(*CATALOG), spark.createDataFrame(*FIELDS)
+    got = {r["q_id"]: r["structured"] for r in catalogs.routed(asked, datasets, fields).collect()}
+    assert got == dict(enumerate(cases.values()))
+    alone = catalogs.routed(asked, datasets.where("dataset_id = 'ds-sales'"), fields).where("question = '一共多少条'").first()
+    assert alone["structured"]
+
+
+def test_names_found_in_texts(spark):
+    names, texts = ["a", "ab", "abcab", "日本", "x" * 20, "b-c"], ["abcabcab", "日本日本", "x" * 22, "", None, "b-c"]
+    got = spans.found(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), spark.createDataFrame([(n,) for n in names] + [("",)], "name string"), "i")
+    want = sorted((i, at, n) for i, t in enumerate(texts) for n in names for at in range(len(t or "")) if t.startswith(n, at))
+    assert sorted((r["i"], r["start"], r["name"]) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
