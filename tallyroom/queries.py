@@ -443,7 +443,8 @@ def _hits(spark, sf) -> DataFrame:
 
 @query(f"WITH {_HITS} SELECT q_id, source_id, chunk_index, score, rank, array_to_string(list_sort(m), ' ') AS matched FROM r WHERE rank <= 5")
 def keyword_score_topk(spark, sf):
-    return retrieval.ranked(_hits(spark, sf)).select("q_id", "source_id", "chunk_index", "score", "rank", F.array_join(F.array_sort("matched_terms"), " ").alias("matched"))
+    hits = retrieval.keyword_hits(_asked(spark, sf), _chunks(spark, sf), retrieval.LIMIT).withColumnRenamed("keyword_score", "score")
+    return hits.select("q_id", "source_id", "chunk_index", "score", "rank", F.array_join(F.array_sort("matched_terms"), " ").alias("matched"))
 
 
 @query(f"WITH {_HITS}, t AS (SELECT q_id, source_id, chunk_index, score, CAST(row_number() OVER (PARTITION BY q_id, source_id ORDER BY score DESC, chunk_index) AS INT) AS place FROM r WHERE rank <= 20) SELECT * FROM t WHERE place <= 2")
@@ -471,8 +472,54 @@ def evidence_conflict_terms(spark, sf):
     return retrieval.evidence(retrieval.ranked(_hits(spark, sf)), ["idiot", "token", "the"]).select("q_id", "n_hits", "n_sources", "conflict")
 
 
-@query()
+def _vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Questions and the first chunks of documents with vectors of the embeddings table."""
+    v = table(spark, sf, "embeddings")
+    n = F.lit(v.count())
+    asked = _asked(spark, sf).withColumn("vec_id", (F.col("q_id") * 7) % n).join(v.select("vec_id", F.col("embedding").alias("asked")), "vec_id", "left")
+    # chunks of one document in four have none
+    place = F.when(F.col("source_id") % 4 > 0, (F.col("source_id") + F.col("chunk_index")) % n)
+    chunks = _chunks(spark, sf).withColumn("vec_id", place).join(v.select("vec_id", F.col("embedding").alias("vector")), "vec_id", "left")
+    return asked.drop("vec_id"), chunks.drop("vec_id")
+
+
+_SCORED = f"""{_HITS}, nv AS (SELECT count(*) AS n FROM embeddings), e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+k AS (SELECT h.q_id, source_id, source_name, chunk_index, chunk, coalesce(list_sum(list_transform(m, lambda t: CASE WHEN length(t) <= 2 THEN 2 ELSE 3 END)) + CASE WHEN whole THEN 8 ELSE 0 END, 0)::INT AS keyword_score,
+  CASE WHEN source_id % 4 > 0 THEN list_inner_product(a.e, v.e) ELSE 0 END AS vector_score
+  FROM h, nv JOIN e a ON a.vec_id = (h.q_id * 7) % nv.n JOIN e v ON v.vec_id = (source_id + chunk_index) % nv.n),
+y AS (SELECT *, keyword_score + 4 * vector_score AS score FROM k WHERE keyword_score + 4 * vector_score >= T AND (keyword_score > 0 OR vector_score > 0)),
+z AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, source_name, source_id, chunk_index) AS INT) AS rank FROM y)"""
+
+
+@query(f"WITH {_SCORED.replace('>= T', '>= 2.2')} SELECT q_id, source_id, chunk_index, rank, keyword_score, round(vector_score, 6) AS vector_score FROM z WHERE rank <= 5")
 def hybrid_score_threshold(spark, sf):
+    """Keyword score and vectors of a table."""
+    return retrieval.ranked(retrieval.hybrid_hits(*_vectors(spark, sf))).select("q_id", "source_id", "chunk_index", "rank", "keyword_score", F.round("vector_score", 6).alias("vector_score"))
+
+
+@query(f"WITH {_SCORED.replace('>= T', '>= 12.5').replace('contains(lower(source', 'contains(lower(lang').replace('FROM q, c)', 'FROM q, c WHERE chunk_index > 0)')} SELECT q_id, count(*) AS n, count(*) FILTER (keyword_score = 0) AS n_alike, sum(keyword_score)::BIGINT AS keyword_sum, round(sum(vector_score), 3) AS vector_sum FROM y GROUP BY q_id")
+def hybrid_reliable_pairs(spark, sf):
+    """How many pairs reach another threshold, those without a keyword among them."""
+    asked, chunks = _vectors(spark, sf)
+    hits = retrieval.hybrid_hits(asked, chunks.where("chunk_index > 0").withColumn("source_name", F.col("source_type")), 12.5)
+    return hits.groupBy("q_id").agg(F.count("*").alias("n"), F.count_if(F.col("keyword_score") == 0).alias("n_alike"), F.sum("keyword_score").alias("keyword_sum"), F.round(F.sum("vector_score"), 3).alias("vector_sum"))
+
+
+@query(f"""WITH {_SCORED.replace('>= T', '>= 2.2')}, a AS (SELECT q_id, source_id, source_name, chunk_index, score, rank FROM z WHERE rank <= 5),
+f AS (SELECT q_id, source_id FROM (SELECT q_id, source_id, row_number() OVER (PARTITION BY q_id ORDER BY b) AS p FROM (SELECT q_id, source_id, min(rank) AS b FROM a GROUP BY ALL)) WHERE p <= 3),
+i AS (SELECT q_id, source_id, source_name, chunk_index, 4 * vector_score AS score, row_number() OVER (PARTITION BY q_id, source_id ORDER BY vector_score DESC, chunk_index) AS p FROM k JOIN f USING (q_id, source_id) WHERE 4 * vector_score >= 2.2),
+u AS (SELECT q_id, source_id, source_name, chunk_index, max(score) AS score FROM (SELECT q_id, source_id, source_name, chunk_index, score FROM a UNION ALL SELECT q_id, source_id, source_name, chunk_index, score FROM i WHERE p <= 2) GROUP BY ALL),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, source_name, source_id, chunk_index) AS INT) AS rank FROM u)
+SELECT q_id, source_id, chunk_index, rank, round(score, 5) AS score FROM o WHERE rank <= 5""")
+def inspected_evidence(spark, sf):
+    """The best hits after a look at all chunks of the first three sources of each question."""
+    asked, chunks = _vectors(spark, sf)
+    hits = staged(retrieval.ranked(retrieval.hybrid_hits(asked, chunks)), "hits")
+    return retrieval.inspected(asked, hits, chunks).select("q_id", "source_id", "chunk_index", "rank", F.round("score", 5).alias("score"))
+
+
+@query()
+def hybrid_hashed_threshold(spark, sf):
     """Keyword and hashed vector scores; BLAKE2b keeps this from SQL."""
     return retrieval.ranked(retrieval.hybrid_hits(_asked(spark, sf), _chunks(spark, sf))).select("q_id", "source_id", "chunk_index", "rank", "keyword_score", F.round("vector_score", 9).alias("vector_score"))
 
@@ -481,11 +528,8 @@ def hybrid_score_threshold(spark, sf):
 s AS (SELECT q.vec_id AS q_id, c.vec_id AS source_id, round(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])), 6) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY score DESC, source_id) AS INT) AS rank FROM s) SELECT * FROM r WHERE rank <= 5""")
 def vector_topk(spark, sf):
-    v = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("asked"))
-    scored = retrieval.in_blocks(asked, "q_id", lambda b: v.join(F.broadcast(b), F.col("q_id") != F.col("vec_id")).select("q_id", F.col("vec_id").alias("source_id"), F.round(tx.dot(F.col("asked"), F.col("embedding")), 6).alias("score")))
-    place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "source_id"))
-    return scored.withColumn("rank", place).where("rank <= 5")
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("source_id"), F.col("embedding").alias("vector"))
+    return retrieval.vector_top(v.where("source_id % 20 = 0").select(F.col("source_id").alias("q_id"), F.col("vector").alias("asked")), v, 5, "source_id")
 
 
 @query(r"""SELECT page_id, length(t) AS n_chars, sha256(t) AS digest FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) t FROM pages)""")

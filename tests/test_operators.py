@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyroom import queries as registered
+from tallyroom.functions import text as tx
 from tallyroom.operators import cases, evaluation, gates, governed, jobs, publication, retrieval, spans
 from tallyroom.operators.governed import Dataset, Field, Refused
 from tallyroom.plans import catalogs, questions
@@ -94,10 +95,36 @@ def test_retrieval_rounds(spark, monkeypatch):
     assert retrieval.inspected(asked, hits, chunks).where("rank = 1").first().source_id == 1
     assert "[1] s1" in retrieval.answered(hits).first().context
     assert retrieval.broadened(asked).orderBy("q_id").first().question.startswith("差旅票据材料 ")
-    monkeypatch.setattr(retrieval, "QUESTION_BLOCK", 1)
+    monkeypatch.setattr(retrieval, "MATRIX_ROWS", 1)
+    monkeypatch.setattr(retrieval, "MATRIX_CELLS", 1)
     assert retrieval.ranked(retrieval.hybrid_hits(asked, chunks)).count() == hits.count()
 
 
+def test_postings_and_products_against_all_pairs(spark):
+    rng = random.Random(5)
+    words = ["票据", "差旅", "合同条款", "ab", "abc", "x_1", "材料"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    vector = lambda: rng.choice([None, [], [1.0], [0.6, 0.8], [0.6, None, 0.8], [-1.0, 0.0, 0.0]])
+    docs = [(i, f"s{i % 3}", "文本", i % 2, rng.choice((text(4), "", None)), vector()) for i in range(60)] * 2
+    asked = [(i, rng.choice((text(2), text(1), "", None, "合同")), vector()) for i in range(15)]
+    chunks = spark.createDataFrame(docs, "source_id int, source_name string, source_type string, chunk_index int, chunk string, vector array<double>")
+    questions_ = spark.createDataFrame(asked, "q_id int, question string, asked array<double>")
+    pairs = questions_.withColumn("terms", tx.search_terms(F.col("question"))).crossJoin(chunks).withColumn("hay", tx.haystack(F.col("source_name"), F.col("source_type"), F.col("chunk")))
+    pairs = pairs.withColumns({"k": F.coalesce(tx.keyword_score(F.col("terms"), F.col("question"), F.col("hay")), F.lit(0)), "v": tx.dot(F.col("asked"), F.col("vector")), "m": F.array_sort(tx.matched(F.col("terms"), F.col("hay")))})
+    row = lambda r: (r["q_id"], r["source_id"], r["k"], r["m"])
+    got = retrieval.keyword_hits(questions_, chunks).select("q_id", "source_id", F.col("keyword_score").alias("k"), F.array_sort("matched_terms").alias("m"))
+    assert sorted(map(row, got.collect())) == sorted(map(row, pairs.where("k > 0").collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    for threshold in (2.2, 0.0, -1.0):
+        want = pairs.where(retrieval.reliable(F.col("k") + 4 * F.col("v"), F.col("k"), F.col("v"), threshold))
+        hits = retrieval.hybrid_hits(questions_, chunks, threshold)
+        assert sorted((r["q_id"], r["source_id"], r["keyword_score"], round(r["score"], 9)) for r in hits.collect()) == sorted((r["q_id"], r["source_id"], r["k"], round(r["k"] + 4 * r["v"], 9)) for r in want.collect())
+    assert "NestedLoop" not in hits._jdf.queryExecution().executedPlan().toString()
+    none = spark.createDataFrame([], questions_.schema)
+    assert retrieval.keyword_hits(none, chunks).count() == retrieval.hybrid_hits(none, chunks).count() == retrieval.hybrid_hits(questions_, chunks.limit(0)).count() == 0
+
+
 def test_evaluation_fixture(spark):
     runs = spark.createDataFrame([
         ("a", True, True, False, ["x", "y"], ["t"], ["y"], [], 0.5, 1.0, 3.0, "passed"), ("b", True, False, False, ["x"], ["t"], ["x"], ["t"], 0.5, 0.0, 1.0, "failed"), ("c", False, True, True, [], [], [], [], 1.0, 1.0, 2.0, "failed"),
