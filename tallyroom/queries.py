@@ -605,11 +605,34 @@ def replaced_chunks(spark, sf):
     return retrieval.with_chunks(store, docs.where("doc_id % 3 = 0").select("doc_id", F.lit(0).alias("chunk_index"), F.lit("new").alias("digest")), "doc_id")
 
 
-@query("SELECT event_id, event_type, '**bold** text' = '' AS changed, 'bold text, see ' || event_type || '.' AS answer FROM events")
+#: Answers made of two words of a text, and what is left of them.
+_ANSWERS = [
+    ("- **{a} {b}** and so [3] ,", "{a} {b} and so,"), ("**{a}**x{b} stays [2]", "**{a}**x{b} stays"), ("see **{a}** and `**{b}**` [0] [1, 2] .", "see {a} and `**{b}**` [0] [1, 2]."),
+    ("```\n**{a}**\n``` **{b}** [1]", "```\n**{a}**\n``` {b}"), ("  - item **{a}**  [12].", "  - item **{a}**."), ("{a}\n[1] {b}\n. c", "{a}\n {b}\n. c"), ("**{a}****{b}** 、end", "{a}{b}、end"),
+    ("***{a}*** **{b}**", "***{a}*** **{b}**"), ("** {a}** {b}", "** {a}** {b}"), ("x **{a}**\r\n    **{b}**\r\n+ **{b}** *z*", "x {a}\r\n    **{b}**\r\n{b} *z*"), ("\\**{a}** [01] {b} [7]", "\\**{a}** [01] {b}"),
+    ("`{a} **{b}**\n**{a}** ``x` **{b}**", "`{a} **{b}**\n{a} ``x` **{b}**"),
+]
+
+
+def _sql_text(text: str) -> str:
+    """A template as SQL over a and b."""
+    for sign, code in (("\r", 13), ("\n", 10)):
+        text = text.replace(sign, f"' || chr({code}) || '")
+    return "'" + text.replace("{a}", "' || a || '").replace("{b}", "' || b || '") + "'"
+
+
+@query(f"""WITH t AS (SELECT 'd' || doc_id AS id, doc_id AS n, text FROM documents UNION ALL SELECT 'p' || page_id, page_id, html FROM pages),
+w AS (SELECT id, n, regexp_extract_all(text, '[\\p{{L}}]+') AS w FROM t), x AS (SELECT id, n, coalesce(w[1], 'q') AS a, coalesce(w[len(w)], 'q') AS b FROM w)
+SELECT id, CASE n % {len(_ANSWERS)} {" ".join(f"WHEN {i} THEN {_sql_text(after)}" for i, (_, after) in enumerate(_ANSWERS))} END AS answer FROM x""")
 def answers_repaired(spark, sf):
-    """Bold marks and citations taken out of answers."""
-    raw = F.concat(F.lit("- **bold** text [1], see "), "event_type", F.lit(" [12] ."))
-    return table(spark, sf, "events").select("event_id", "event_type", (tx.answer_text(raw) == raw).alias("changed"), tx.answer_text(raw).alias("answer"))
+    """Bold marks and citations taken out of answers made of the words of documents and pages."""
+    texts = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("doc_id").alias("n"), "text")
+    texts = texts.unionByName(table(spark, sf, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("page_id").alias("n"), F.col("html").alias("text")))
+    words = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
+    parts = texts.select("id", "n", words.alias("w")).select("id", "n", *[F.coalesce(w, F.lit("q")).alias(c) for c, w in (("a", F.get("w", F.lit(0))), ("b", F.get("w", F.size("w") - 1)))])
+    raw = F.element_at(F.array(*[F.lit(before) for before, _ in _ANSWERS]), (F.col("n") % len(_ANSWERS) + 1).cast("int"))
+    raw = F.replace(F.replace(raw, F.lit("{a}"), F.col("a")), F.lit("{b}"), F.col("b"))
+    return parts.select("id", tx.answer_text(raw).alias("answer"))
 
 
 # evaluation

@@ -80,13 +80,37 @@ def test_text(spark):
     assert set(tx.GROUPS[2]) <= set(column(spark, ["票据"], tx.search_terms)[0]) and column(spark, ["什么"], tx.search_terms) == [[]]
     assert column(spark, ["a | b||a |  "], tx.pipe_list) == [["a", "b"]]
     assert column(spark, ["  " + "x" * 30, "short"], tx.title) == ["x" * 18 + "...", "short"]
-    assert column(spark, ["see [1] and [2, 3] ."], tx.without_citations) == ["see and."]
+    assert column(spark, ["see [1] and [2, 3] ."], tx.without_citations) == ["see and [2, 3]."]
     assert column(spark, ["<p>a</p><script>x</script> b"], tx.plain_html) == ["a b"]
     hay = "src1 en the policy"
     scores = spark.createDataFrame([("the policy", hay), ("xy", hay), ("中", hay)], "q string, h string").select(tx.keyword_score(tx.search_terms(F.col("q")), F.col("q"), F.col("h"))).collect()
     assert [r[0] for r in scores] == [3 + 3 + 8, 0, 0]
 
 
+ANSWERS = {
+    "one\n[1] two": "one\n two", "x [0] [1, 2] [12].": "x [0] [1, 2].", "a 、b": "a、b", "a\n. b": "a\n. b", "`code` and **bold**": "`code` and bold", "  - item **x**": "  - item **x**",
+    "- **x**": "x", "- a **x**": "- a x", "**a****b**": "ab", "**a**b": "**a**b", "a**b**": "a**b**", "_**b**": "_**b**", "\\**b**": "\\**b**", "**b\\**": "**b\\**", "** b**": "** b**", "**b **": "**b **",
+    "***b***": "***b***", "**a** ***b***": "**a** ***b***", "**a* *b**": "a* *b", "****": "****", "**": "**", "**a** **": "**a** **", "```\n**a**": "```\n**a**", "```**a**``` **b**": "```**a**``` b",
+    "`**a**\n**b**": "`**a**\nb", "``**a**` **b**": "``a` **b**", "\t**a**\n**b**": "**a**\nb", "    **a**": "**a**", "a\n   **b**": "a\n   b", "": "", None: None, "**é**é": "éé", "*a* **b**": "*a* b",
+}
+
+
+def test_answers(spark):
+    assert column(spark, list(ANSWERS), tx.answer_text) == list(ANSWERS.values())
+
+
+@given(st.text("*ab_ \\`-\n\r\t[1]", max_size=40))
+def test_answers_keep_what_is_no_mark(text):
+    got = tx.plain_answer(text)
+    # nothing but stars and list marks goes, and code stays whole
+    assert got.replace("*", "").replace("-", "").replace(" ", "").replace("\t", "") == text.replace("*", "").replace("-", "").replace(" ", "").replace("\t", "")
+    assert (text.count("*") - got.count("*")) % 4 in (0, 1, 2, 3) and len(got) <= len(text)
+    if "**" not in text:
+        assert got == text
+    for fence in text.split("```")[1::2]:
+        assert fence in got
+
+
 def test_embedding(spark):
     v = column(spark, ["报销 invoice", ""], tx.embedding)
     assert len(v[0]) == tx.DIMENSIONS and abs(sum(x * x for x in v[0]) - 1) < 1e-9 and not any(v[1])
