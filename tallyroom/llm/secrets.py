@@ -44,23 +44,29 @@ def _running(steps: Column) -> Column:
     return F.when(F.size(steps) > 0, F.flatten(F.transform(F.slice(sums, 2, F.size(sums)), lambda x: F.slice(x, 2, F.size(x))))).otherwise(F.array().cast("array<int>"))
 
 
-def _matches(text: Column, kind: str, pattern: str, group: int | None = None, least: int = 0, also: str | None = None) -> Column:
-    """Spans of all matches, less those whose group is shorter than `least` or that lack the pattern `also`."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.transform(hits, F.length)
-    gaps = F.slice(F.transform(F.split(text, pattern, -1), F.length), 1, F.size(hits))
-    stops = _running(F.zip_with(gaps, sizes, lambda a, b: a + b))
+def _with_matches(docs: DataFrame, *kinds: tuple[str, Column, str, int | None, int, str | None]) -> DataFrame:
+    """docs with a column of spans for each (kind, condition, pattern, group, least, also): all matches of the pattern
+    in t where the condition holds, less those whose group is shorter than `least` or that lack the pattern `also`.
 
-    def good(hit: Column) -> Column:
-        held = F.regexp_extract(hit, pattern, group) if group else hit
-        return (F.length(held) >= least) & (F.lit(True) if also is None else held.rlike(also))
+    Step by step, as a lambda that reads a whole expression would work it out for each of its elements.
+    """
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    hits, steps, stops = ({k[0]: F.col(f"_{name}_{k[0]}") for k in kinds} for name in ("hits", "steps", "stops"))
+    docs = docs.withColumns({f"_hits_{k}": F.when(on, F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).otherwise(none("string")) for k, on, pattern, *_ in kinds})
+    gaps = lambda k, pattern: F.slice(F.transform(F.split("t", pattern, -1), F.length), 1, F.size(hits[k]))
+    step = lambda k, pattern: F.zip_with(gaps(k, pattern), F.transform(hits[k], F.length), lambda a, b: a + b)
+    docs = docs.withColumns({f"_steps_{k}": F.when(F.size(hits[k]) > 0, step(k, pattern)).otherwise(none("int")) for k, _, pattern, *_ in kinds})
+    docs = docs.withColumns({f"_stops_{k}": _running(steps[k]) for k, *_ in kinds})
 
-    spans = F.zip_with(hits, stops, lambda hit, stop: F.struct((stop - F.length(hit)).alias("start"), F.lit(KINDS.index(kind)).alias("k"), stop.alias("stop"), good(hit).alias("good")))
-    return F.transform(F.filter(spans, lambda s: s["good"]), lambda s: F.struct(s["start"], s["k"], s["stop"])).cast(_SPAN)
+    def spans(k: str, group: int | None, pattern: str, least: int, also: str | None) -> Column:
+        def good(hit: Column) -> Column:
+            held = F.regexp_extract(hit, pattern, group) if group else hit
+            return (F.length(held) >= least) & (F.lit(True) if also is None else held.rlike(also))
 
+        every = F.zip_with(hits[k], stops[k], lambda hit, stop: F.struct((stop - F.length(hit)).alias("start"), F.lit(KINDS.index(k)).alias("k"), stop.alias("stop"), good(hit).alias("good")))
+        return F.transform(F.filter(every, lambda s: s["good"]), lambda s: F.struct(s["start"], s["k"], s["stop"])).cast(_SPAN)
 
-def _where(condition: Column, spans: Column) -> Column:
-    return F.when(condition, spans).otherwise(F.array().cast(_SPAN))
+    return docs.withColumns({k: spans(k, group, pattern, least, also) for k, _, pattern, group, least, also in kinds})
 
 
 def _counts(points: Column, asked: Column, equal: bool) -> Column:
@@ -102,17 +108,19 @@ def with_spans(docs: DataFrame) -> DataFrame:
     named = [F.col(quoted(c)) for c in docs.columns]
     docs = docs.select(F.struct(*named).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
     t = F.col("t")
-    docs = docs.withColumns({
-        "assign": _where(t.rlike(r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""), _matches(t, "assign", ASSIGN, 2, 6)),
-        "access": _where(t.contains("AKIA"), _matches(t, "access", ACCESS)),
-        "hex": _where(t.rlike(HEX), _matches(t, "hex", HEX)),
-        "blob": _where(t.rlike(BLOB), _matches(t, "blob", BLOB, also="[0-9].*[A-Za-z]|[A-Za-z].*[0-9]")),
-    })
+    docs = _with_matches(
+        docs,
+        ("assign", t.rlike(r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""), ASSIGN, 2, 6, None),
+        ("access", t.contains("AKIA"), ACCESS, None, 0, None),
+        ("hex", t.rlike(HEX), HEX, None, 0, None),
+        ("blob", t.rlike(BLOB), BLOB, None, 0, "[0-9].*[A-Za-z]|[A-Za-z].*[0-9]"),
+    )
     docs = docs.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
     free = lambda w: F.when(F.size(w) > 0, _chosen(w, F.transform(_meeting(w, F.col("base")), lambda x: ~x))).otherwise(w)
     docs = docs.withColumn("blob", free(F.col("blob")))
     docs = docs.withColumn("secret", F.concat("assign", "hex", "blob"))
-    docs = docs.withColumns({"account": _where(F.size("secret") > 0, _matches(t, "account", ACCOUNT, 2, 3)), "endpoint": _where(F.size("secret") > 0, _matches(t, "endpoint", ENDPOINT))})
+    some = F.size("secret") > 0
+    docs = _with_matches(docs, ("account", some, ACCOUNT, 2, 3, None), ("endpoint", some, ENDPOINT, None, 0, None))
     docs = docs.withColumn("account", free(F.col("account")))
     near = lambda w, others: F.when(F.size(w) > 0, _chosen(w, _meeting(w, others, SCOPE))).otherwise(w)
     linked = F.concat(

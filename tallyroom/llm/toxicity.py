@@ -24,6 +24,8 @@ from tallyroom.tables import staged
 LANDMARKS, TRAIN_DOCS, DECAY, FLOOR, THRESHOLD = 40, 6000, 0.5, 0.35, 0.3
 #: Words that landmarks are chosen from, for each of them, and the kernel of two landmarks at most.
 CANDIDATES, ALIKE = 20, 0.5
+#: Texts of a landmark that tells its class, the share of class 1 among them, and kernels that it may be learnt at.
+TELLING_ROWS, TELLING, LEVELS = 5, 0.8, (0.95, 0.8, 0.65, 0.5)
 _SKIPS = [(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a + b <= 4]
 _LETTERS = 64
 #: 1-26: letters in either case and what stands for them; 0: skipped. Other letters have the codes from 27.
@@ -190,6 +192,29 @@ def unlike(candidates: list[str], most: int) -> list[str]:
     return [candidates[i] for i in out]
 
 
+def thinned(x: np.ndarray, y: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """More rows of class 1: texts as they would be with one of their telling words alone, plain and disguised.
+
+    Insults come in company, so each alone would get little of the weight that they share. A landmark tells its class
+    where, of at least TELLING_ROWS texts that hold it, the share TELLING is of class 1; disguised it is as weak as the
+    lowest of LEVELS at which that still holds. What a text holds besides stays.
+    """
+    rows = []
+    for j in range(x.shape[1]):
+        weakest = None
+        for level in LEVELS:
+            near = x[:, j] >= level
+            if near.sum() < TELLING_ROWS or (y[near] > 0).mean() < TELLING:
+                break
+            weakest = level
+        if weakest is not None:
+            own = x[(x[:, j] >= LEVELS[0]) & (y > 0)]
+            rest = np.where(own >= ALIKE, 0, own)
+            rows += [np.maximum(rest, among[j] * strength) for strength in {1.0, weakest}]
+    more = np.concatenate(rows) if rows else np.zeros((0, x.shape[1]))
+    return np.concatenate([x, more]), np.concatenate([y, np.ones(len(more))])
+
+
 def fitted(kernel: Kernel, landmarks: list[str], x: np.ndarray, y: np.ndarray) -> Machine:
     among = np.zeros((len(landmarks), len(landmarks)))
     for i, word in enumerate(landmarks):
@@ -197,7 +222,8 @@ def fitted(kernel: Kernel, landmarks: list[str], x: np.ndarray, y: np.ndarray) -
         among[i] = kernel.of_texts(raw, np.array([0, len(raw)]))[0]
     values, vectors = np.linalg.eigh((among + among.T) / 2)
     root = vectors / np.sqrt(np.maximum(values, 1e-3))
-    weights, bias = _linear_svm(x @ root, y)
+    more, classes = thinned(x, y, among)
+    weights, bias = _linear_svm(more @ root, classes)
     slope, shift = _sigmoid(x @ root @ weights + bias, y)
     return Machine(kernel, root, weights, bias, slope, shift)
 

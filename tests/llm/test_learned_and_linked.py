@@ -358,3 +358,15 @@ def test_no_rows_and_no_links(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.linked(none).count() == 0
     assert [tuple(x) for x in neardup.linked(spark.createDataFrame([(1, "a b c d e")], none.schema)).collect()] == [(1, 2, 1, True)]
+
+
+def test_disguised_insults_in_a_plain_sentence(spark):
+    """Each word that tells the class, with one letter put in, left out or doubled, is predicted where it stands alone."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    machine = toxicity.trained(docs, labels)
+    insults = ["disgusting", "idiot", "worthless", "stupid", "loser", "pathetic", "clown", "moron", "trash"]
+    forms = {v for w in insults for i in range(1, len(w)) for v in (w, w[:i] + "x" + w[i:], w[:i] + w[i + 1 :], w[:i] + w[i - 1 :], ".".join(w))}
+    sentence = "the weather in the north was mild and he said that you are {} for all of it"
+    rows = [(i, sentence.format(f)) for i, f in enumerate(sorted(forms))] + [(-1, sentence.format("late")), (-2, sentence.format("")), (-3, "")]
+    got = {r.doc_id: r.predicted for r in toxicity.scored(spark.createDataFrame(rows, "doc_id long, text string"), machine).collect()}
+    assert [t for i, t in rows if (i >= 0) != bool(got[i])] == []

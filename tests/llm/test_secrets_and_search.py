@@ -80,7 +80,7 @@ def test_queries_against_sql(spark, name):
 
     sf = "/root/testdata/sf0.001"
     db = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     own = queries.QUERIES[name](spark, sf)
     theirs = db.execute(queries.ORACLE_SQL[name])
@@ -158,3 +158,18 @@ def test_pipeline_stages(spark):
     assert 0.5 * every < kept < every and stage(spark, docs, sf).count() == kept
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert last.count() == kept
+
+
+def test_matches_of_a_long_text_take_linear_time(spark):
+    import time
+
+    def took(n):
+        df = spark.createDataFrame([(1, "token=abcdefgh123 http://x.y/z " * n)], "doc_id long, text string")
+        begun = time.time()
+        row = secrets.found(df).first()
+        assert (row.n_assign, row.n_linked) == (n, n)
+        return time.time() - begun
+
+    took(10)  # planning and compiling
+    small, large = took(8000), took(32_000)
+    assert large < 2.3**2 * max(small, 2)
