@@ -10,7 +10,7 @@ from tallyroom.functions import values as vx
 from tallyroom.operators import cases, evaluation, gates, governed, jobs, publication, retrieval
 from tallyroom.operators.governed import Dataset, Field
 from tallyroom.plans import catalogs, questions
-from tallyroom.sources import files
+from tallyroom.sources import files, imports, office
 from tallyroom.streaming import events
 from tallyroom.tables import new_path, staged, table
 
@@ -635,6 +635,125 @@ def answers_repaired(spark, sf):
     return parts.select("id", tx.answer_text(raw).alias("answer"))
 
 
+@query("""WITH s AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier),
+c AS (SELECT s_nationkey % 7 = 3 AS broken, 'nation_' || s_nationkey || '.xlsx' AS path, CASE WHEN s_suppkey % 2 = 0 THEN 'even' ELSE 'odd' END AS worksheet, s_suppkey, s_name,
+  row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 2 ORDER BY s_suppkey) AS row_number FROM s)
+SELECT path, worksheet, row_number, s_suppkey || '|' || s_name AS cells, CAST(NULL AS VARCHAR) AS problem FROM c WHERE NOT broken
+UNION ALL SELECT DISTINCT path, NULL, NULL, NULL, 'unreadable' FROM c WHERE broken""")
+def workbook_cells(spark, sf):
+    """Workbooks of suppliers, one for each nation with two sheets, read again; some are cut off."""
+    rows = F.array(F.col("s_suppkey").cast("string"), "s_name", F.lit(None), F.lit(""))
+    side = lambda odd: F.transform(F.array_sort(F.collect_list(F.when(F.col("s_suppkey") % 2 == odd, F.struct("s_suppkey", rows.alias("r"))))), lambda x: x["r"])
+    books = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.array(side(0), side(1)).alias("sheets"))
+    content = office.workbook(F.array(F.lit("even"), F.lit("odd")), "sheets")
+    books = books.select("s_nationkey", F.concat(F.lit("nation_"), "s_nationkey", F.lit(".xlsx")).alias("path"), content.alias("content"))
+    books = books.withColumn("content", F.when(F.col("s_nationkey") % 7 == 3, F.substring("content", 1, 100)).otherwise(F.col("content")))
+    return files.xlsx_cells(staged(books, "books")).select("path", "worksheet", "row_number", F.array_join("cells", "|").alias("cells"), "problem")
+
+
+@query("""SELECT n_nationkey AS nation, o_orderkey AS order_key, CASE WHEN o_orderkey % 4 = 1 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS customer FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+WHERE o_orderkey % 4 <> 2""")
+def uncached_formula_rows(spark, sf):
+    """Formulas without a value: refused in the column that may be aggregated (the first), null in the other."""
+    orders = table(spark, sf, "orders").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    form = F.col("o_orderkey") % 4
+    cells = F.array(F.when(form == 2, F.lit("=A1+1")).otherwise(F.col("o_orderkey").cast("string")), F.when(form == 1, F.lit("=B1*2")).otherwise(F.col("o_custkey").cast("string")), F.lit("end"))
+    books = orders.groupBy("c_nationkey").agg(F.array(F.collect_list(cells)).alias("sheets")).select(F.col("c_nationkey").cast("string").alias("path"), office.workbook(F.array(F.lit("s")), "sheets").alias("content"))
+    kept, _ = publication.without_uncached(staged(files.xlsx_cells(staged(books, "books")), "cells"), [0])
+    return kept.select(F.col("path").cast("int").alias("nation"), F.get("cells", F.lit(0)).cast("long").alias("order_key"), F.get("cells", F.lit(1)).alias("customer"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents),
+x AS (SELECT doc_id, coalesce(w[1], 'q') AS a, coalesce(w[len(w)], 'q') AS b FROM d)
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN a || chr(10) || b || chr(10) || b || ' | ' || a WHEN 1 THEN '[one]' || chr(10) || a || ' | ' || b || chr(10) || '[none]' WHEN 2 THEN a || ' not a document' WHEN 3 THEN a || ' | ' || b ELSE a || ' ' || b END AS text FROM x""")
+def document_texts(spark, sf):
+    """Texts of documents, workbooks, CSV and text files, and of a file that isn't what its name says."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    docs = table(spark, sf, "documents").select("doc_id", words.alias("w")).select("doc_id", *[F.coalesce(w, F.lit("q")).alias(c) for c, w in (("a", F.get("w", F.lit(0))), ("b", F.get("w", F.size("w") - 1)))])
+    none = F.array().cast("array<array<string>>")
+    kinds = {
+        "docx": office.document(F.array("a", F.lit("  "), "b"), F.array(F.array("b", "a"))), "xlsx": office.workbook(F.array(F.lit("one"), F.lit("none")), F.array(F.array(F.array("a", F.lit(None), "b")), none)),
+        "broken.docx": F.concat("a", F.lit(" not a document")).cast("binary"), "csv": F.concat(F.lit('"'), "a", F.lit('", ,'), "b").cast("binary"), "md": F.concat(F.lit(" "), "a", F.lit("\t "), "b").cast("binary"),
+    }
+    made = None
+    for i, (suffix, content) in enumerate(kinds.items()):
+        one = docs.where(F.col("doc_id") % 5 == i).select(F.concat("doc_id", F.lit("." + suffix)).alias("path"), content.alias("content"))
+        made = one if made is None else made.unionByName(one)
+    return files.texts_of(staged(made, "files")).select(F.regexp_extract("path", r"^\d+", 0).cast("long").alias("doc_id"), "text")
+
+
+# imports
+
+_IMPORTED = """t AS (SELECT item_id % 7 AS f, item_id, text, item_id % 12 AS k, row_number() OVER (PARTITION BY item_id % 7 ORDER BY item_id) + 1 AS row_number FROM benchmark),
+good AS (SELECT *, CASE f WHEN 0 THEN 'a.json' WHEN 1 THEN 'b.json' WHEN 2 THEN 'c.csv' ELSE 'd.xlsx' END AS path, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS question FROM t WHERE f < 4),
+told AS (SELECT *, CASE WHEN item_id % 5 = 0 THEN 'expect_answer' WHEN item_id % 9 = 0 THEN 'expected_sources' WHEN k = 0 OR k > 10 THEN 'top_k' END AS field FROM good)"""
+
+
+def _import_files(spark, sf) -> DataFrame:
+    """Seven files of the benchmark's items: JSON arrays, CSV, a workbook, and three that can't be imported."""
+    items = table(spark, sf, "benchmark")
+    text = {
+        "question": F.concat(F.lit(" "), "text", F.lit("\n")), "expect_answer": F.when(F.col("item_id") % 5 == 0, "maybe").when(F.col("item_id") % 2 == 0, "是").otherwise("FALSE"),
+        "expected_sources": F.when(F.col("item_id") % 9 == 0, "nowhere").otherwise("EUROPE"), "expected_terms": F.lit(" a |b||a"), "topK": (F.col("item_id") % 12).cast("string"), "tags": F.lit("x|y"), "external_key": F.concat(F.lit("k"), "item_id"),
+    }
+    cells = F.array(*text.values())
+    rows = items.select(F.col("item_id"), (F.col("item_id") % 7).alias("f"), *[c.alias(n) for n, c in text.items()], cells.alias("cells")).groupBy("f").agg(F.array_sort(F.collect_list(F.struct("item_id", *text, "cells"))).alias("rows"))
+    # numbers, lists and a boolean as such
+    typed = F.transform("rows", lambda r: F.struct(r["question"].alias(" question "), r["expect_answer"].alias("expectAnswer"), F.split(r["expected_sources"], ",").alias("expected_sources"), F.array(F.lit(" a "), F.lit("b"), F.lit("a")).alias("expected_terms"), r["topK"].cast("int").alias("top_k"), r["tags"].alias("tags"), r["external_key"].alias("externalKey")))
+    quoted = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = F.array_join(F.concat(F.array(F.lit(",".join(text))), F.transform("rows", lambda r: F.array_join(F.transform(r["cells"], quoted), ","))), "\r\n")
+    sheet = F.concat(F.array(F.array(*map(F.lit, text))), F.transform("rows", lambda r: r["cells"]))
+    kinds = [
+        ("a.json", F.to_json(typed).cast("binary")), ("b.json", F.concat(F.lit("\ufeff"), F.to_json(F.transform("rows", lambda r: F.struct(*[r[n].alias(n) for n in text])))).cast("binary")), ("c.csv", lines.cast("binary")),
+        ("d.xlsx", office.workbook(F.array(F.lit("s"), F.lit("t")), F.array(sheet, sheet))), ("e.json", F.lit('[{"question": ').cast("binary")), ("f.json", F.to_json(F.create_map(F.lit("question"), F.lit("no list"))).cast("binary")), ("g.txt", F.lit("x").cast("binary")),
+    ]
+    made = None
+    for i, (path, content) in enumerate(kinds):
+        one = rows.where(F.col("f") == i).select(F.lit(path).alias("path"), content.alias("content"))
+        made = one if made is None else made.unionByName(one)
+    return staged(made, "imports").withColumn("length", F.octet_length("content").cast("long"))
+
+
+@query(f"WITH {_IMPORTED} SELECT path, count(*) AS n_records, CAST(NULL AS VARCHAR) AS problem FROM good GROUP BY path UNION ALL SELECT * FROM (VALUES ('e.json', 0, 'invalid_json'), ('f.json', 0, 'not_an_array'), ('g.txt', 0, 'unknown_type')) v(path, n_records, problem)")
+def import_files(spark, sf):
+    summary, _ = imports.records(_import_files(spark, sf))
+    return summary.select("path", long("n_records").alias("n_records"), "problem")
+
+
+def _imported(spark, sf) -> tuple[DataFrame, DataFrame]:
+    sources = table(spark, sf, "region").select(F.col("r_regionkey").alias("source_id"), F.col("r_name").alias("source_name"))
+    return imports.cases(imports.records(_import_files(spark, sf))[1], sources)
+
+
+@query(f"WITH {_IMPORTED}, r AS (SELECT CAST(r_regionkey AS VARCHAR) AS source FROM region WHERE r_name = 'EUROPE') SELECT path, row_number, question, item_id % 2 = 0 AS expect_answer, source, 'a|b' AS terms, 'x|y' AS tags, k AS top_k, 'k' || item_id AS external_key FROM told, r WHERE field IS NULL")
+def import_cases(spark, sf):
+    """Cases from JSON arrays with typed and with text values, CSV and a workbook."""
+    good, _ = _imported(spark, sf)
+    return good.select("path", long("row_number").alias("row_number"), "question", "expect_answer", F.array_join("expected_source_ids", "|").alias("source"), F.array_join("expected_terms", "|").alias("terms"), F.array_join("tags", "|").alias("tags"), long("top_k").alias("top_k"), "external_key")
+
+
+@query(f"WITH {_IMPORTED} SELECT path, row_number, field, CASE field WHEN 'expect_answer' THEN 'no_boolean' WHEN 'expected_sources' THEN 'unknown' ELSE 'out_of_bounds' END AS problem FROM told WHERE field IS NOT NULL")
+def import_problems(spark, sf):
+    _, bad = _imported(spark, sf)
+    return bad.select("path", long("row_number").alias("row_number"), "field", "problem")
+
+
+@query("""SELECT o_orderkey AS dataset_id, CAST(o_custkey AS VARCHAR) AS customer, o_orderstatus AS status, CAST(o_totalprice AS VARCHAR) AS price FROM orders WHERE o_orderkey % 5 > 1""")
+def projected_cells(spark, sf):
+    """Every order as a dataset of its own with its columns in another order; a fifth lacks one, a fifth has one more."""
+    orders = table(spark, sf, "orders")
+    named = F.array(*[F.struct(F.lit(n).alias("n"), c.cast("string").alias("v")) for n, c in (("Customer", F.col("o_custkey")), ("Status ", F.col("o_orderstatus")), ("总价", F.col("o_totalprice")), ("Extra", F.col("o_orderkey")))])
+    # turned by the key, with or without what doesn't belong there
+    some = F.slice(named, F.lit(1), F.when(F.col("o_orderkey") % 5 == 0, 2).when(F.col("o_orderkey") % 5 == 1, 4).otherwise(3))
+    turn = (F.col("o_orderkey") % 3).cast("int")
+    cells = orders.select(F.col("o_orderkey").alias("dataset_id"), some.alias("s"), turn.alias("t")).withColumn("s", F.concat(F.slice("s", F.col("t") + 1, F.size("s")), F.slice("s", F.lit(1), F.col("t"))))
+    cells = staged(cells.select("dataset_id", F.lit(2).alias("row_number"), F.transform("s", lambda x: x["n"]).alias("headers"), F.transform("s", lambda x: x["v"]).alias("cells")), "cells")
+    held = F.array(*[F.struct(F.lit(p).alias("physical_name"), F.lit(o).alias("original_name")) for p, o in (("customer", "Customer"), ("status", "Status"), ("price", "总价"))])
+    confirmed = orders.select(F.col("o_orderkey").alias("dataset_id"), F.explode(held).alias("c")).select("dataset_id", "c.*")
+    fields, _ = publication.projected(cells.select("dataset_id", "row_number", "cells"), cells.select("dataset_id", "headers"), confirmed)
+    return fields.select("dataset_id", *[F.col("fields")[c].alias(c) for c in ("customer", "status", "price")])
+
+
 # evaluation
 
 _CASES = """k AS (SELECT item_id AS case_id, item_id % 5 <> 0 AS expect_answer, CASE WHEN item_id % 4 = 0 THEN ' ' ELSE 'c' || item_id % 3 END AS category, ['t' || item_id % 2, ' t' || item_id % 3 || ' ', ''] AS tags, text FROM benchmark)"""

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import json
 import re
 import zipfile
 from decimal import ROUND_HALF_EVEN, Decimal, localcontext
@@ -156,3 +157,30 @@ def test_csv(spark, tmp_path):
     (tmp_path / "x.csv").write_text('h1,h2\n"a ""q""","line\nbreak"\n,  \n', encoding="utf-8")
     rows = files.csv_cells(spark, f"file://{tmp_path}/x.csv", ["a", "b"]).collect()
     assert rows[0].a == 'a "q"' and rows[0].b == "line\nbreak" and re.fullmatch(r"\s*", rows[1].b or "")
+
+
+def test_imports(spark):
+    from tallyroom.sources import imports
+
+    header = "question,expect_answer,expected_sources,expected_terms,top_k,category,tags,external_key\n"
+    contents = {
+        "a.json": json.dumps([{"question": " a\n b ", "expectAnswer": True, "expected_terms": ["x", " x", 7, None]}, 5, {"question": ["q"]}, {"question": "", "expect_answer": 1}, {"question": "q"}, {"question": "q", "expect_answer": 2},
+                              {"question": "q", "expect_answer": 0, "topK": 3.0, " tags ": "t| |u", "category": None}, {"question": "q", "expect_answer": "1", "expected_sources": "one|two"}, {"question": "q", "expect_answer": "1"},
+                              {"question": "q", "expect_answer": 0, "top_k": True}, {"question": "q", "expect_answer": 0, "top_k": 2.5}, {"question": "q", "expect_answer": 0, "tags": [["n"]]}, {"question": "q", "expect_answer": 0, "category": "c" * 81},
+                              {"question": "q", "expect_answer": 1, "expected_sources": ["one", "one "]}, {"question": "q" * 1001}]).encode(),
+        "b.csv": (header + '"x, ""y""",false,,,,,,k\n').encode("utf-8-sig"), "c.csv": "é".encode("latin-1"), "d.json": b"\xff", "e.json": b"[]", "f.json": json.dumps([{}] * 2001).encode(), "g.xlsx": b"no zip", "h.json": b"", "i" * 240 + ".json": b"[]", "j.json": b"x" * (5 << 20) + b"y", "k.CSV": header.encode(),
+    }
+    files_ = spark.createDataFrame([(f"file:/x/{p}", len(c), c) for p, c in contents.items()], "path string, length long, content binary")
+    summary, records = imports.records(files_)
+    assert {r.path[8:10]: r.problem for r in summary.collect()} == {"a.": None, "b.": None, "c.": "not_utf8", "d.": "not_utf8", "e.": "no_records", "f.": "too_many_rows", "g.": "invalid_xlsx", "h.": "empty", "ii": "name_too_long", "j.": "too_large", "k.": "no_records"}
+    good, bad = imports.cases(records, spark.createDataFrame([(1, "one"), (2, "two"), (3, "two"), (4, None)], "source_id int, source_name string"))
+    rows = {(r.path[8], r.row_number): r for r in good.collect()}
+    assert set(rows) == {("a", 2), ("a", 8), ("a", 15), ("b", 2)}
+    assert rows["a", 2].question == "a b" and rows["a", 2].expected_terms == ["x", "7"] and rows["a", 2].top_k == 5
+    assert rows["a", 8].top_k == 3 and rows["a", 8].tags == ["t", "u"] and rows["a", 8].category is None
+    assert rows["a", 15].expected_source_ids == ["1"] and rows["b", 2].question == 'x, "y"' and rows["b", 2].external_key == "k"
+    assert {(r.path[8], r.row_number): (r.field, r.problem) for r in bad.collect()} == {
+        ("a", 3): ("row", "no_object"), ("a", 4): ("question", "no_scalar"), ("a", 5): ("question", "missing"), ("a", 6): ("expect_answer", "missing"), ("a", 7): ("expect_answer", "no_boolean"), ("a", 9): ("expected_sources", "ambiguous"),
+        ("a", 10): ("expected_evidence", "missing"), ("a", 11): ("top_k", "out_of_bounds"), ("a", 12): ("top_k", "out_of_bounds"), ("a", 13): ("tags", "no_list"), ("a", 14): ("category", "too_long"), ("a", 16): ("question", "too_long"),
+    }
+    assert imports.records(files_.limit(0))[0].count() == 0
