@@ -605,6 +605,16 @@ def replaced_chunks(spark, sf):
     return retrieval.with_chunks(store, docs.where("doc_id % 3 = 0").select("doc_id", F.lit(0).alias("chunk_index"), F.lit("new").alias("digest")), "doc_id")
 
 
+@query("SELECT doc_id, CAST(chunk_index AS INT) AS chunk_index, digest FROM (SELECT doc_id, 0 AS chunk_index, 'new' AS digest FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, i, 'old' || i FROM documents, (VALUES (0), (1)) v(i) WHERE doc_id % 3 <> 0)")
+def replaced_store(spark, sf):
+    """A store on disk in which every third document gets one new chunk, twice."""
+    docs, path = table(spark, sf, "documents").select("doc_id"), new_path(spark, "store")
+    retrieval.replace_chunks(path, docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("chunk_index")).withColumn("digest", F.concat(F.lit("old"), "chunk_index")), "doc_id")
+    for _ in range(2):
+        retrieval.replace_chunks(path, docs.where("doc_id % 3 = 0").select("doc_id", F.lit(0).alias("chunk_index"), F.lit("new").alias("digest")), "doc_id")
+    return retrieval.stored_chunks(spark, path).select("doc_id", "chunk_index", "digest")
+
+
 #: Answers made of two words of a text, and what is left of them.
 _ANSWERS = [
     ("- **{a} {b}** and so [3] ,", "{a} {b} and so,"), ("**{a}**x{b} stays [2]", "**{a}**x{b} stays"), ("see **{a}** and `**{b}**` [0] [1, 2] .", "see {a} and `**{b}**` [0] [1, 2]."),
@@ -682,6 +692,18 @@ def document_texts(spark, sf):
     return files.texts_of(staged(made, "files")).select(F.regexp_extract("path", r"^\d+", 0).cast("long").alias("doc_id"), "text")
 
 
+@query("""WITH RECURSIVE r AS (SELECT o_custkey, o_orderkey, 20 + 40 * (o_orderkey % 4) + CASE WHEN o_orderkey % 37 = 0 THEN 1000 ELSE 0 END AS size, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+g AS (SELECT o_custkey, o_orderkey, n, size, CASE WHEN size <= 300 THEN 1 END AS batch, 1 AS current, (size <= 300)::INT AS held, CASE WHEN size <= 300 THEN size ELSE 0 END AS bytes FROM r WHERE n = 1
+UNION ALL SELECT r.o_custkey, r.o_orderkey, r.n, r.size, CASE WHEN r.size <= 300 THEN g.current + c.cut END, CASE WHEN r.size <= 300 THEN g.current + c.cut ELSE g.current END,
+  CASE WHEN r.size > 300 THEN g.held WHEN c.cut = 1 THEN 1 ELSE g.held + 1 END, CASE WHEN r.size > 300 THEN g.bytes WHEN c.cut = 1 THEN r.size ELSE g.bytes + r.size END
+  FROM g JOIN r ON r.o_custkey = g.o_custkey AND r.n = g.n + 1, LATERAL (SELECT (g.held > 0 AND (g.held >= 4 OR g.bytes + r.size > 300))::INT AS cut) c)
+SELECT o_custkey, o_orderkey, batch::BIGINT AS batch FROM g""")
+def flushed_batches(spark, sf):
+    """The orders of each customer in batches of at most four rows and 300 bytes; some rows are larger than that."""
+    orders = table(spark, sf, "orders").withColumn("size", 20 + 40 * (F.col("o_orderkey") % 4) + F.when(F.col("o_orderkey") % 37 == 0, 1000).otherwise(0))
+    return publication.flushed(orders, "o_custkey", "o_orderkey", "size", 4, 300)
+
+
 # imports
 
 _IMPORTED = """t AS (SELECT item_id % 7 AS f, item_id, text, item_id % 12 AS k, row_number() OVER (PARTITION BY item_id % 7 ORDER BY item_id) + 1 AS row_number FROM benchmark),

@@ -13,20 +13,21 @@ def folded(spark: SparkSession, source: str, schema, key: str, *order: str, root
     """Reads the Parquet files under source as a stream, all that is there, and folds them into the state of each key.
 
     The state is a stateful aggregate in the engine's own store, so a restart goes on where the checkpoint ends, also
-    when there is nothing new. Each micro-batch writes the whole state under its number; a batch that is run again
-    replaces its own.
+    when there is nothing new. Each micro-batch writes the keys that it has changed, under its number; a batch that is
+    run again replaces its own. The newest batch of a key has its state.
     """
     root = root or f"{shared_dir(spark)}/{new_path(spark, 'stream').rpartition('/')[2]}"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     state = current(stream, key, *order)
     step = lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/state/batch={number}")
-    query = state.writeStream.outputMode("complete").foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query = state.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/state")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    # folders by the number of their batch, of which the last has all
-    numbers = [int(f.getPath().getName().partition("=")[2]) for f in fs.listStatus(path)] if fs.exists(path) else []
-    return spark.read.schema(state.schema).parquet(f"{root}/state/batch={max(numbers)}") if numbers else spark.createDataFrame([], state.schema)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], state.schema)
+    changes = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in state.schema)}, batch long").parquet(f"{root}/state")
+    rest = [c for c in state.columns if c != key]
+    return changes.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("s")).select(key, "s.*")
 
 
 def assembled(deltas: DataFrame, key: str, place: str, text: str) -> DataFrame:
