@@ -49,6 +49,24 @@ def source_state(publications: DataFrame) -> DataFrame:
     return out.withColumn("state", state)
 
 
+def published_sources(datasets: DataFrame, publications: DataFrame) -> DataFrame:
+    """source_id, n_active and n_rows: the active publications (dataset_id, schema_version, status, row_count) of the
+    versions of datasets (dataset_id, schema_version, source_id) that there are; sources without any have zeros."""
+    active = publications.where("status = 'active'").groupBy("dataset_id", "schema_version").agg(F.count("*").alias("n"), F.sum("row_count").alias("rows"))
+    both = datasets.join(active, ["dataset_id", "schema_version"], "left")
+    return both.groupBy("source_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_active"), F.coalesce(F.sum("rows"), F.lit(0)).alias("n_rows"))
+
+
+def listed(header: DataFrame, parts: DataFrame, key: str, order: str, name: str = "parts") -> DataFrame:
+    """header with an array of the rows of parts that have its key, in order (equal places by the other columns); an
+    empty one where there are none. Parts without a header are left out."""
+    rest = [order, *[c for c in parts.columns if c not in (key, order)]]
+    # partly collected before the shuffle; a list is as long as its key's parts
+    lists = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name))
+    out = header.join(lists, key, "left")
+    return out.withColumn(name, F.when(F.col(name).isNotNull(), F.col(name)).otherwise(F.array().cast(out.schema[name].dataType)))
+
+
 def catalog(datasets: DataFrame, publications: DataFrame) -> DataFrame:
     """One row for each dataset: the version of its active publication, else the latest confirmed one; a dataset with
     several active publications has none."""

@@ -1037,6 +1037,33 @@ def job_state_stream(spark, sf):
     return events.folded(spark, path, log.schema, "job_id", "event_id").select("job_id", "status", "n_entries")
 
 
+@query("""WITH d AS (SELECT c_custkey AS dataset_id, v AS schema_version, c_nationkey AS source_id FROM customer, (VALUES (0), (1)) t(v))
+SELECT source_id, count(o_orderkey) AS n_active, CAST(coalesce(sum(o_orderkey % 100), 0) AS BIGINT) AS n_rows FROM d LEFT JOIN orders ON o_custkey = dataset_id AND o_orderkey % 3 = schema_version AND o_orderstatus = 'F' GROUP BY source_id""")
+def published_sources(spark, sf):
+    """Orders as publications of three versions of a dataset, of which two are there."""
+    datasets = table(spark, sf, "customer").select(F.col("c_custkey").alias("dataset_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("schema_version"), F.col("c_nationkey").alias("source_id"))
+    made = table(spark, sf, "orders").select(F.col("o_custkey").alias("dataset_id"), (F.col("o_orderkey") % 3).cast("int").alias("schema_version"), F.when(F.col("o_orderstatus") == "F", "active").otherwise("superseded").alias("status"), (F.col("o_orderkey") % 100).alias("row_count"))
+    return jobs.published_sources(datasets, made)
+
+
+@query("""SELECT o_orderkey, coalesce(string_agg(l_linenumber || ':' || l_returnflag || ':' || l_partkey, ' ' ORDER BY l_linenumber, l_partkey, l_returnflag), '') AS steps
+FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_orderkey % 5 > 0) ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def run_steps(spark, sf):
+    """Orders as runs with their lines as steps; a fifth has none."""
+    steps = table(spark, sf, "lineitem").where("l_orderkey % 5 > 0").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_returnflag")
+    runs = jobs.listed(table(spark, sf, "orders").select("o_orderkey"), steps, "o_orderkey", "l_linenumber")
+    return runs.select("o_orderkey", F.array_join(F.transform("parts", lambda x: F.concat_ws(":", x["l_linenumber"], x["l_returnflag"], x["l_partkey"])), " ").alias("steps"))
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) AS n, min(turn) AS first FROM conversations GROUP BY conv_id), g AS (SELECT DISTINCT n FROM c)
+SELECT n AS n_turns, (SELECT string_agg(conv_id::VARCHAR, ' ' ORDER BY conv_id) FROM c WHERE c.n = g.n) AS members FROM g""")
+def conversation_lists(spark, sf):
+    """Conversations in groups by their number of turns, with the members of each in order."""
+    convs = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"))
+    lists = jobs.listed(convs.select("n_turns").distinct(), convs, "n_turns", "conv_id")
+    return lists.select("n_turns", F.array_join(F.transform("parts", lambda x: x["conv_id"].cast("string")), " ").alias("members"))
+
+
 @query("SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) r FROM events) WHERE r = 1")
 def latest_status_per_key(spark, sf):
     return evaluation.latest(table(spark, sf, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id").select("user_id", "event_type", "value")
