@@ -131,7 +131,7 @@ def unique_names(names: Column) -> Column:
 def schema_hash(columns: Column) -> Column:
     """SHA-256 of the columns of a preview (array of structs aliases, data_type, display_name, original_name,
     physical_name, in this order) as compact JSON."""
-    return F.sha2(F.to_json(columns), 256)
+    return F.sha2(F.to_json(columns, {"ignoreNullFields": "false"}), 256)
 
 
 def safe_identifier(c: Column) -> Column:
@@ -141,9 +141,12 @@ def safe_identifier(c: Column) -> Column:
 
 
 def same_number(a: Column, b: Column) -> Column:
-    """Whether two texts or numbers are one number, whatever its form; two nulls are, a null and a number aren't."""
-    number = lambda c: c.cast("string").try_cast("decimal(38,18)")
-    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(F.coalesce(number(a) == number(b), a.cast("string") == b.cast("string")))
+    """Whether two texts or numbers are one number, whatever its form; two nulls are, a null and a number aren't.
+    Numbers have up to 18 places before 20 digits, 9 before 29 and none before 38; what is no such number is compared
+    as text."""
+    number = lambda c, scale: c.cast("string").try_cast(f"decimal(38,{scale})")
+    same = F.coalesce(*[number(a, scale) == number(b, scale) for scale in (18, 9, 0)], a.cast("string") == b.cast("string"))
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(same)
 
 
 def record_estimate(size: Column, kind: Column) -> Column:

@@ -77,8 +77,11 @@ def catalog(datasets: DataFrame, publications: DataFrame) -> DataFrame:
     return out.select("dataset_id", "source_id", F.coalesce(F.when(one, F.col("version")), F.col("latest")).alias("version"), F.coalesce(one, F.lit(False)).alias("published"), F.when(one, F.col("row_count")).alias("row_count"))
 
 
-def upserted(rows: DataFrame, changes: DataFrame, key: str, gone: DataFrame | None = None) -> DataFrame:
-    """The next snapshot of a control table: changes replace rows of their key or are added; keys in gone are left out."""
+def upserted(rows: DataFrame, changes: DataFrame, key: str, gone: DataFrame | None = None, order: str | None = None) -> DataFrame:
+    """The next snapshot of a control table: changes replace rows of their key or are added; keys in gone are left out.
+    Of several changes of a key the last in `order` stays (without it, and among equal places, the largest row)."""
+    row = F.struct(*[c for c in rows.columns if c != key])
+    changes = changes.groupBy(key).agg(F.max(F.struct(*([F.col(order).alias("_at")] if order else []), row.alias("r"))).alias("m")).select(key, "m.r.*")
     kept = rows.join(changes.select(key), key, "left_anti").select(*rows.columns).unionByName(changes.select(*rows.columns))
     return kept if gone is None else kept.join(gone.select(key), key, "left_anti").select(*rows.columns)
 

@@ -615,6 +615,51 @@ def replaced_store(spark, sf):
     return retrieval.stored_chunks(spark, path).select("doc_id", "chunk_index", "digest")
 
 
+@query("""SELECT c_custkey, sha256(to_json([{'aliases': CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE ['a' || c_custkey, '别名'] END, 'data_type': 'decimal', 'display_name': CASE WHEN c_custkey % 2 = 0 THEN c_name END, 'original_name': c_name, 'physical_name': 'c' || c_custkey}])::VARCHAR) AS digest FROM customer""")
+def schema_hashes(spark, sf):
+    """Digests of previews in which names and aliases may be missing."""
+    field = F.struct(
+        F.when(F.col("c_custkey") % 3 > 0, F.array(F.concat(F.lit("a"), "c_custkey"), F.lit("别名"))).alias("aliases"), F.lit("decimal").alias("data_type"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("display_name"),
+        F.col("c_name").alias("original_name"), F.concat(F.lit("c"), "c_custkey").alias("physical_name"),
+    )
+    return table(spark, sf, "customer").select("c_custkey", vx.schema_hash(F.array(field)).alias("digest"))
+
+
+_GROUPED = ["票据", "合同条款", "风险 预警", "no group", "收款审批"]
+
+
+@query(f"""WITH q0 AS (SELECT doc_id, lower(trim(t)) AS low, lower(regexp_replace(t, '\\s+', '', 'g')) AS compact, doc_id % 5 AS k FROM (SELECT doc_id, coalesce(regexp_extract(text, '[A-Za-z ]+'), '') || ' ' || ['{"', '".join(_GROUPED)}'][doc_id % 5 + 1] AS t FROM documents)),
+r AS (SELECT doc_id, k, list_concat(regexp_extract_all(low, '[a-z0-9_]{{2,}}'), list_filter(list_transform(range(1, length(compact)), lambda i: substr(compact, i, 2)), lambda g: strlen(g) > length(g))) AS raw FROM q0),
+g(k, more) AS (VALUES (0, {tx.GROUPS[2]}), (1, {tx.GROUPS[4]}), (2, {tx.GROUPS[1]}), (3, []::VARCHAR[]), (4, {tx.GROUPS[0]} || {tx.GROUPS[3]}))
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(raw, more))), ' ') AS embedded, array_to_string(list_sort(list_filter(list_distinct(list_concat(raw, more)), lambda t: NOT list_contains({tx.STOP_TERMS}, t))), ' ') AS searched FROM r JOIN g USING (k)""")
+def grouped_terms(spark, sf):
+    """Terms of texts that hold members of synonym groups, for embeddings and for searches."""
+    text = F.concat(F.regexp_extract("text", "[A-Za-z ]+", 0), F.lit(" "), F.element_at(F.array(*map(F.lit, _GROUPED)), (F.col("doc_id") % 5 + 1).cast("int")))
+    docs = table(spark, sf, "documents").select("doc_id", text.alias("t"))
+    told = lambda terms: F.array_join(F.array_sort(terms), " ")
+    return docs.select("doc_id", told(tx.embedding_terms(F.col("t"))).alias("embedded"), told(tx.search_terms(F.col("t"))).alias("searched"))
+
+
+@query("SELECT job_id FROM (SELECT user_id AS job_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) r FROM events) WHERE r = 1 AND user_id NOT IN (1, 2, 5)) ORDER BY value NULLS FIRST, job_id LIMIT 10")
+def job_claim_others(spark, sf):
+    """The next jobs to claim, three of them left out."""
+    state = jobs.current(table(spark, sf, "events").select(F.col("user_id").alias("job_id"), "event_id", F.col("value").alias("retry_at")), "job_id", "event_id")
+    queued = state.withColumns({"status": F.lit("queued"), "lease_until": F.lit(None).cast("double")})
+    return jobs.next_claims(queued, F.lit(0.0), 10, [1, 2, 5]).select("job_id")
+
+
+@query(r"""SELECT doc_id, CASE WHEN regexp_full_match(text, '[\x00-\x7F]*') AND doc_id % 3 < 2 THEN 'utf-8' WHEN doc_id % 3 = 0 THEN 'utf-8' WHEN doc_id % 3 = 1 THEN 'gb18030' ELSE 'utf-8-sig' END AS encoding, sha256(text) AS digest FROM documents""")
+def encoded_texts(spark, sf):
+    """Texts in UTF-8 without and with a mark and in GB18030: the encoding that their first bytes show, and their text."""
+
+    @F.pandas_udf("binary")
+    def written(text, kind):
+        return text.combine(kind, lambda t, k: t.encode(("utf-8", "gb18030", "utf-8-sig")[k]))
+
+    docs = table(spark, sf, "documents").select("doc_id", written("text", F.col("doc_id") % 3).alias("content"))
+    return docs.select("doc_id", files.probed("content").alias("encoding"), F.sha2(files.decoded("content"), 256).alias("digest"))
+
+
 #: Answers made of two words of a text, and what is left of them.
 _ANSWERS = [
     ("- **{a} {b}** and so [3] ,", "{a} {b} and so,"), ("**{a}**x{b} stays [2]", "**{a}**x{b} stays"), ("see **{a}** and `**{b}**` [0] [1, 2] .", "see {a} and `**{b}**` [0] [1, 2]."),

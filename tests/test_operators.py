@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyroom import queries as registered
 from tallyroom.functions import text as tx
+from tallyroom.functions import values as vx
 from tallyroom.operators import cases, evaluation, gates, governed, jobs, publication, retrieval, spans
 from tallyroom.operators.governed import Dataset, Field, Refused
 from tallyroom.plans import catalogs, questions
@@ -271,3 +272,31 @@ def test_names_found_in_texts(spark):
     assert sorted((r["i"], r["start"], r["name"]) for r in got.collect()) == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_control_rows_and_numbers(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    changes = spark.createDataFrame([("old", 1, 2), ("new", 1, 3), ("zzz", 1, 1), ("c", 3, 0)], "v string, k int, at int")
+    got = jobs.upserted(rows, changes, "k", order="at")
+    assert sorted(map(tuple, got.collect())) == [(1, "new"), (2, "b"), (3, "c")]
+    assert sorted(map(tuple, jobs.upserted(rows, changes, "k", rows.where("k = 2")).collect())) == [(1, "zzz"), (3, "c")]
+    pairs = [("1e25", "1" + "0" * 25, True), ("1e25", "1" + "0" * 24 + "1", False), ("1.50", "1.5", True), ("x", "x", True), ("x", "1", False), (None, "1", False), (None, None, True), ("1" * 35, "1" * 35 + ".0", True)]
+    df = spark.createDataFrame(pairs, "a string, b string, same boolean")
+    assert df.where(vx.same_number(F.col("a"), F.col("b")) != F.col("same")).count() == 0
+    header, parts = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 2, "a"), (9, 1, "z")], "k int, at int, v string")
+    assert {r.k: [(p.at, p.v) for p in r.parts] for r in jobs.listed(header, parts, "k", "at").collect()} == {1: [(1, "a"), (2, "a"), (2, "b")], 2: []}
+
+
+def test_flushed_batches_and_stores(spark, tmp_path):
+    sizes = [10, 10, 90, 200, 5, 5, 5, 5, None, 100, 1]
+    rows = spark.createDataFrame([(d, i, s) for d in ("a", None) for i, s in enumerate(sizes)], "d string, i int, s int")
+    got = publication.flushed(rows, "d", "i", "s", 4, 100)
+    assert [r.batch for r in got.where("d = 'a'").orderBy("i").collect()] == [1, 1, 2, None, 2, 2, 3, 3, 3, 4, 5] == [r.batch for r in got.where("d IS NULL").orderBy("i").collect()]
+    store = f"file://{tmp_path}/store"
+    first = spark.createDataFrame([(i, n, f"{i}.{n}") for i in range(20) for n in range(2)], "source_id int, chunk_index int, chunk string")
+    retrieval.replace_chunks(store, first, buckets=3)
+    new = spark.createDataFrame([(4, 0, "new"), (99, 0, "other")], first.schema)
+    for _ in range(2):
+        retrieval.replace_chunks(store, new, buckets=3)
+        want = [tuple(r) for r in first.where("source_id <> 4").union(new).collect()]
+        assert sorted(tuple(r) for r in retrieval.stored_chunks(spark, store).select(first.columns).collect()) == sorted(want)
