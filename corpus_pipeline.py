@@ -19,7 +19,7 @@ from tallyroom.tables import staged, table
 
 #: Documents that go to a Python worker at once: with the default of 10,000 a batch of long texts takes tens of MB in the
 #: JVM and again in each worker.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
 
 
 @contextmanager
