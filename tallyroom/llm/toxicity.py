@@ -100,13 +100,19 @@ class Kernel:
         near = np.flatnonzero(on > FLOOR**2 * np.maximum(whole, 1e-9))
         place = np.full(n, -1)
         place[near] = np.arange(len(near))
-        out = np.zeros((len(near), self.weights.shape[1]), np.float32)
+        # a triple is in few of the landmarks: only those entries of its row are summed
+        line, column = np.nonzero(self.weights)
+        held = np.bincount(line, minlength=len(self.weights))
+        begin = np.cumsum(held) - held
+        flat, value = [np.zeros(0, np.int64)], [np.zeros(0)]
         for own, row, weight in hits:
             at = np.flatnonzero(place[own] >= 0)
-            at = at[np.argsort(own[at], kind="stable")]
-            if len(at):
-                first = np.flatnonzero(np.diff(own[at], prepend=-1))
-                out[place[own[at[first]]]] += np.add.reduceat(self.weights[row[at]] * np.float32(weight), first)
+            n = held[row[at]]
+            entry = np.repeat(begin[row[at]] - (np.cumsum(n) - n), n)
+            entry += np.arange(len(entry))
+            flat.append(np.repeat(place[own[at]], n) * self.weights.shape[1] + column[entry])
+            value.append(self.weights[line[entry], column[entry]] * weight)
+        out = np.bincount(np.concatenate(flat), np.concatenate(value), len(near) * self.weights.shape[1]).reshape(len(near), -1).astype(np.float32)
         out /= np.sqrt(np.maximum(whole[near], 1e-9))[:, None].astype(np.float32)
         out[out < FLOOR] = 0
         return near, np.minimum(out, 1)
