@@ -112,7 +112,7 @@ class Kernel:
             entry += np.arange(len(entry))
             flat.append(np.repeat(place[own[at]], n) * self.weights.shape[1] + column[entry])
             value.append(self.weights[line[entry], column[entry]] * weight)
-        out = np.bincount(np.concatenate(flat), np.concatenate(value), len(near) * self.weights.shape[1]).reshape(len(near), -1).astype(np.float32)
+        out = np.bincount(np.concatenate(flat), np.concatenate(value), len(near) * self.weights.shape[1]).reshape(len(near), self.weights.shape[1]).astype(np.float32)
         out /= np.sqrt(np.maximum(whole[near], 1e-9))[:, None].astype(np.float32)
         out[out < FLOOR] = 0
         return near, np.minimum(out, 1)
