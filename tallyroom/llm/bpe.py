@@ -280,7 +280,8 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text.
 
     A null or empty text has no tokens (digests of the empty string). Repeated rows give repeated rows; other columns
-    are ignored. The tokenizer file is read on the driver and sent once to each executor; its size is the vocabulary's.
+    are ignored; an empty table gives no rows. A text of any length is encoded whole, its pieces SLICE at a time. The
+    tokenizer file is read on the driver and sent once to each executor; its size is the vocabulary's.
     """
     with open(path, encoding="utf-8") as f:
         file = docs.sparkSession.sparkContext.broadcast(f.read())

@@ -96,7 +96,8 @@ def stripped(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept of every row, with found as from FingerprintIndex.add.
 
     A null or empty text has no words (the digest of the empty string); rows without doc_id keep all words; repeated
-    rows are one document and give as many equal rows; other columns are ignored.
+    rows are one document and give as many equal rows; other columns are ignored; an empty table gives no rows. A text
+    of any length is read whole, and what is kept of it is one value.
     """
 
     def run(batches):

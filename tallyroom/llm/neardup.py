@@ -167,7 +167,7 @@ def linked(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     A null or empty text has an empty set and is linked with nothing; a null doc_id is linked with nothing, has no
     component and is kept. Repeated rows of one doc_id are one document of the class of their text. Other columns are
-    ignored.
+    ignored; an empty table gives no rows. The set of a text of any length is whole; one text must fit a task.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     every = staged(sketches(texts, shingle), "sketches")

@@ -47,7 +47,8 @@ def formatted(pairs: DataFrame) -> DataFrame:
 
     Returns chosen_id, rejected_id, n_prompt_turns, prompt, chosen, rejected, chosen_loss, rejected_loss. Turns are
     equal if role and text are; turn numbers play no part. Equal conversations give two empty completions, and
-    conversations without a common turn an empty prompt.
+    conversations without a common turn an empty prompt. Repeated pairs give repeated rows, an empty table none; other
+    columns are ignored. Texts are rendered whole; a conversation must fit a row.
     """
     same = F.zip_with("chosen", "rejected", lambda a, b: F.coalesce((a["role"] == b["role"]) & (a["text"] == b["text"]), F.lit(False)))
     # zip_with pads the shorter side with null, so the first false is where the prefix ends
@@ -64,7 +65,8 @@ def formatted(pairs: DataFrame) -> DataFrame:
 def paired_by_opening(turns: DataFrame) -> DataFrame:
     """Pairs for tables that don't name any: of the conversations that open with the same turn, the one with the
     smallest conv_id is chosen and each other is a rejected one; a conversation alone in its opening is paired with
-    the empty conversation (rejected_id null). So the rows grow with the conversations, never with their square.
+    the empty conversation (rejected_id null). So the rows grow with the conversations, never with their square. An
+    opening is told by a digest of its role and text; other columns are ignored, an empty table gives no rows.
     """
     convs = gathered(turns).withColumn("opening", F.sha2(F.concat_ws("\x1f", F.col("turns")[0]["role"], F.col("turns")[0]["text"]), 256))
     convs = staged(convs, "conversations")

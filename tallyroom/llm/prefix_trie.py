@@ -131,7 +131,8 @@ class Shard:
         if not self.paths:
             return
         split = [[p[i : i + _D] for i in range(0, len(p), _D)] for p in self.paths]
-        numbers = {d: i for i, d in enumerate({d for turns in split for d in turns})}
+        # in the order of the digests, as the sequences are: the middle one divides the others
+        numbers = {d: i for i, d in enumerate(sorted({d for turns in split for d in turns}))}
         tree, nodes = Tree(), [0] * len(split)
         for i in _medians(len(split)):
             nodes[i] = tree.insert([numbers[d] for d in split[i]])

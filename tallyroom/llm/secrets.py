@@ -173,7 +173,8 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs, all rows and columns, with every span of `text` replaced by `mark` (touching or overlapping spans by one).
 
     Where there is n_chars, it follows the new text. Texts without spans stay as they are, null and empty ones too.
-    Repeated rows stay repeated; an empty table stays empty; other columns may have any name, with dots too.
+    Repeated rows stay repeated; an empty table stays empty; other columns may have any name, with dots too. Long texts
+    with many spans take about linear time.
     """
     out = with_spans(docs).select("row", "t", "every")
     starts, stops = _united(F.col("every"))

@@ -133,7 +133,8 @@ def stripped(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary) of every row.
 
     A null or empty text has no bytes (the digest of nothing); rows without doc_id repeat nothing and nothing repeats
-    them; repeated rows are one document and give as many equal rows; other columns are ignored.
+    them; repeated rows are one document and give as many equal rows; other columns are ignored; an empty table gives no
+    rows. A text of any length is read whole, and what is kept of it is one value.
     """
     docs = plain(docs)
     known = stored(docs)

@@ -286,7 +286,8 @@ def scored(docs: DataFrame, machine: Machine | float, keep: list[str] | None = N
     """doc_id, held_out, score and predicted of every row, or with `keep` those columns and the score (named
     score, or by a free name where there is such a column).
 
-    A null or empty text is scored as one without words; repeated rows are scored alike; a null doc_id is not held out.
+    A null or empty text is scored as one without words; repeated rows are scored alike; a null doc_id is not held out;
+    an empty table gives no rows. A text of any length is read whole, by itself where it is longer than a chunk.
     """
     out = docs.select(*map(quoted, keep or ["doc_id"]), *([] if keep and "text" in keep else ["text"]))
     texts = out.columns.index("text")

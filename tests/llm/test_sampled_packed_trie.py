@@ -245,3 +245,13 @@ def test_search_trees(paths):
             back.append(tree.turn[node])
             node = tree.parent[node]
         assert tuple(back[::-1]) == p
+
+
+def test_texts_beyond_a_chunk(spark, both):
+    """Read whole, and packed across the blocks that their ids are laid in."""
+    docs = [(1, "Some words of one sentence. " * 60_000), (2, "short"), (3, "x" * 1_200_000 + " end")]
+    df = frame(spark, docs)
+    got = resampling.resampled(df, df.where("doc_id = 2"), 100, least_words=1)
+    assert sorted(map(tuple, got.collect()), key=repr) == drawn(docs, ["short"], 100, 1)
+    rows = packing.packed(df.where("doc_id < 3").coalesce(1), PATH).collect()
+    assert check_packed(rows, docs[:2], both[1]) < 0.01 and max(r.doc_tokens for r in rows) == 360_001 > packing.BLOCK
