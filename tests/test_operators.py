@@ -126,6 +126,26 @@ def test_postings_and_products_against_all_pairs(spark):
     assert retrieval.keyword_hits(none, chunks).count() == retrieval.hybrid_hits(none, chunks).count() == retrieval.hybrid_hits(questions_, chunks.limit(0)).count() == 0
 
 
+def test_best_hits_are_those_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["the", "other", "ration", "at", "票据", "审批单", "ñez", "x_1", "差旅"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    vector = lambda: rng.choice([None, [1.0, 0.0], [0.6, 0.8], [0.6, None], [-1.0, 0.1]])
+    docs = [(i, rng.choice((None, "s1", "s2")), "t", i % 3, rng.choice((text(5), text(2), "", None)), vector()) for i in range(150)]
+    chunks = spark.createDataFrame(docs, "source_id long, source_name string, source_type string, chunk_index int, chunk string, vector array<float>").repartition(3)
+    asked = spark.createDataFrame([(i, rng.choice((text(2), text(4), "审批单 the", "", None)), vector()) for i in range(12)], "q_id long, question string, asked array<float>")
+    monkeypatch.setattr(retrieval, "SCORED_ROWS", 7)
+    key = lambda df, score: sorted((r["q_id"], r["rank"], r["source_id"], r["chunk_index"], round(r[score], 9)) for r in df.collect())
+    assert key(retrieval.keyword_hits(asked, chunks, 4), "keyword_score") == key(retrieval.ranked(retrieval.keyword_hits(asked, chunks), 4, "keyword_score"), "keyword_score")
+    assert key(retrieval.hybrid_hits(asked, chunks, limit=4), "score") == key(retrieval.ranked(retrieval.hybrid_hits(asked, chunks), 4), "score")
+    # of 150 copies of a text a task hands on no more than the limit
+    copies = retrieval.hay_of(spark.createDataFrame([(i, "s", "t", 0, "the other") for i in range(150)], "source_id long, source_name string, source_type string, chunk_index int, chunk string").coalesce(1))
+    best = retrieval.scored_pairs(asked.limit(1).withColumn("question", F.lit("other")), copies, limit=4)
+    assert sorted((r["rank"], r["keyword_score"]) for r in best.collect()) == [(i, 11) for i in (1, 2, 3, 4)]
+    plan = best._jdf.queryExecution().executedPlan()
+    assert "Join" not in plan.toString() and [r["_id"] for r in best.orderBy("rank").collect()] == [r["_id"] for r in copies.orderBy("source_id").limit(4).collect()]
+
+
 def test_evaluation_fixture(spark):
     runs = spark.createDataFrame([
         ("a", True, True, False, ["x", "y"], ["t"], ["y"], [], 0.5, 1.0, 3.0, "passed"), ("b", True, False, False, ["x"], ["t"], ["x"], ["t"], 0.5, 0.0, 1.0, "failed"), ("c", False, True, True, [], [], [], [], 1.0, 1.0, 2.0, "failed"),
