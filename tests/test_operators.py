@@ -224,6 +224,14 @@ def duck():
     return con
 
 
+def test_workbooks_do_not_grow_with_the_table(spark, tmp_path):
+    spark.range(0, 200_000, 400).selectExpr("id AS o_orderkey", "id % 3 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(3).selectExpr("id AS c_custkey", "4 AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    assert registered._formula_books(spark, str(tmp_path)).count() == 200_000 // registered.BOOK_KEYS
+    got = registered.uncached_formula_rows(spark, str(tmp_path)).collect()
+    assert sorted((r["nation"], r["order_key"], r["customer"]) for r in got) == [(4, k, str(k % 3)) for k in range(0, 200_000, 400)]
+
+
 def plain(v):
     return round(v, 9) if isinstance(v, float) else v if isinstance(v, (int, str, type(None))) else str(v)
 
