@@ -43,6 +43,14 @@ def test_conversion(spark):
     assert column(spark, [" keep "], lambda c: vx.converted(c, "string")) == [" keep "]
 
 
+def test_short_ways_to_a_decimal(spark):
+    texts = ["1.0000000005", "1.0000000015", "-1.0000000015", "-0.0000000005", "+7", "007.10", "1.00000000050000000001", "9" * 29, "9" * 29 + ".999999999", "9" * 17 + ".99999999950000000000", "0.1234567885"]
+    number = vx.decimal_38_9(F.col("t"))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(number.alias("a"), vx._from_digits(F.col("t")).alias("b"))
+    assert [r["a"] for r in df.collect()] == [r["b"] for r in df.collect()]
+    assert None not in [r["a"] for r in df.collect()]
+
+
 def test_names(spark):
     assert column(spark, ["Order Amount!", "2024 sales", "金额", "__a__"], lambda c: vx.physical_name(c, F.lit(3))) == ["order_amount", "col_2024_sales", "column_3", "a"]
 
