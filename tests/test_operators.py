@@ -302,6 +302,21 @@ def test_names_found_in_texts(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_parts_that_no_name_has_stay_in_their_task(spark):
+    """Of 300 texts of 40 characters only the parts that names are found by leave the tasks, not all of their 60,000."""
+    rng = random.Random(5)
+    drawn = lambda n, letters: "".join(rng.choices(letters, k=n))
+    names = sorted({drawn(rng.randint(1, 30), "xyz日𝄞") for _ in range(80)})
+    texts = [drawn(40, "abcdefgh") if i % 3 else drawn(10, "xyz日𝄞") + rng.choice(names) + "a" for i in range(300)]
+    asked, held = spark.createDataFrame(list(enumerate(texts)), "i int, text string"), spark.createDataFrame([(n,) for n in names], "name string")
+    want = sorted((i, at, n) for i, t in enumerate(texts) for n in names for at in range(len(t)) if t.startswith(n, at))
+    assert sorted((r["i"], r["start"], r["name"]) for r in spans.found(asked, held, "i").collect()) == want
+    own = spans.placed(held).collect()
+    assert sorted(r["name"] for r in own) == names and all(len(r["name"]) >= r["_at"] + r["_size"] for r in own)
+    left = spans.cut(asked, spans.placed(held), "i")
+    assert left.where("i % 3 > 0").count() < 20 and left.count() < 10_000
+
+
 def test_control_rows_and_numbers(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     changes = spark.createDataFrame([("old", 1, 2), ("new", 1, 3), ("zzz", 1, 1), ("c", 3, 0)], "v string, k int, at int")
