@@ -317,6 +317,16 @@ def test_parts_that_no_name_has_stay_in_their_task(spark):
     assert left.where("i % 3 > 0").count() < 20 and left.count() < 10_000
 
 
+def test_candidates_are_joined_last(spark):
+    """Lists of a worksheet's datasets aren't shuffled with questions, and questions without a dataset don't meet in one task."""
+    datasets = spark.createDataFrame([(f"ds-{i}", f"file{i}.csv", "shared sheet", i % 2 == 0) for i in range(10, 30)], "dataset_id string, source_name string, worksheet string, published boolean")
+    asked = spark.createDataFrame([(0, "shared sheet合计"), (1, "file12合计"), (2, "ds-13合计"), (3, "ds-12和file14合计"), (4, "合计"), (5, "ds-12和file12.csv合计")], "q_id int, question string")
+    out = catalogs.chosen(asked, datasets, spark.createDataFrame(*FIELDS))
+    rows = {r["q_id"]: (r["reason"], r["dataset_id"], len(r["candidates"])) for r in out.collect()}
+    assert rows == {0: ("several_datasets", None, 20), 1: (None, "ds-12", 0), 2: ("not_published", None, 0), 3: ("several_datasets", None, 2), 4: ("dataset_not_named", None, 0), 5: (None, "ds-12", 0)}
+    assert "hashpartitioning(dataset_id" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_control_rows_and_numbers(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     changes = spark.createDataFrame([("old", 1, 2), ("new", 1, 3), ("zzz", 1, 1), ("c", 3, 0)], "v string, k int, at int")
