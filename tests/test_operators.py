@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from tallyroom.functions import values as vx
 from tallyroom.operators import cases, evaluation, gates, governed, jobs, publication, retrieval, spans
 from tallyroom.operators.governed import Dataset, Field, Refused
 from tallyroom.plans import catalogs, questions
+from tallyroom.sources import files
 from tallyroom.streaming import events
 
 SF = "/root/testdata/sf0.001"
@@ -327,6 +329,16 @@ def test_candidates_are_joined_last(spark):
     assert "hashpartitioning(dataset_id" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_texts_of_bytes_by_slices(spark):
+    """More files than a slice, some null (an error before), as texts and encodings in their order."""
+    texts = [None if i % 7 == 0 else f"{i} 中文" if i % 2 else f"{i}" for i in range(3 * files.SLICE + 5)]
+    raw = [None if t is None else t.encode("gb18030" if i % 3 else "utf-8-sig") for i, t in enumerate(texts)]
+    rows = spark.createDataFrame(list(enumerate(raw)), "i int, b binary").coalesce(1).select("i", files.decoded("b").alias("t"), files.probed("b").alias("e"), files.csv_text("b").alias("c")).orderBy("i").collect()
+    assert [r["t"] for r in rows] == [r["c"] for r in rows] == texts
+    assert [r["e"] for r in rows] == [None if b is None else files.encoding_of(b) for b in raw]
+    assert files.each(len, pa.int64(), pa.array([], pa.string())).to_pylist() == []
+
+
 def test_control_rows_and_numbers(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     changes = spark.createDataFrame([("old", 1, 2), ("new", 1, 3), ("zzz", 1, 1), ("c", 3, 0)], "v string, k int, at int")
