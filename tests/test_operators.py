@@ -339,6 +339,33 @@ def test_texts_of_bytes_by_slices(spark):
     assert files.each(len, pa.int64(), pa.array([], pa.string())).to_pylist() == []
 
 
+def test_drift_by_one_join(spark):
+    """Headers drawn at random against the rules, one by one; a dataset's header and columns meet in one join."""
+    rng, heads, columns = random.Random(3), [], []
+    for i in range(60):
+        heads.append((i, [rng.choice(["a", "A ", "b", "x y", "", None, "c"]) for _ in range(rng.randint(0, 5))]))
+        columns += [(i + 5, n, rng.choice(["a", "A", "b", "x y", "", None, "q"])) for n in rng.sample(["a", "b", "a_2", "x_y", "column_1", "zz"], rng.randint(0, 4))]
+    headers, confirmed = spark.createDataFrame(heads, "dataset_id int, headers array<string>"), spark.createDataFrame(columns, "dataset_id int, physical_name string, original_name string")
+    names = {r[0]: r[1] for r in headers.select("dataset_id", vx.unique_names(F.col("headers"))).collect()}
+    want = set()
+    for i in range(65):
+        cells = [(at, n, (o or "").strip()) for at, (n, o) in enumerate(zip(names.get(i, []), dict(heads).get(i, []), strict=True))]
+        own = {n: o for d, n, o in columns if d == i}
+        matched = {n: at for n in own for at, c, _ in cells if c == n}
+        free = [(at, o) for at, _, o in cells if at not in matched.values()]
+        taken = {}
+        for n in sorted(set(own) - set(matched)):
+            at = [at for at, o in free if o == own[n]]
+            if len(at) == 1 and at[0] not in taken.values():
+                taken[n] = at[0]
+        matched |= taken
+        want |= {(i, n, at, "matched") for n, at in matched.items()} | {(i, n, None, "missing") for n in set(own) - set(matched)}
+        want |= {(i, c, at, "unexpected") for at, c, _ in cells if at not in matched.values()}
+    out = publication.drifted(headers, confirmed)
+    assert {tuple(r) for r in out.collect()} == want and out.count() == len(want)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_control_rows_and_numbers(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     changes = spark.createDataFrame([("old", 1, 2), ("new", 1, 3), ("zzz", 1, 1), ("c", 3, 0)], "v string, k int, at int")
