@@ -3,6 +3,7 @@
 import hashlib
 import io
 import json
+import random
 import re
 import zipfile
 from decimal import ROUND_HALF_EVEN, Decimal, localcontext
@@ -23,6 +24,22 @@ def column(spark, values, f, kind="string"):
     return [r.r for r in sorted(rows)]
 
 
+def test_white_space_as_by_patterns(spark):
+    rng = random.Random(4)
+    signs = ["\x00", "\r", "\n", " ", "\t", "a", "é", "　", "\r\n", "\x85", "\u2029", "\x0b", "\x1c", "票", " " * 9, "\n\n"]
+    cells = [chr(i) + "a" + chr(i) for i in range(1, 0x3100)] + ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(3000)]
+
+    def by_patterns(c):
+        for pattern, by in (("\x00", ""), ("\r\n?", "\n"), ("[ \t]+", " "), ("\n{3,}", "\n\n")):
+            c = F.regexp_replace(c, pattern, by)
+        return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+    assert column(spark, cells, tx.normalised) == column(spark, cells, by_patterns)
+    assert column(spark, cells, vx.stripped) == column(spark, cells, lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    # a text without anything to replace meets no pattern for its blanks
+    assert "regexp_replace" not in str(vx.stripped(F.col("c")))
+
+
 def test_types(spark):
     cells = [" 12 ", "-1", "1.5", ".5", "1e3", "2024-02-29", "2023-02-29", "2024-1-2", "2024-01-02T03:04:05", "2024-01-02 03:04", "2024-01-02T03:04:05Z", "TRUE", "false", "yes", "", None, "　", "x"]
     assert column(spark, cells, vx.value_type) == ["integer", "integer", "decimal", "decimal", "decimal", "date", "string", "string", "datetime", "datetime", "datetime", "boolean", "boolean", "string", None, None, None, "string"]

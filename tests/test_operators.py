@@ -148,6 +148,35 @@ def test_best_hits_are_those_of_all_pairs(spark, monkeypatch):
     assert "Join" not in plan.toString() and [r["_id"] for r in best.orderBy("rank").collect()] == [r["_id"] for r in copies.orderBy("source_id").limit(4).collect()]
 
 
+def test_best_hits_write_no_chunks(spark, monkeypatch):
+    names, written = [], retrieval.staged
+    monkeypatch.setattr(retrieval, "staged", lambda df, name: (names.append(name), written(df, name))[1])
+    chunks = spark.createDataFrame([(i, f"s{i % 3}", "t", 0, f"the other {i}") for i in range(40)], "source_id long, source_name string, source_type string, chunk_index int, chunk string").repartition(3)
+    asked = spark.createDataFrame([(1, "other"), (2, "the 7"), (3, "none of it")], "q_id long, question string")
+    for hits in (retrieval.keyword_hits(asked, chunks, 4), retrieval.hybrid_hits(asked, chunks, limit=4)):
+        assert all(r["chunk"] == f"the other {r['source_id']}" and r["source_name"] == f"s{r['source_id'] % 3}" for r in hits.collect())
+    assert "pairs" in names and "chunks" not in names
+    # several blocks of questions read what is written once
+    monkeypatch.setattr(retrieval, "MATRIX_ROWS", 1)
+    again = retrieval.keyword_hits(asked, chunks, 4)
+    assert names.count("chunks") == 1 and {r["q_id"] for r in again.collect()} == {1, 2}
+
+
+def test_terms_of_texts():
+    rng = random.Random(3)
+    part = lambda n: "".join(rng.choice("ab_7é票 -") for _ in range(n))
+    terms = [t for t in {"".join(rng.choice("ab_7") for _ in range(rng.choice((2, 3, 4, 7)))) for _ in range(90)} | {"票é", "é票é"}]
+    texts = ["", *[part(rng.randrange(60)) for _ in range(80)], "", "ab", "a"]
+    index = retrieval.TermIndex([terms[::2], [], terms[1::2], terms], ["ab", None, "", "a7"])
+    for marked in (1 << 23, 0):
+        index.MARKED = marked
+        for begin in (0, 5):
+            rows, ids = index.held(pa.array(texts)[begin:])
+            got = sorted((i, index.names[t]) for i, t in zip(rows.tolist(), ids.tolist(), strict=True))
+            assert got == sorted((i, t) for i, text in enumerate(texts[begin:]) for t in terms if t in text)
+    assert retrieval.TermIndex([["ab"], ["abc"]], ["ab", "abc"]).scores(pa.array(["xabcx", "a", "ab c"])).tolist() == [[10, 11], [0, 0], [10, 0]]
+
+
 def test_evaluation_fixture(spark):
     runs = spark.createDataFrame([
         ("a", True, True, False, ["x", "y"], ["t"], ["y"], [], 0.5, 1.0, 3.0, "passed"), ("b", True, False, False, ["x"], ["t"], ["x"], ["t"], 0.5, 0.0, 1.0, "failed"), ("c", False, True, True, [], [], [], [], 1.0, 1.0, 2.0, "failed"),
