@@ -395,6 +395,18 @@ def test_drift_by_one_join(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
 
 
+def test_places_of_columns_are_not_broadcast(spark):
+    """Places of columns take little room on disk and much in memory; their size on disk doesn't send them to every task."""
+    rows = spark.createDataFrame([(i, 2, [f"a{i}", f"b{i}"]) for i in range(6)], "dataset_id int, row_number int, cells array<string>")
+    headers = spark.createDataFrame([(i, ["x", "y"] if i % 2 else ["y", "x"]) for i in range(5)], "dataset_id int, headers array<string>")
+    confirmed = spark.createDataFrame([(i, n, n) for i in range(5) for n in (("x", "y", "z") if i == 4 else ("x", "y"))], "dataset_id int, physical_name string, original_name string")
+    fields, bad = publication.projected(rows, headers, confirmed)
+    got = {r["dataset_id"]: r["fields"] for r in fields.collect()}
+    assert got == {i: {"x": f"{'ba'[i % 2]}{i}", "y": f"{'ab'[i % 2]}{i}"} for i in range(4)}
+    assert [(r["dataset_id"], r["missing"]) for r in bad.collect()] == [(4, ["z"])]
+    assert "Broadcast" not in fields._jdf.queryExecution().executedPlan().toString()
+
+
 def test_control_rows_and_numbers(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     changes = spark.createDataFrame([("old", 1, 2), ("new", 1, 3), ("zzz", 1, 1), ("c", 3, 0)], "v string, k int, at int")
