@@ -13,7 +13,7 @@ from tallyroom.functions import values as vx
 from tallyroom.operators import cases, evaluation, gates, governed, jobs, publication, retrieval, spans
 from tallyroom.operators.governed import Dataset, Field, Refused
 from tallyroom.plans import catalogs, questions
-from tallyroom.sources import files
+from tallyroom.sources import files, office
 from tallyroom.streaming import events
 
 SF = "/root/testdata/sf0.001"
@@ -263,6 +263,32 @@ def test_workbooks_do_not_grow_with_the_table(spark, tmp_path):
     assert sorted((r["nation"], r["order_key"], r["customer"]) for r in got) == [(4, k, str(k % 3)) for k in range(0, 200_000, 400)]
 
 
+def test_refused_rows_show_by_themselves(spark):
+    """Rows without a number of their own (0) aren't refused for one another, and none is shuffled."""
+    rows = [("a", "s", 0, ["1", None], [None, "=B1"], None), ("a", "s", 0, [None, "x"], ["=A1", None], None), ("a", "s", 1, ["2"], ["=A2"], None), ("a", "s", 2, [None], [None], None), ("b", None, None, None, None, "unreadable")]
+    df = spark.createDataFrame(rows, "path string, worksheet string, row_number long, cells array<string>, formulas array<string>, problem string")
+    kept, told = publication.without_uncached(df, [0])
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[0], *rows[2:]], key=repr)
+    assert sorted((r["place"], r["refused"]) for r in told.collect()) == [(0, True), (1, False)]
+    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert publication.without_uncached(df, [])[0].count() == len(rows)
+
+
+def test_workbooks_one_at_a_time(spark, monkeypatch):
+    """A task writes a workbook from its rows alone; no list of all workbooks' rows is sent to it at once."""
+    rows = spark.range(300).select(F.concat(F.lit("p"), F.col("id") % 7).alias("path"), F.array(F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, "=A1")).alias("cells"))
+    books = office.workbooks(rows, "s")
+    got = sorted((r["path"], r["worksheet"], int(r["cells"][0])) for r in files.xlsx_cells(books).collect())
+    assert got == sorted((f"p{i % 7}", "s", i) for i in range(300))
+    monkeypatch.setattr(office, "workbooks", lambda rows, name: rows)
+    assert registered._formula_books(spark, SF).columns == ["path", "cells"]
+    # books in cells of their own go by slices, and one without sheets is null (an error before)
+    sheets = [None if i % 9 == 0 else [[[str(i)]]] for i in range(2 * files.SLICE + 3)]
+    made = spark.createDataFrame(list(enumerate(sheets)), "path int, s array<array<array<string>>>").coalesce(1).select(F.col("path").cast("string").alias("path"), office.workbook(F.array(F.lit("s")), "s").alias("content"))
+    assert sorted(r["path"] for r in made.where("content IS NULL").collect()) == sorted(str(i) for i, s in enumerate(sheets) if s is None)
+    assert sorted((r["path"], r["cells"][0]) for r in files.xlsx_cells(made.where("content IS NOT NULL")).collect()) == sorted((str(i), str(i)) for i, s in enumerate(sheets) if s)
+
+
 def plain(v):
     return round(v, 9) if isinstance(v, float) else v if isinstance(v, (int, str, type(None))) else str(v)
 
