@@ -384,6 +384,25 @@ def test_candidates_are_joined_last(spark):
     assert "hashpartitioning(dataset_id" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_longest_lists_of_a_task_come_first(spark, monkeypatch):
+    """Writers buffer rows by the size of those before, so long lists may not follow thousands of rows without any."""
+    datasets = spark.createDataFrame([(f"ds-{i}", f"file{i}.csv", "shared sheet" if i < 30 else f"pair {i // 2} leaf", i % 2 == 0) for i in range(10, 40)], "dataset_id string, source_name string, worksheet string, published boolean")
+    asked = spark.createDataFrame([(i, ["ds-13合计", "pair 16 leaf合计", "shared sheet合计", "合计", "ds-12和file14合计", "shared sheet和pair 17 leaf合计"][i % 6]) for i in range(60)], "q_id int, question string")
+    want = [(None, 0), ("several_datasets", 2), ("several_datasets", 20), ("dataset_not_named", 0), ("several_datasets", 2), ("several_datasets", 22)]
+    for wide in (1000, 5):
+        monkeypatch.setattr(catalogs, "WIDE", wide, raising=False)
+        out = catalogs.chosen(asked, datasets, spark.createDataFrame(*FIELDS)).select("q_id", "reason", F.size("candidates").alias("n"), F.spark_partition_id().alias("task"))
+        rows, tasks = out.collect(), {}
+        assert sorted((r["q_id"], r["reason"] if r["reason"] != "not_published" else None, r["n"]) for r in rows) == [(i, *want[i % 6]) for i in range(60)]
+        for r in rows:
+            tasks.setdefault(r["task"], []).append(r["n"])
+        assert all(n == sorted(n, reverse=True) for n in tasks.values())
+        assert "BroadcastHashJoin [_width" not in out._jdf.queryExecution().executedPlan().toString()
+    unknown = spark.createDataFrame([(None, "nobody.csv", "alone", True)], datasets.schema)
+    row = catalogs.chosen(spark.createDataFrame([(1, "nobody合计")], "q_id int, question string"), datasets.union(unknown), spark.createDataFrame(*FIELDS)).first()
+    assert (row["reason"], row["dataset_id"], row["candidates"]) == ("dataset_not_named", None, [])
+
+
 def test_texts_of_bytes_by_slices(spark):
     """More files than a slice, some null (an error before), as texts and encodings in their order."""
     texts = [None if i % 7 == 0 else f"{i} 中文" if i % 2 else f"{i}" for i in range(3 * files.SLICE + 5)]
